@@ -9,8 +9,8 @@
    whole passes over the line and, for the rest, as the first blocks of a seeded permutation of the shard's blocks.
    Each document works out from its own place in the line what was taken from it, so no block is ever shuffled.
 
-Shards are slots of a hash of the id; a source has a power of two of them, so that a shard has about docs_per_shard
-documents, and max_shards at most. A source with a third of all rows is thus many shards.
+Shards are slots of a hash of the id, one for each docs_per_shard documents of the table and max_shards at most, so a
+source with a third of all rows is many shards.
 The tables of sources and of shards (sources x max_shards rows at most) are all that meets in few tasks.
 
 Defined cases: null text has size 0 and nothing is taken; null source is a source, the last; repeated rows are rows of
@@ -101,23 +101,16 @@ def mix_sources(
     sized = docs.select(*kept, (word_count(F.col("text")) if size is None else size).cast("long").alias("size"))
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
     order = F.xxhash64(F.lit(seed), "doc_id")
-    base = sized.withColumn("_key", key).withColumn("_slot", F.pmod(order, F.lit(max_shards)))
+    shards = max(1, min(max_shards, docs.count() // docs_per_shard))
+    base = sized.withColumn("_key", key).withColumn("_shard", F.pmod(order, F.lit(shards)))
 
-    slots = base.groupBy("_key", "_slot").agg(F.sum("size").alias("_z"), F.count(F.lit(1)).alias("_n"))
-    sources = slots.groupBy("_key").agg(F.sum("_z").alias("source_size"), F.sum("_n").alias("_docs"))
-    fit = F.ceil(F.log2(F.greatest(F.col("_docs") / docs_per_shard, F.lit(1.0))))
-    width = F.greatest(F.lit(1), (F.lit(max_shards) / F.pow(F.lit(2.0), fit)).cast("long")).alias("_width")
-    sources = source_targets(sources, weights, share, max_repeat).withColumn("_width", width).drop("_docs")
+    cells = base.groupBy("_key", "_shard").agg(F.sum("size").alias("_words"))
+    sources = source_targets(cells.groupBy("_key").agg(F.sum("_words").alias("source_size")), weights, share, max_repeat)
     total = F.sum("target").over(Window.partitionBy(F.lit(0)))
     sources = sources.withColumn("_blocks", F.round(total / block_words).cast("long"))
     sources = apportion(sources, [], "target", "_blocks", ["_key"], "_quota").drop("_blocks")
 
-    cells = (
-        slots.join(sources, "_key")
-        .groupBy("_key", F.floor(F.col("_slot") / F.col("_width")).alias("_shard"))
-        .agg(F.sum("_z").alias("_words"), *[F.first(c).alias(c) for c in ("source_size", "target", "_width", "_quota")])
-    )
-    cells = apportion(cells, ["_key"], "_words", "_quota", ["_shard"], "_cell_quota")
+    cells = apportion(cells.join(sources, "_key"), ["_key"], "_words", "_quota", ["_shard"], "_cell_quota")
     want = F.least(F.col("_cell_quota") * block_words, F.col("_words") * max_repeat)
     n_blocks = F.ceil(F.col("_words") / block_words)
     pick = F.xxhash64(F.lit(seed + 1), "_key", "_shard")
@@ -132,11 +125,8 @@ def mix_sources(
         .select("_key", "_shard", "source_size", "target", "passes", "_words", "_rest", "_nb", "_a", "_c", "_tail", "_short")
     )
 
-    widths = sources.select("_key", "_width")
-    placed = base.join(F.broadcast(widths) if max_shards else widths, "_key")  # one narrow row for each source
-    placed = placed.withColumn("_shard", F.floor(F.col("_slot") / F.col("_width"))).drop("_width", "_slot")
     line = Window.partitionBy("_key", "_shard").orderBy(order, "doc_id", "size")
-    placed = placed.withColumn("_end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = base.withColumn("_end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     x = placed.withColumn("_start", F.col("_end") - F.col("size")).join(cells, ["_key", "_shard"])
 
     def piece(i: Column) -> Column:
