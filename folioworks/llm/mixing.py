@@ -90,7 +90,7 @@ def mix_sources(
     weights: Sequence[float] = (5, 2, 1),
     share: float = 1.0,
     max_repeat: int = 3,
-    block_words: int = 128,
+    block_words: int = 64,
     docs_per_shard: int = 256,
     max_shards: int = 4096,
     seed: int = 17,
