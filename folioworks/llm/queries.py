@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import mixing, packing, pii, quality_model, quality_rules, topk, warc
+from folioworks.llm import mixing, neardup, packing, pii, quality_model, quality_rules, topk, warc
 from folioworks.llm.shared import cut, word_count
 
 
@@ -55,6 +55,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, forest, held_out)
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op9_suffix_array_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op5_source_mix": op5_source_mix,
     "op6_warc_archives": op6_warc_archives,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_suffix_array_rules": op9_suffix_array_rules,
     "op10_exact_top_k": op10_exact_top_k,
 }
