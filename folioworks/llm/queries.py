@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import mixing, neardup, packing, pii, quality_model, quality_rules, topk, warc
+from folioworks.llm import mixing, neardup, packing, pii, quality_model, quality_rules, token_files, topk, warc
 from folioworks.llm.shared import cut, word_count
 
 
@@ -26,6 +26,13 @@ def op2_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op4_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_token_files(manifest, ids=False)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("n")), "sizes")
@@ -81,6 +88,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_pii_field": op2_pii_field,
+    "op4_wavelet_token_files": op4_wavelet_token_files,
     "op5_source_mix": op5_source_mix,
     "op6_warc_archives": op6_warc_archives,
     "op7_quality_classifier": op7_quality_classifier,
