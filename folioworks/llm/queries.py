@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import mixing, neardup, packing, pii, quality_model, quality_rules, token_files, topk, warc
+from folioworks.llm import lm_score, mixing, neardup, packing, pii, quality_model, quality_rules, token_files, topk, warc
 from folioworks.llm.shared import cut, word_count
 
 
@@ -26,6 +26,10 @@ def op2_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op3_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
 def op4_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,6 +92,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_pii_field": op2_pii_field,
+    "op3_pitman_yor_scores": op3_pitman_yor_scores,
     "op4_wavelet_token_files": op4_wavelet_token_files,
     "op5_source_mix": op5_source_mix,
     "op6_warc_archives": op6_warc_archives,
