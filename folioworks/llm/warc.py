@@ -4,8 +4,9 @@ Writing: each page is a record whose block is an HTTP response with the payload.
 min_bytes bytes or more, that with the greatest page_id is the response; the others become revisit records, which
 carry only the HTTP header and point to the response (payload digests decide equality: SHA-1 and length). Which is
 which is worked out on narrow rows (id, digest, length), pre-aggregated by digest, so that a payload with a third of
-all pages is no heavier than any other; pages are then dealt evenly by a hash of their id, and each task writes one
-archive to the shared folder and reports it in a manifest that is itself a table there.
+all pages is no heavier than any other; pages then meet these decisions by page_id and digest, which deals them
+evenly, and each task of that join writes one archive to the shared folder and reports it in a manifest that is
+itself a table there. Payloads are shuffled once.
 
 Reading: an archive is read front to back, decompressed piece by piece; a record ends where its gzip member ends, its
 block where Content-Length says; block and payload digests are verified, and a mismatch or a cut file is an error.
@@ -107,18 +108,16 @@ def decisions(pages: DataFrame, min_bytes: int) -> DataFrame:
     return twins.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("_page"), F.col("_sha").alias("_sha_of"), "refers_to")
 
 
-def write_archives(pages: DataFrame, *, min_bytes: int = 1000, pages_per_archive: int = 4000, seed: int = 11) -> DataFrame:
+def write_archives(pages: DataFrame, *, min_bytes: int = 1000) -> DataFrame:
     """Write pages (page_id, url, html, ...) as archives in the shared folder; returns the manifest (uri, bytes,
     records), a table that is already written."""
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
-    archives = max(1, -(-pages.count() // pages_per_archive))
     repeated = decisions(pages, min_bytes)
     sha = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     x = pages.select("page_id", "url", "html", sha.alias("_sha"))
     x = x.join(repeated, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_sha") == F.col("_sha_of")), "left")
     x = x.select("page_id", "url", F.col("html").cast("binary").alias("html"), "refers_to", F.col("_sha_of").isNotNull().alias("revisit"))
-    x = x.repartition(archives, F.xxhash64(F.lit(seed), "page_id"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
