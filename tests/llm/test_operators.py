@@ -1,0 +1,455 @@
+"""Small tables with nulls, blanks, ties, repeated rows, clashing columns, and brute-force versions of the operators."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from folioworks.llm import components, lm_score, mixing, neardup, packing, pii, quality_model, quality_rules, token_files, topk, warc, wavelet
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, target string, n int, bucket string, bin string"
+
+
+def words(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def odd_rows(seed=1):
+    rng = random.Random(seed)
+    texts = [None, "", "  \n\t ", "one", "one two", "Ünïcode wörds € here", words(rng, 3000), "a\n" * 40, words(rng, 120), words(rng, 80)]
+    near = words(rng, 200).split()
+    texts += [" ".join(near), " ".join(near), " ".join([*near[:-1], "other"]), " ".join(["First", *near[1:]])]
+    rows = [(i, t, "en", [None, "a", "b", "c"][i % 4], len(t or ""), 7, "x", i, "b", "c") for i, t in enumerate(texts)]
+    rows += [rows[3], rows[10], (None, "no id here " * 5, None, None, None, None, None, None, None, None)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# ---- mixing --------------------------------------------------------------------------------------------------
+
+
+def water_fill(sizes, weights, cap=3):
+    """Targets by repeated sharing out of what lies above the caps."""
+    total, target, open_ = sum(sizes.values()), {}, dict(weights)
+    while open_:
+        left, w = total - sum(target.values()), sum(open_.values())
+        over = [s for s in open_ if left * open_[s] / w > cap * sizes[s] + 1e-9]
+        if not over:
+            return target | {s: left * open_[s] / w for s in open_}
+        for s in over:
+            target[s] = cap * sizes[s]
+            del open_[s]
+    return target
+
+
+def test_mix_targets_and_limits(spark):
+    rng = random.Random(3)
+    rows = [(i, words(rng, rng.randrange(0, 90)), rng.choice(["a", "b", "b", "b", "c", None, "tiny"] if i % 50 else ["tiny"])) for i in range(600)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), docs_per_shard=64, block_words=16).toPandas()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    want = water_fill(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)})
+    for s in order:
+        part = got[got["source"].isna()] if s is None else got[got["source"] == s]
+        assert part["source_size"].iloc[0] == sizes[s]
+        assert math.isclose(part["target"].iloc[0], want[s], rel_tol=1e-9)
+        assert abs(part["taken"].sum() - want[s]) <= 16
+    assert (got["taken"] <= 3 * got["size"]).all()
+    again = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7), docs_per_shard=64, block_words=16).toPandas()
+    assert got.set_index("doc_id")["taken"].to_dict() == again.set_index("doc_id")["taken"].to_dict()
+
+
+def test_apportionment_is_highest_quotients(spark):
+    rng = random.Random(5)
+    votes = [rng.randrange(0, 1000) for _ in range(17)]
+    got = mixing.apportion(spark.createDataFrame([(i, float(v), 101) for i, v in enumerate(votes)], "k int, v double, b long"), [], "v", "b", ["k"], "seats").collect()
+    seats = Counter()
+    for _ in range(101):
+        seats[max(range(17), key=lambda i: (votes[i] / (seats[i] + 0.5), -i))] += 1
+    assert {r["k"]: r["seats"] for r in got} == {i: seats[i] for i in range(17)}
+
+
+def test_mix_odd_rows(docs, empty):
+    got = mixing.mix_sources(docs).toPandas()
+    assert len(got) == docs.count() and (got["taken"] <= 3 * got["size"]).all() and (got.loc[got["size"] == 0, "taken"] == 0).all()
+    assert mixing.mix_sources(empty).count() == 0
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    taken = sum(len((r["text"] or "").encode().split()) for r in mixed.collect())
+    assert taken == got["taken"].sum()
+
+
+# ---- packing -------------------------------------------------------------------------------------------------
+
+
+def test_packing_keeps_every_token_and_fits(docs, empty):
+    lengths = {16: 20.0, 64: 70.0, 256: 280.0}
+    got = packing.pack(docs, lengths=lengths, shard_pieces=8).toPandas()
+    placed = got.dropna(subset=["bin"])
+    for _, part in placed.groupby(["shard", "bin"]):
+        part = part.sort_values("bin_start")
+        assert (part["bin_start"].to_numpy() == np.append(0, part["n_tokens"].cumsum())[:-1]).all()
+        held = part["n_tokens"].sum()
+        assert held == part["bin_tokens"].iloc[0] <= part["bin_length"].iloc[0] == min(c for c in lengths if c >= held)
+    want = sum(len((r[1] or "").encode().split()) for r in odd_rows())
+    assert got["n_tokens"].sum() == want
+    assert packing.pack(empty).count() == 0
+
+
+def test_best_fit_prefers_least_room_and_least_cost():
+    bins, starts, held, sizes = packing.best_fit(np.array([60, 50, 10, 4]), {64: 64.0, 128: 200.0})
+    assert bins.tolist() == [0, 1, 1, 1] and starts.tolist() == [0, 0, 50, 60] and held.tolist() == [60, 64] and sizes.tolist() == [64, 64]
+    assert packing.best_fit(np.array([10]), {64: 64.0, 128: 90.0})[3].tolist() == [64]
+
+
+# ---- quality rules -------------------------------------------------------------------------------------------
+
+
+def test_repeat_lengths_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        texts = [[rng.randrange(rng.choice([1, 2, 5])) for _ in range(rng.randrange(30))] for _ in range(3)]
+        want = []
+        for t in texts:
+            for i in range(len(t)):
+                want.append(max([0, *(next((k for k in range(len(t)) if i + k >= len(t) or j + k >= len(t) or t[i + k] != t[j + k])) for j in range(len(t)) if j != i)]))
+        flat, doc = np.array([w for t in texts for w in t], np.int64), np.repeat(np.arange(3), [len(t) for t in texts])
+        assert quality_rules.repeat_lengths(flat, doc).tolist() == want
+
+
+def test_quality_measures(docs, empty):
+    got = quality_rules.judge(docs).toPandas()
+    texts = {r[0]: r[1] for r in odd_rows()}
+    assert len(got) == docs.count()
+    for r in got.itertuples():
+        want = quality_rules.plain_measures(texts[None if r.doc_id != r.doc_id else int(r.doc_id)])
+        assert {k: getattr(r, k) for k in want} == want
+        assert r.base_failed == (want["n_words"] < 50 or 100 * want["n_repeat_words"] > 50 * want["n_words"])
+        assert not (r.base_failed and r.kept)
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == got["kept"].sum() > 0
+    assert quality_rules.judge(empty).count() == 0
+
+
+def test_a_long_repeat_fails_and_a_clean_text_stays(spark):
+    rng = random.Random(8)
+    clean, passage = words(rng, 300, 5000), words(rng, 60, 5000)
+    rows = [(1, clean), (2, " ".join([passage, words(rng, 40, 5000), passage, words(rng, 40, 5000), passage]))]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["kept"] and not got[2]["kept"] and got[2]["longest_repeat"] == 60 and got[2]["covered_words"] == 180
+
+
+# ---- near duplicates -----------------------------------------------------------------------------------------
+
+
+def brute_components(rows, k, percent):
+    sets = defaultdict(list)
+    for doc_id, text in rows:
+        if doc_id is None:
+            continue
+        w = (text or "").encode().lower().split()
+        sets[doc_id].append(frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset())
+    up = {d: d for d in sets}
+
+    def find(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {d: find(d) for d in ids}, {d: [len(s) for s in v] for d, v in sets.items()}
+
+
+def copies(seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(6):
+        base = words(rng, rng.choice([20, 60, 150]), 60).split()
+        for _ in range(rng.randrange(1, 25)):
+            own = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                own[rng.randrange(len(own))] = f"w{rng.randrange(60)}"
+            rows.append((len(rows), " ".join(own)))
+    shared = words(rng, 30, 60)
+    rows += [(len(rows) + i, shared + " " + words(rng, rng.randrange(1, 40), 60)) for i in range(25)]
+    rows += [(len(rows) + i, words(rng, rng.randrange(1, 5), 3)) for i in range(10)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("k", "percent", "long_list"), [(3, 90, 64), (3, 90, 3), (5, 80, 4), (2, 60, 5)])
+def test_components_against_brute_force(spark, monkeypatch, k, percent, long_list):
+    monkeypatch.setattr(neardup, "LONG_LIST", long_list)
+    rows = copies(k * percent)
+    got = neardup.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent).toPandas()
+    want, sizes = brute_components(rows, k, percent)
+    assert {int(r.doc_id): int(r.component_id) for r in got.itertuples()} == want
+    assert all(sizes[int(r.doc_id)] == [r.n_shingles] for r in got.itertuples())
+    assert len(set(want.values())) < len(rows)
+
+
+def test_near_duplicates_odd_rows(docs, empty):
+    got = neardup.similar_components(docs, k=5, percent=80).toPandas()
+    want, _ = brute_components([r[:2] for r in odd_rows()], 5, 80)
+    assert len(got) == docs.count()
+    assert {int(r.doc_id): int(r.component_id) for r in got.dropna().itertuples()} == want
+    kept = neardup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, c in want.items() if d == c} | {None}
+    assert neardup.similar_components(empty).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components.components(links).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+# ---- personal data -------------------------------------------------------------------------------------------
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    return {
+        "email": [m.span() for m in EMAIL.finditer(text)],
+        "ip": [m.span() for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))],
+        "card": [m.span() for m in CARD.finditer(text) if 16 <= len(digits(m)) <= 19 and pii.luhn(digits(m))],
+        "phone": [m.span() for m in PHONE.finditer(text) if 8 <= len(digits(m)) <= 15],
+    }
+
+
+def test_base_spans_against_plain_patterns():
+    rng = random.Random(4)
+    for _ in range(4000):
+        text = "".join(rng.choice(["a", "b", "1", "4", ".", "@", "-", "_", " ", "+", "29", "(", "4111111111111111"]) for _ in range(rng.randrange(25)))
+        assert pii.base_spans(text) == plain_spans(text)
+
+
+def test_find_and_redact(spark, docs, empty):
+    rows = [(1, "é mail a.b@c.de and +1 (269) 555-3296 4524132264652876 x"), (2, None), (3, ""), (4, "plain words 12 3.0 only"), (4, "call (262) 555-7240 now"), (5, "1.2.3.4")]
+    got = pii.find(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, spans int")).toPandas().sort_values(["doc_id", "n_added"])
+    first = got.iloc[0]
+    assert (first["n_email"], first["n_ip"], first["n_card"], first["n_phone"]) == (1, 0, 0, 0)
+    assert first["spans"].split(",")[0] == "email:7:15" and "card:38:54" in first["spans"] and "phone:20:37" in first["spans"]
+    assert first["base_sha256"] == hashlib.sha256(b"email:7:15").hexdigest()
+    assert got[got["doc_id"] == 2]["spans"].iloc[0] == "" and got[got["doc_id"] == 4]["spans"].tolist() == ["", "phone:5:19"]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[1] == "é mail <EMAIL> and <PHONE> <CARD> x" and clean[2] is None and clean[5] == "<IP>"
+    assert pii.redact(docs).columns == docs.columns and pii.redact(docs).count() == docs.count()
+    assert pii.find(empty).count() == 0
+
+
+def test_field_learns_its_table_and_decodes_like_brute_force():
+    field = pii.train(pii._examples(60, 3), epochs=30)
+    held = pii._examples(30, 77)
+    tags = field.decode([w for w, _ in held])
+    right = sum(pii.TAGS[a] == b for (_, t), got in zip(held, tags, strict=True) for a, b in zip(got, t, strict=True))
+    assert right / sum(len(t) for _, t in held) > 0.9
+    emit, lengths = field.scores([["+1", "555-1234", "x"]])
+    best = max(np.ndindex(*[len(pii.TAGS)] * 3), key=lambda y: field.begin[y[0]] + emit[0, 0, y[0]] + sum(field.move[y[i - 1], y[i]] + emit[0, i, y[i]] for i in (1, 2)))
+    assert field._viterbi(emit, lengths)[0].tolist() == list(best)
+
+
+# ---- language model ------------------------------------------------------------------------------------------
+
+
+def test_scores_base_and_probabilities(spark, docs, empty):
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    got = lm_score.score(docs, held, docs_per_bucket=4).toPandas()
+    learnt, texts = Counter(), {}
+    for r in odd_rows():
+        t = [*(r[1] or "").encode().lower().split(), None]
+        texts[r[0]] = t
+        if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2:
+            learnt.update(t)
+    n, v = sum(learnt.values()), len(learnt)
+    assert len(got) == docs.count()
+    for r in got.itertuples():
+        t = texts[None if r.doc_id != r.doc_id else int(r.doc_id)]
+        assert r.n_tokens == len(t) and r.n_known == sum(learnt[w] > 0 for w in t) and r.train_tokens == n
+        assert math.isclose(r.base_score, sum(math.log10((learnt[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
+        assert -20 * len(t) < r.score <= 0
+    seen = got[~got["held_out"]]
+    assert seen["score"].sum() > seen["base_score"].sum()
+    assert lm_score.score(empty, held).count() == 0
+
+
+def test_probabilities_of_a_context_sum_to_one():
+    rng = np.random.default_rng(0)
+    words_, contexts = rng.integers(1, 30, 4000).astype(np.uint64), (rng.integers(0, 4, 4000) << lm_score.CLASS_BITS).astype(np.uint32)
+    c = lm_score._chunk(words_, contexts, np.zeros(4000, np.int64), np.ones(1, bool))
+    message = {"words": lm_score.packed(np.diff(c["words"], prepend=np.uint64(0)), "<u8"), "held": lm_score.packed(c["held"]), "contexts": lm_score.packed(c["contexts"]), "counts": lm_score.packed(c["counts"])}
+    bucket = lm_score.Bucket([message])
+    start = bucket.totals()
+    model = {"d": [0.5, 0.6, 0.7], "theta": [1.0] * 3, "burn_in": 1, "samples": 2, "seed": 1}
+    for _ in lm_score._samples(bucket, 0, start, model):
+        whole = bucket.totals()
+        at = np.arange(len(bucket.words))
+        for context in np.unique(contexts).astype(np.int64):
+            pair = lm_score._find(bucket.key, at * lm_score.CONTEXTS + context)
+            mid = lm_score._find(bucket.mid_key, at * 256 + (context >> lm_score.CLASS_BITS))
+            known = bucket.predictive(at, pair, mid, np.full(len(at), context), whole, model).sum()
+            one = np.array([-1])
+            assert math.isclose(known + bucket.predictive(one, one, one, np.array([context]), whole, model)[0], 1, rel_tol=1e-9)
+
+
+def test_seating_is_within_bounds_and_grows():
+    rng = np.random.default_rng(1)
+    tables = lm_score.seat(rng, np.array([1, 2, 40, 5000]), np.array([0.5, 0.5, 0.5, 0.5]), 0.7)
+    assert tables[0] == 1 and (tables >= 1).all() and (tables <= [1, 2, 40, 5000]).all()
+    many = [lm_score.seat(np.random.default_rng(i), np.array([2]), np.array([0.3]), 0.7)[0] - 1 for i in range(3000)]
+    assert abs(np.mean(many) - 0.3 / (0.3 + 0.3)) < 0.04
+
+
+# ---- token files ---------------------------------------------------------------------------------------------
+
+
+def test_wavelet_file():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 7, 40_000, 70_001):
+        ids = rng.integers(0, 3000, n).astype(np.uint16)
+        file = wavelet.WaveletFile(wavelet.dump(ids, [3, None], np.array([n // 2, n - n // 2]), 12))
+        assert (file.ids() == ids).all() and file.doc_ids == [3, None] and file.ends.tolist() == [n // 2, n]
+        for i in {0, n // 3, n - 1} - {-1} if n else ():
+            assert file.access(i) == ids[i]
+        for token in (0, 17, 2999, 5000):
+            assert file.occurrences(token).tolist() == np.flatnonzero(ids == token).tolist()
+            assert file.count(token, n // 4, n // 2) == (ids[n // 4 : n // 2] == token).sum()
+    with pytest.raises(ValueError):
+        wavelet.WaveletFile(wavelet.dump(ids, [], np.zeros(0, np.int64), 12)[:-3])
+
+
+P = pytest.importorskip("public_tokenizers")
+
+
+def test_encoding_by_pieces_is_the_tokenizers_own():
+    encoder = token_files.Encoder(P.path("byte_bpe_50k.json"))
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["a", "Bc", " ", " ", "\n", "é", "  ", " ", "1", "'s", "<|endoftext|>", "\t", ".", "—", "　"]) for _ in range(rng.randrange(14))) for _ in range(1500)]
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode_batch([t.encode() for t in texts])] == want
+    assert 0.1 < np.mean([encoder._plain(t.encode()) for t in texts]) < 0.9
+
+
+def test_token_files_round_trip(docs, empty, monkeypatch):
+    path = P.path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_files, "CACHE", 50)
+    manifest = token_files.write_token_files(docs, path, shard_tokens=600, partitions=3)
+    got = token_files.read_token_files(manifest).toPandas().sort_values("start")
+    encoder = token_files.Encoder(path)
+    rows = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0))
+    want = [[*encoder.tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in rows]
+    assert [list(x) for x in got["ids"]] == want
+    assert got["start"].tolist() == np.append(0, np.cumsum([len(w) for w in want]))[:-1].tolist()
+    assert got["ids_crc32"].tolist() == [zlib.crc32(np.array(w, "<u4").tobytes()) for w in want]
+    assert token_files.read_token_files(token_files.write_token_files(empty, path)).count() == 0
+
+
+# ---- archives ------------------------------------------------------------------------------------------------
+
+
+def test_archives_round_trip(spark):
+    long_one, rng = "x" * 1200, random.Random(1)
+    rows = [(i, f"http://h/{i}", rng.choice([long_one, long_one, "é" * 700, "short", None, words(rng, 400)]), 1) for i in range(60)]
+    rows += [rows[5], (None, None, long_one, 2), (100, "bad\r\nurl", "", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_bytes int")
+    got = warc.read_archives(warc.write_archives(pages)).collect()
+    top = {}
+    for page_id, _, html, _ in rows:
+        html = html or ""
+        if len(html.encode()) >= 1000:
+            top[html] = max(top.get(html, -1), -1 if page_id is None else page_id)
+    want = Counter()
+    for page_id, _, html, _ in rows:
+        data = (html or "").encode()
+        revisit = len(data) >= 1000 and top[html] != page_id
+        want[(page_id, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", top[html] if revisit else None)] += 1
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
+    assert all((r["payload"] is None) == (r["record_type"] == "revisit") for r in got)
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read_archives(warc.write_archives(none)).count() == 0
+
+
+def test_reader_finds_damage():
+    import io
+
+    data = warc.record(1, "u", b"payload") + warc.record(2, "u", b"again", 1, True)
+    assert [h["warc-type"] for h, _, _ in warc.read_records(io.BytesIO(data))] == ["response", "revisit"]
+    with pytest.raises(ValueError):
+        list(warc.read_records(io.BytesIO(data[:-4])))
+    other = warc.record(1, "u", b"payloae")
+    head, _, rest = zlib.decompress(other, 31).partition(b"\r\n\r\n")
+    with pytest.raises(ValueError):
+        import gzip
+
+        list(warc.read_records(io.BytesIO(gzip.compress(head + b"\r\n\r\n" + rest.replace(b"payloae", b"payload")))))
+
+
+# ---- quality model -------------------------------------------------------------------------------------------
+
+
+def test_classifier_learns_and_keeps_labels_out(spark, docs, empty):
+    rng = random.Random(6)
+    rows = [(i, words(rng, 80, 2000) if i % 3 else "".join(rng.choice("#$%& ab") for _ in range(300)), "x", "y", i) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, predicted long")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(600)] + [(1, None)], "doc_id long, quality int")
+    held = F.col("doc_id") % 2 == 1
+    forest = quality_model.fit(table, labels, "quality", ~held, max_rows=200, trees=20)
+    got = quality_model.score(table, forest, held).toPandas()
+    assert (got["predicted"] == (got["doc_id"] % 3 > 0)).mean() > 0.98 and got["score"].between(0, 1).all()
+    scored = quality_model.score(docs, forest, held)
+    assert scored.count() == docs.count() and quality_model.score(empty, forest, held).count() == 0
+    constant = quality_model.fit(table, labels.where("quality = 1"), "quality", ~held)
+    assert quality_model.score(table, constant, held).agg(F.min("score")).first()[0] > 0.9
+
+
+def test_statistics_of_odd_texts():
+    x = quality_model.statistics(pa.array([None, "", " ", "\n\n", "a", "a\na\nb", "é"]))
+    assert np.isfinite(x).all() and x.shape == (7, len(quality_model.FEATURES))
+    assert math.isclose(x[5, quality_model.FEATURES.index("repeated_lines")], 1 / 3)
+
+
+# ---- top k ---------------------------------------------------------------------------------------------------
+
+
+def test_top_k_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([0.0, 0.1, -0.2, 0.30001]) for _ in range(6)], 1, "q") for i in range(120)]
+    rows += [(200, None, 1, "q"), (201, [float("nan")] * 6, 1, "q"), (202, [None] * 6, 1, "q"), (203, [0.5] * 3, 1, "q"), (10, [0.1] * 6, 1, "q"), (None, [0.1] * 6, 1, "q"), (210, [float("inf")] * 6, 1, "q")]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int, rank string"), F.col("vec_id") % 10 == 0, k=5, block_rows=16)
+    good = [(i, [math.floor(float(np.float32(x)) * 256) for x in v]) for i, v, *_ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want = {}
+    for q, v in good:
+        if q % 10 == 0:
+            want.setdefault(q, []).extend((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in good if c != q and len(w) == len(v))
+    want = {(q, r + 1): (c, -s) for q, x in want.items() for r, (s, c) in enumerate(sorted(x)[:5])}
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got.collect()} == want
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
