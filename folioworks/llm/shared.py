@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 import numpy as np
@@ -47,6 +47,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """While this holds, jobs that are run hand Python at most n rows in a batch, for rows that may be large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(n, int(before)) if int(before) > 0 else n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -79,10 +91,6 @@ def open_file(uri: str):
     return fs.open_input_stream(path, compression=None)
 
 
-def attempt_folder(folder: str) -> str:
-    return os.path.join(folder, uuid.uuid4().hex)
-
-
 # ---- text in Arrow batches -----------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -164,7 +172,7 @@ def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: boo
     return mix((run[ends] - run[starts]) * inverse[starts])
 
 
-def hashed_texts(column, limit: int = 4_000_000, lower: bool = True):
+def hashed_texts(column, limit: int = 2_000_000, lower: bool = True):
     """Yield (first text, last text + 1, word hashes, words before each text of the range) over slices of a column."""
     raw, offsets = string_buffers(column)
     for i, j in slices(offsets, limit):
