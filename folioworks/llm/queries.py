@@ -70,6 +70,21 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+OP8 = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) END AS s
+    FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+l AS (
+    SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2)
+    JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, l.y FROM r JOIN l ON l.x = r.seen)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(seen) FROM r WHERE node = d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id)
+"""
+
+
 def op9_suffix_array_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -102,4 +117,4 @@ QUERIES = {
     "op10_exact_top_k": op10_exact_top_k,
 }
 
-ORACLES = {"op6_warc_archives": OP6, "op10_exact_top_k": OP10}
+ORACLES = {"op8_ngram_jaccard_join": OP8, "op6_warc_archives": OP6, "op10_exact_top_k": OP10}
