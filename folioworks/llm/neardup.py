@@ -12,10 +12,13 @@ documents share come last in every order.
 
 Work stays linear in the groups of copies:
 1. equal sets collapse to one document, the smallest id (a pre-aggregated minimum);
-2. round one links documents to the smallest id of their posting list and size class, a star for each list;
-   candidates are filtered, verified, and joined to components;
+2. round one links documents to one of their posting list and size class, a star for each list: to the one whose
+   shingles are shared most, as the text that near copies go back to; candidates are filtered, verified, and joined
+   to components;
 3. round two takes the pairs of a posting list that round one left in different components: all of them where the
    list is short; where it is long, those with a side outside the list's largest component. No list is cut.
+Both rounds also drop pairs whose parity maps (64 * PARITY bits for each set) differ in more bits than the sets may
+differ in shingles; this bound, too, loses no link.
 Every link of the whole similarity graph is either verified or inside a component already, so components are exact.
 
 Sets for verification are read from the texts again, for documents in candidate pairs only (a bit table of fixed size
@@ -34,11 +37,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.llm.components import components
-from folioworks.llm.shared import cut, hashed_texts, mix
+from folioworks.llm.shared import arrow_rows, cut, hashed_texts, mix
 
 TABLE_BITS = 24
 PICK_BITS = 26
@@ -47,19 +50,22 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 LONG_LIST = 64
 
 
-def _by_slice(rows: DataFrame, bits: int, fold) -> np.ndarray:
+def _by_slice(rows: DataFrame, bits: int, fold, as_bits: bool = False) -> np.ndarray:
     """rows (bucket below 2^bits, n), one for each bucket at most -> fold(n) of every bucket as bytes, 0 where there
-    is none. The table has a fixed size: it is put together by slices and only then goes through the driver."""
+    is none, or as single bits. The table has a fixed size: it is put together by slices and only then goes through
+    the driver."""
     width = 1 << (bits - 6)
+    size = width // 8 if as_bits else width
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         dense = np.zeros(width, np.uint8)
         dense[part["bucket"].to_numpy() % width] = fold(part["n"].to_numpy())
-        return pd.DataFrame({"slice": [int(part["bucket"].iloc[0]) // width], "data": [dense.tobytes()]})
+        data = np.packbits(dense) if as_bits else dense
+        return pd.DataFrame({"slice": [int(part["bucket"].iloc[0]) // width], "data": [data.tobytes()]})
 
-    table = np.zeros(1 << bits, np.uint8)
-    for s, data in rows.groupBy(F.floor(F.col("bucket") / width)).applyInPandas(one, "slice long, data binary").collect():
-        table[s * width : (s + 1) * width] = np.frombuffer(data, np.uint8)
+    table = np.zeros(64 * size, np.uint8)
+    for s, data in rows.groupBy(F.floor(F.col("bucket") / width)).applyInPandas(one, "slice long, data binary").toLocalIterator():
+        table[s * size : (s + 1) * size] = np.frombuffer(data, np.uint8)
     return table
 
 
@@ -107,7 +113,16 @@ def shingle_sets(words: np.ndarray, before: np.ndarray, k: int) -> Iterator[tupl
             yield own[first], order[first] + a
 
 
-PREFIXES = "doc_id long, n long, sig1 long, sig2 long, a array<long>, b array<int>, c array<int>"
+#: 64-bit words of a set's parity map: each shingle flips one bit, so two maps differ in no more bits than the sets in
+#: shingles, and pairs whose maps differ too much cannot link.
+PARITY = 8
+PREFIXES = "doc_id long, n long, sig1 long, sig2 long, a array<long>, b array<int>, c array<int>, " + ", ".join(f"p{i} long" for i in range(PARITY))
+
+
+def parity(own: np.ndarray) -> np.ndarray:
+    at = (own >> np.uint64(20)) % np.uint64(64 * PARITY)
+    bits = (np.bincount(at.astype(np.int64), minlength=64 * PARITY) & 1).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -119,6 +134,7 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         table = levels.value
         for batch in batches:
             out = {name: [] for name in ("n", "sig1", "sig2")}
+            maps: list[np.ndarray] = []
             tokens: list[list[np.ndarray]] = [[], [], []]
             for _, _, words, before in hashed_texts(batch.column(1)):
                 level = table[(words >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
@@ -128,6 +144,7 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 for (own, at), end in zip(shingle_sets(words, before, k), before[1:].tolist(), strict=True):
                     n = len(own)
                     out["n"].append(n)
+                    maps.append(parity(own))
                     out["sig1"].append(int(np.bitwise_xor.reduce(mix(own)).astype(np.int64)) if n else 0)
                     out["sig2"].append(int(mix(own + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)) if n else 0)
                     size = n - (percent * n + 99) // 100 + 1 if n else 0
@@ -147,11 +164,21 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 offsets = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
                 flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
                 arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat if i == 0 else flat.astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "sig1", "sig2", "a", "b", "c"])
+            table_of_maps = np.array(maps, np.int64).reshape(-1, PARITY)
+            arrays += [pa.array(np.ascontiguousarray(table_of_maps[:, i])) for i in range(PARITY)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "sig1", "sig2", "a", "b", "c", *(f"p{i}" for i in range(PARITY))])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREFIXES)
 
 
+def _may_link(percent: int, right: str) -> Column:
+    """A pair of rows (n, p0.., and the same names with the suffix right) whose sizes and parity maps allow a link."""
+    sizes = f"100 * least(n, n{right}) >= {percent} * greatest(n, n{right})"
+    differing = " + ".join(f"bit_count(p{i} ^ p{i}{right})" for i in range(PARITY))
+    most = f"(n + n{right}) - 2 * ceil({percent} * (n + n{right}) / {100 + percent}.0D - 1e-9)"
+    return F.expr(f"{sizes} AND {differing} <= {most}")
+
+
 def _filtered(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     """pairs (x, y) that share prefix tokens under the second and the third order too."""
     left = heads.select(F.col("doc_id").alias("x"), F.col("b").alias("bx"), F.col("c").alias("cx"))
@@ -166,7 +193,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << PICK_BITS)).cast("int")
     ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id")))
     picked = ids.select(bucket.alias("bucket")).distinct().withColumn("n", F.lit(1))
-    bits = spark.sparkContext.broadcast(np.packbits(_by_slice(picked, PICK_BITS, lambda n: n.astype(np.uint8))))
+    bits = spark.sparkContext.broadcast(_by_slice(picked, PICK_BITS, lambda n: n.astype(np.uint8), as_bits=True))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -186,7 +213,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary())], names=["id", "s"])
 
-    whole = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", bucket.alias("bucket")).mapInArrow(sets, "id long, s binary")
+    with arrow_rows(spark, 500):
+        texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", bucket.alias("bucket"))
+        whole = cut(texts.mapInArrow(sets, "id long, s binary"), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,9 +235,18 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return near.select("x", "y", "sx", "sy").mapInArrow(check, "x long, y long").distinct()
 
 
+def _checked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among candidate pairs, written; sets of long texts are large, so few rows go to Python at a time."""
+    pairs = cut(pairs, "candidates")
+    with arrow_rows(docs.sparkSession, 200):
+        return cut(verified(pairs, docs, k, percent), "links")
+
+
 def similar_components(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, one row for each row."""
-    heads = cut(prefixes(docs, k, percent), "prefixes")
+    spark = docs.sparkSession
+    with arrow_rows(spark, 1000):
+        heads = cut(prefixes(docs, k, percent), "prefixes")
     solid = heads.where("n > 0 and doc_id is not null")
     classes = cut(solid.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep")), "classes")
     members = solid.select("doc_id", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"]).select("doc_id", "rep")
@@ -217,28 +255,33 @@ def similar_components(docs: DataFrame, *, k: int = 5, percent: int = 80) -> Dat
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) if percent < 100 else F.col("n")).alias("band")
     posting = reps.select("doc_id", "n", F.posexplode("a").alias("pos", "token")).groupBy("token", "doc_id", "n").agg(F.min("pos").alias("pos"))
     lists = posting.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    posting = cut(posting.join(lists, "token").withColumn("band", band), "postings")
-
-    def close(a: str, b: str):
-        return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
-
-    stars = posting.groupBy("token", "band").agg(F.min(F.struct("doc_id", "n")).alias("lead"))
-    one = posting.join(stars, ["token", "band"]).where("doc_id <> lead.doc_id").where(close("n", "lead.n"))
+    posting = posting.join(lists, "token").withColumn("band", band)
+    # how far a document's shingles are shared: highest for the text that a group of near copies goes back to
+    shared = F.sum(F.log2(F.col("m").cast("double"))) / F.col("n")
+    central = posting.groupBy("doc_id", "n").agg(F.round(shared, 6).alias("central"))
+    posting = cut(posting.join(central, ["doc_id", "n"]), "postings")
+
+    first = F.struct("central", F.negative("doc_id"), F.negative("n"))
+    stars = posting.groupBy("token", "band").agg(F.max_by(F.struct("doc_id", "n"), first).alias("lead"))
+    one = posting.join(stars, ["token", "band"]).where("doc_id <> lead.doc_id")
     one = one.select(F.col("lead.doc_id").alias("x"), F.col("doc_id").alias("y")).distinct()
-    links = cut(verified(cut(_filtered(one, reps), "candidates"), docs, k, percent), "round1")
+    maps = reps.select("doc_id", "n", *[f"p{i}" for i in range(PARITY)])
+    near = maps.select(F.col("doc_id").alias("x"), *[F.col(c).alias(f"{c}_y") for c in maps.columns[1:]])
+    one = one.join(near, "x").join(maps.withColumnRenamed("doc_id", "y"), "y").where(_may_link(percent, "_y")).select("x", "y")
+    links = _checked(_filtered(one, reps), docs, k, percent)
 
     found = cut(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components1")
     tagged = posting.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     sides = tagged.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("held"))
     open_lists = sides.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("held", "comp")).alias("most")).where("comps > 1")
-    tagged = cut(tagged.join(open_lists, "token"), "open")
-    other = tagged.select("token", *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "n", "pos", "comp", "most")])
+    tagged = cut(tagged.join(open_lists, "token").join(maps.drop("n"), "doc_id"), "open")
+    other = tagged.select("token", *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "n", "pos", "comp", "most", *(f"p{i}" for i in range(PARITY)))])
     fit = F.expr(f"1 + least(n - 1 - pos, n_y - 1 - pos_y) >= ceil({percent} * (n + n_y) / {100 + percent}.0D - 1e-9)")
     short = tagged.where(F.col("m") <= LONG_LIST).join(other, "token").where("doc_id < doc_id_y")
     minor = tagged.where((F.col("m") > LONG_LIST) & (F.col("comp") != F.col("most"))).join(other, "token").where("comp_y = most_y or doc_id < doc_id_y")
-    two = short.unionByName(minor).where("comp <> comp_y").where(close("n", "n_y")).where(fit)
+    two = short.unionByName(minor).where("comp <> comp_y").where(_may_link(percent, "_y")).where(fit)
     two = two.select(F.least("doc_id", "doc_id_y").alias("x"), F.greatest("doc_id", "doc_id_y").alias("y")).distinct()
-    more = verified(cut(_filtered(two, reps), "candidates"), docs, k, percent)
+    more = _checked(_filtered(two, reps), docs, k, percent)
     same_id = members.where("doc_id <> rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
     repeats = heads.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     same_id = same_id.join(repeats, F.col("x") == F.col("doc_id"), "left_semi")  # an id whose texts are of several classes
