@@ -6,8 +6,8 @@ names the files in order with their sizes; where a document starts in the whole
 partitions and over the shards of a partition.
 
 Encoding: a tokenizer whose pre-tokenizer cuts before single spaces encodes a text as the concatenation of what it
-makes of the pieces between them, so each distinct piece is encoded once and remembered (in a table of CACHE pieces,
-emptied when full). This is done only for texts where the cuts are certain: no white space but single spaces and
+makes of the pieces between them, so each distinct piece is encoded once and remembered (in two tables of CACHE pieces
+at most: when the new one is full it becomes the old one, and pieces found in the old one move to the new). This is done only for texts where the cuts are certain: no white space but single spaces and
 single newlines between other characters, no special token's text; every other text goes to the tokenizer whole.
 The tokenizer is only loaded, from a path that is a parameter.
 
@@ -18,7 +18,10 @@ ignored.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.llm import wavelet
-from folioworks.llm.shared import cut, open_file, scratch_path, string_buffers, write_file
+from folioworks.llm.shared import cut, hash_words, open_file, scratch_path, string_buffers, write_file
 
-CACHE = 400_000
+CACHE = 600_000
+#: Stands before the first piece of a text; a control character, which no text that is cut in pieces has.
+START = b"\x1c"
 _CONTROL = bytes([0, 9, 11, 12, 13, 28, 29, 30, 31])
 _WIDE_SPACE = tuple(c.encode() for c in "\u0085      　" + "".join(map(chr, range(0x2000, 0x200B))))
 
@@ -38,23 +43,25 @@ class Encoder:
     """Encodes UTF-8 texts to arrays of ids with a tokenizer of the tokenizers library."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.levels = max(1, int(size - 1).bit_length())
-        self.kind = np.dtype("<u2") if self.levels <= 16 else np.dtype("<u4")
+        self.kind = np.dtype("H") if self.levels <= 16 else np.dtype("I")
         self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
-        import json
-
         pre = json.loads(self.tokenizer.to_str())
         step = pre.get("pre_tokenizer") or {}
         self.by_piece = step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and not pre.get("normalizer")
-        self._first: dict[bytes, bytes] = {}
-        self._later: dict[bytes, bytes] = {}
+        self._new: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+
+    def _ids(self, ids: list[int]) -> bytes:
+        return array(self.kind.char, ids).tobytes()
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return self._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _plain(self, text: bytes) -> bool:
         if b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or len(text.translate(None, _CONTROL)) != len(text):
@@ -63,27 +70,79 @@ class Encoder:
             return False
         return not any(s in text for s in self.special)
 
+    def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The table with the ids of all these pieces. A piece stands for itself after a space, or, where it begins with a
+        newline or the mark of a text's beginning, for what follows that mark."""
+        if len(self._new) > CACHE:
+            self._new, self._old = {}, self._new
+        new, old = self._new, self._old
+        fresh = []
+        for piece in pieces:
+            if piece not in new:
+                if piece in old:
+                    new[piece] = old[piece]
+                else:
+                    fresh.append(piece)
+        for k in range(0, len(fresh), 1000):
+            some = fresh[k : k + 1000]
+            texts = [p[1:].decode("utf-8") if p[:1] == START else p.decode("utf-8") if p[:1] == b"\n" else " " + p.decode("utf-8") for p in some]
+            new.update(zip(some, (self._ids(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), strict=True))
+        return new
+
+    def encode_batch(self, texts: list[bytes], limit: int = 4_000_000) -> Iterator[bytes]:
+        """The ids of each text as bytes of self.kind; texts are worked off in groups of some MB."""
+        group: list[bytes] = []
+        size = 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= limit:
+                yield from self._group(group)
+                group, size = [], 0
+        if group:
+            yield from self._group(group)
+
+    def _group(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Distinct pieces of all texts that can be cut are found by hash (and held against each other byte by byte up
+        to 16 bytes) and looked up once; their ids are then laid out in the order of the texts by one gather."""
+        cuts = [self.by_piece and self._plain(t) for t in texts]
+        parts = [START + t.replace(b"\n", b" \n") + b" " for t, ok in zip(texts, cuts, strict=True) if ok]
+        joined = b"".join(parts)
+        raw = np.frombuffer(joined + bytes(16), np.uint8)
+        ends = np.flatnonzero(raw[: len(joined)] == 32)
+        starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+        keys = hash_words(raw, starts, ends, lower=False)
+        _, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        same = at[inverse]
+        words = np.lib.stride_tricks.sliding_window_view(raw, 8)
+        width = ends - starts
+        alike = width == width[same]
+        for k in (0, 8):
+            mask = (np.arange(k, k + 8) < width[:, None]) if len(width) else np.zeros((0, 8), bool)
+            alike &= ((words[starts + k] == words[starts[same] + k]) | ~mask).all(1) if len(width) else True
+        if not alike.all():
+            raise ValueError("two pieces of text have one hash")
+        pieces = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        table = self._learn(pieces)
+        ids = [table[p] for p in pieces]
+        counts = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        first = np.append(0, np.cumsum(counts))[:-1]
+        own = counts[inverse]
+        before = np.append(0, np.cumsum(own))
+        out = flat[np.arange(before[-1]) - np.repeat(before[:-1] - first[inverse], own)].tobytes() if len(own) else b""
+        edges = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)
+        places = (before[np.searchsorted(starts, edges)] * self.kind.itemsize).tolist()
+        k = 0
+        for text, ok in zip(texts, cuts, strict=True):
+            if ok:
+                yield out[places[k] : places[k + 1]]
+                k += 1
+            else:
+                yield self._whole(text.decode("utf-8"))
+
     def encode(self, text: bytes) -> bytes:
-        """The ids of a text as bytes of self.kind."""
-        if not self.by_piece or not self._plain(text):
-            return self._whole(text.decode("utf-8"))
-        first, *rest = text.replace(b"\n", b" \n").split(b" ")
-        later = self._later
-        if len(later) + len(self._first) > CACHE:
-            later.clear()
-            self._first.clear()
-        out = []
-        if first:
-            if first not in self._first:
-                self._first[first] = self._whole(first.decode("utf-8"))
-            out.append(self._first[first])
-        for piece in rest:
-            got = later.get(piece)
-            if got is None:
-                word = piece.decode("utf-8")
-                got = later[piece] = self._whole(word if word[:1] == "\n" else " " + word)
-            out.append(got)
-        return b"".join(out)
+        return next(self.encode_batch([text]))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -126,8 +185,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0, shard
         for batch in batches:
             raw, offsets = string_buffers(batch.column(1))
             raw = raw.tobytes()
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                own = enc.encode(raw[offsets[i] : offsets[i + 1]]) + end
+            texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), enc.encode_batch(texts), strict=True):
+                own = encoded + end
                 n = len(own) // enc.kind.itemsize
                 if held and held + n > shard_tokens:
                     flush()
@@ -173,4 +233,4 @@ def read_token_files(manifest: DataFrame, ids: bool = True) -> DataFrame:
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else "")
     x = with_starts(manifest).select("uri", "start")
-    return x.repartition(max(1, min(manifest.count(), 4096)), "uri").mapInArrow(read, schema)
+    return x.repartition(max(1, -(-manifest.count() // 4)), "uri").mapInArrow(read, schema)
