@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.llm.components import components
-from folioworks.llm.shared import arrow_rows, cut, hashed_texts, mix
+from folioworks.llm.shared import arrow_rows, cut, drop, hashed_texts, mix
 
 TABLE_BITS = 24
 PICK_BITS = 26
@@ -187,8 +187,8 @@ def _filtered(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return both.where(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")).select("x", "y").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (x, y) whose whole sets are similar enough."""
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(the pairs (x, y) whose whole sets are similar enough, the written table of sets that they are found by)."""
     spark = docs.sparkSession
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << PICK_BITS)).cast("int")
     ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id")))
@@ -232,14 +232,17 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     near = pairs.join(whole.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(whole.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
-    return near.select("x", "y", "sx", "sy").mapInArrow(check, "x long, y long").distinct()
+    return near.select("x", "y", "sx", "sy").mapInArrow(check, "x long, y long").distinct(), whole
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links among candidate pairs, written; sets of long texts are large, so few rows go to Python at a time."""
     pairs = cut(pairs, "candidates")
     with arrow_rows(docs.sparkSession, 200):
-        return cut(verified(pairs, docs, k, percent), "links")
+        found, whole = verified(pairs, docs, k, percent)
+        links = cut(found, "links")
+    drop(pairs, whole)
+    return links
 
 
 def similar_components(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
@@ -291,7 +294,9 @@ def similar_components(docs: DataFrame, *, k: int = 5, percent: int = 80) -> Dat
     owner = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     owner = owner.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id"), F.coalesce("component", "rep").alias("_c"))
     result = heads.select("doc_id", "n").join(owner, "doc_id", "left")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id"))
+    result = cut(result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id")), "similar")
+    drop(heads, classes, posting, links, found, tagged, more)
+    return result
 
 
 def drop_near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
