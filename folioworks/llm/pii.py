@@ -4,8 +4,9 @@ The field labels words with O or B-/I- of a kind from word-shape features (shape
 and those of the neighbours). It is trained by maximum likelihood (forward-backward, Adam, L2) on a small labelled
 table of (words, tags), and decoded by Viterbi over numpy batches of word windows.
 
-A word more than REACH words away from any word with a digit or an @ can only be O: the label lattice is built so,
-and the sequence of a document therefore falls into windows that are decoded independently, with the same result.
+A word more than REACH words away from any word with a digit or one of @ [ ( can only be O: the label lattice is
+built so, and the sequence of a document therefore falls into windows that are decoded independently, with the same
+result. A row without an ASCII digit and without @ [ ( is not searched: no span in it can be plausible.
 Added spans must be plausible (card: 13 to 19 digits passing Luhn; ip: four parts up to 255; phone: 7 to 15 digits;
 email: a name, a host and a dot in some spelling), and must not touch a base span, which always stays.
 
@@ -345,10 +346,11 @@ def added_spans(texts: Sequence[str], field: Field) -> list[list[tuple[str, int,
 
 
 def _search(column, field: Field) -> Iterator[tuple[int, dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]]:
-    """(row, base spans, added spans) of the rows that have a digit or an @; the others have none."""
+    """(row, base spans, added spans) of the rows that have an ASCII digit or one of @ [ (; the others have none, as
+    every base span and every plausible added one holds such a character."""
     raw, offsets = string_buffers(column)
     mark = np.zeros(256, bool)
-    mark[48:58] = mark[64] = True
+    mark[48:58] = mark[np.frombuffer(b"@[(", np.uint8)] = True
     at = np.flatnonzero(mark[raw])
     rows = np.flatnonzero(np.diff(np.searchsorted(at, offsets)))
     for k in range(0, len(rows), 500):

@@ -267,6 +267,15 @@ def test_find_and_redact(spark, docs, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_spelled_out_addresses_without_any_digit_or_at_sign(spark):
+    rows = [(1, "please write to hansel (at) bergdorf (dot) com today"), (2, "contact maria[at]bergdorf[dot]org please"), (3, "nothing here [but] brackets (only)")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["spans"], r["n_added"], r["n_email"]) for r in pii.find(docs).collect()}
+    assert got == {1: ("email:16:46", 1, 0), 2: ("email:8:33", 1, 0), 3: ("", 0, 0)}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert clean == {1: "please write to <EMAIL> today", 2: "contact <EMAIL> please", 3: rows[2][1]}
+
+
 def test_field_learns_its_table_and_decodes_like_brute_force():
     field = pii.train(pii._examples(60, 3), epochs=30)
     held = pii._examples(30, 77)
