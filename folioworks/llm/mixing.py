@@ -4,13 +4,15 @@
    more than max_repeat times its own; what is above goes to the others by weight (water filling, in closed form by a
    running sum over the sources ordered by capacity / weight).
 2. The words are dealt in blocks of block_words: the Sainte-Lague rule gives each source the number of its quotients
-   target / (j - 1/2) among the highest, then each source's blocks go to its shards by the same rule.
-3. In a shard, documents stand in a seeded order and their words form one line, cut into blocks. A quota is taken as
-   whole passes over the line and, for the rest, as the first blocks of a seeded permutation of the shard's blocks.
+   target / (j - 1/2) among the highest, then each source's blocks go to its cells by the same rule. What a cell's
+   quota has above max_repeat times its words goes, word by word, to the source's cells with room, in proportion to it.
+3. In a cell, documents stand in a seeded order and their words form one line, cut into blocks. A quota is taken as
+   whole passes over the line and, for the rest, as the first blocks of a seeded permutation of the cell's blocks.
    Each document works out from its own place in the line what was taken from it, so no block is ever shuffled.
 
 Shards are slots of a hash of the id, one for each docs_per_shard documents of the table and max_shards at most, so a
-source with a third of all rows is many shards.
+source with a third of all rows is many shards. A cell is a run of a source's neighbouring shards, as many as it takes
+for some cell_blocks blocks of its own words, so a rare source has few cells, and a source of many words one a shard.
 The tables of sources and of shards (sources x max_shards rows at most) are all that meets in few tasks.
 
 Defined cases: null text has size 0 and nothing is taken; null source is a source, the last; repeated rows are rows of
@@ -25,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioworks.llm.shared import word_count
+from folioworks.llm.shared import cut, word_count
 
 #: Multipliers of the seeded permutations: primes above 2^31, so prime to any smaller number of blocks.
 PRIMES = (2654435761, 2246822519, 3266489917, 4294967291)
@@ -83,6 +85,20 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max
     return x.drop("_w", "_cap", "_all", "_wall", "_full")
 
 
+def redeal(cells: DataFrame, quota: Column, cap: Column) -> DataFrame:
+    """Add column _want: each cell's quota cut to its cap, and what all cuts of a source take off dealt to its cells in
+    proportion to the room below their caps, in whole words and as far as there is room."""
+    source = Window.partitionBy("_key")
+    upto = source.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    x = cells.withColumn("_want", F.least(quota, cap)).withColumn("_room", cap - F.col("_want"))
+    x = x.withColumn("_all_room", F.sum("_room").over(source)).withColumn("_above", F.sum("_room").over(upto))
+    x = x.withColumn("_excess", F.least(F.sum(quota - F.col("_want")).over(source), "_all_room"))
+    wide = lambda c: f"CAST({c} AS DECIMAL(18,0))"
+    dealt = lambda c: f"{wide('_excess')} * {wide(c)} div {wide('_all_room')}"
+    more = F.when(F.col("_excess") > 0, F.expr(f"{dealt('_above')} - {dealt('_above - _room')}")).otherwise(F.lit(0))
+    return x.withColumn("_want", F.col("_want") + more).drop("_room", "_all_room", "_above", "_excess")
+
+
 def mix_sources(
     docs: DataFrame,
     *,
@@ -93,6 +109,7 @@ def mix_sources(
     block_words: int = 64,
     docs_per_shard: int = 256,
     max_shards: int = 4096,
+    cell_blocks: int = 64,
     seed: int = 17,
 ) -> DataFrame:
     """docs (doc_id, source, text or size, ...) -> all its rows and columns plus size, source_size, target, passes
@@ -104,16 +121,20 @@ def mix_sources(
     shards = max(1, min(max_shards, docs.count() // docs_per_shard))
     base = sized.withColumn("_key", key).withColumn("_shard", F.pmod(order, F.lit(shards)))
 
-    cells = base.groupBy("_key", "_shard").agg(F.sum("size").alias("_words"))
-    sources = source_targets(cells.groupBy("_key").agg(F.sum("_words").alias("source_size")), weights, share, max_repeat)
+    parts = cut(base.groupBy("_key", "_shard").agg(F.sum("size").alias("_part")), "cells")
+    sources = source_targets(parts.groupBy("_key").agg(F.sum("_part").alias("source_size")), weights, share, max_repeat)
     total = F.sum("target").over(Window.partitionBy(F.lit(0)))
     sources = sources.withColumn("_blocks", F.round(total / block_words).cast("long"))
     sources = apportion(sources, [], "target", "_blocks", ["_key"], "_quota").drop("_blocks")
 
-    cells = apportion(cells.join(sources, "_key"), ["_key"], "_words", "_quota", ["_shard"], "_cell_quota")
-    want = F.least(F.col("_cell_quota") * block_words, F.col("_words") * max_repeat)
+    own_cells = F.least(F.lit(shards), F.greatest(F.lit(1), F.floor(F.col("source_size") / (block_words * cell_blocks))))
+    parts = parts.join(sources, "_key").withColumn("_cell", F.floor(F.col("_shard") * own_cells / shards))
+    cells = parts.groupBy("_key", "_cell", "source_size", "target", "_quota").agg(F.sum("_part").alias("_words"))
+    cells = apportion(cells, ["_key"], "_words", "_quota", ["_cell"], "_cell_quota")
+    cells = redeal(cells, F.col("_cell_quota") * block_words, F.col("_words") * max_repeat)
+    want = F.col("_want")
     n_blocks = F.ceil(F.col("_words") / block_words)
-    pick = F.xxhash64(F.lit(seed + 1), "_key", "_shard")
+    pick = F.xxhash64(F.lit(seed + 1), "_key", "_cell")
     cells = (
         cells.withColumn("passes", F.when(F.col("_words") > 0, F.floor(want / F.col("_words"))).otherwise(F.lit(0)))
         .withColumn("_rest", want - F.col("passes") * F.col("_words"))
@@ -122,12 +143,17 @@ def mix_sources(
         .withColumn("_c", F.pmod(F.shiftright(pick, 8), F.col("_nb")))
         .withColumn("_tail", F.pmod(F.col("_a") * (F.col("_nb") - 1) + F.col("_c"), F.col("_nb")))
         .withColumn("_short", F.col("_nb") * block_words - F.col("_words"))
-        .select("_key", "_shard", "source_size", "target", "passes", "_words", "_rest", "_nb", "_a", "_c", "_tail", "_short")
+        .select("_key", "_cell", "source_size", "target", "passes", "_rest", "_nb", "_a", "_c", "_tail", "_short")
     )
+    # a cell's line is those of its shards, one after the other
+    along = Window.partitionBy("_key", "_cell").orderBy("_shard").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.select("_key", "_cell", "_shard", (F.sum("_part").over(along) - F.col("_part")).alias("_before"))
+    cells = parts.join(cells, ["_key", "_cell"]).drop("_cell")
 
     line = Window.partitionBy("_key", "_shard").orderBy(order, "doc_id", "size")
-    placed = base.withColumn("_end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    x = placed.withColumn("_start", F.col("_end") - F.col("size")).join(cells, ["_key", "_shard"])
+    placed = base.withColumn("_upto", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    x = placed.join(cells, ["_key", "_shard"]).withColumn("_end", F.col("_before") + F.col("_upto"))
+    x = x.withColumn("_start", F.col("_end") - F.col("size"))
 
     def piece(i: Column) -> Column:
         """What of block i is taken once more, within this document: (start in the document, words)."""

@@ -77,6 +77,19 @@ def test_mix_targets_and_limits(spark):
     assert got.set_index("doc_id")["taken"].to_dict() == again.set_index("doc_id")["taken"].to_dict()
 
 
+@pytest.mark.parametrize(("weights", "want"), [((1, 1), 3000), ((47, 3), 1500)])
+def test_a_rare_source_of_short_documents_meets_its_target(spark, weights, want):
+    rng = random.Random(9)
+    rows = [(i, words(rng, 10 if i % 5 == 0 else 60), "rare" if i % 5 == 0 else "big") for i in range(500)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=weights, docs_per_shard=4).toPandas()
+    rare = got[got["source"] == "rare"]
+    assert len(got) == 500 and math.isclose(rare["target"].iloc[0], want, rel_tol=1e-9)
+    assert abs(rare["taken"].sum() - want) <= 64 and (rare["taken"] <= 30).all()
+    assert abs(got["taken"].sum() - 25000) <= 64
+    for r in got.itertuples():
+        assert r.taken == r.passes * r.size + sum(p["len"] for p in r.pieces) and all(p["start"] + p["len"] <= r.size for p in r.pieces)
+
+
 def test_apportionment_is_highest_quotients(spark):
     rng = random.Random(5)
     votes = [rng.randrange(0, 1000) for _ in range(17)]
