@@ -343,6 +343,37 @@ def test_probabilities_of_a_context_sum_to_one():
             assert math.isclose(known + bucket.predictive(one, one, one, np.array([context]), whole, model)[0], 1, rel_tol=1e-9)
 
 
+def test_every_word_before_is_a_context_of_its_own(spark):
+    names = [f"v{i}q" for i in range(3000)]  # one last byte
+    docs = spark.createDataFrame([(i, " ".join(names[i * 50 : i * 50 + 50])) for i in range(60)], "doc_id long, text string").repartition(3)
+    bucket, seen = lm_score.Bucket, []
+    made = lm_score.chunks(docs, F.lit(False), 4).where("bucket >= 0").select("bucket", "chunk", "words", "held", "names", "contexts", "counts").collect()
+    for number in sorted({r["bucket"] for r in made}):
+        seen.append(bucket([r.asDict() for r in made if r["bucket"] == number]))
+    every = np.unique(np.concatenate([b.names for b in seen]))
+    assert len(every) == 3001  # and the beginning of a text
+    assert all((b.totals()["c2"] > 0).all() and (b.contexts[b.at] == b.context).all() for b in seen)
+    assert sum(b.totals()["c2"].sum() for b in seen) == 3060
+
+
+def test_context_totals_are_summed_over_buckets(spark):
+    rng = random.Random(6)
+    rows = [(i, words(rng, 60, 50)) for i in range(40)]
+    made = lm_score.chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.lit(False), 5).where("bucket >= 0").collect()
+    buckets = {b: lm_score.Bucket([r.asDict() for r in made if r["bucket"] == b]) for b in {r["bucket"] for r in made}}
+    shares = [x for b, o in buckets.items() for t in [o.totals()] for x in lm_score._shares(b, o, 3, [t["c2"], t["t2"]])]
+    folder = lm_score._exchanged(spark.createDataFrame([tuple(r.values()) for x in shares for r in x.to_pylist()], lm_score.TOTALS), "test")
+    customers, followers = Counter(), defaultdict(set)
+    for o in buckets.values():
+        for at, word, n in zip(o.at, o.words[o.word], o.customers, strict=True):
+            customers[o.names[at]] += n
+            followers[o.names[at]].add(word)
+    assert len(customers) == 51 and sum(customers.values()) == 40 * 61
+    for b, o in buckets.items():
+        c2, t2 = lm_score._told(folder, b, o, 3, 2)
+        assert c2.tolist() == [customers[x] for x in o.names] and t2.tolist() == [len(followers[x]) for x in o.names]
+
+
 def test_seating_is_within_bounds_and_grows():
     rng = np.random.default_rng(1)
     tables = lm_score.seat(rng, np.array([1, 2, 40, 5000]), np.array([0.5, 0.5, 0.5, 0.5]), 0.7)
