@@ -321,7 +321,7 @@ def _(t: Texts) -> DataFrame:
 @query("parent_context")
 def _(t: Texts) -> DataFrame:
     chunks = t.chunks
-    hits = C.indexable_chunks(chunks).where("chunk_index = 0").select("chunk_id", "doc_id")
+    hits = C.indexable_chunks(chunks).select("chunk_id", "doc_id")
     return C.parent_context(hits, chunks).select("chunk_id", "doc_id", F.length("context").alias("context_chars"))
 
 

@@ -34,3 +34,16 @@ def test_query_equals_sql(spark, name):
 
 def test_every_oracle_has_its_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES) and registry.FLAGSHIP in registry.QUERIES
+
+
+def test_parent_context_resolves_every_indexable_chunk(spark, tmp_path):
+    sentence = "Some words of a long section stand here. "
+    rows = [(1, "# One\n\n" + sentence * 120, "en", "web", 0), (2, "short text", "en", "web", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    chunks = {r["chunk_id"]: r for r in registry.QUERIES["build_chunks"](spark, str(tmp_path)).collect()}
+    want = {}
+    for r in chunks.values():
+        if r["is_indexed"]:
+            want[r["chunk_id"]] = (r["doc_id"], len(chunks.get(r["parent_chunk_id"], r)["text"]))
+    got = {r["chunk_id"]: (r["doc_id"], r["context_chars"]) for r in registry.QUERIES["parent_context"](spark, str(tmp_path)).collect()}
+    assert got == want and len([r for r in chunks.values() if r["chunk_type"] == "split_child"]) > 3
