@@ -140,7 +140,8 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 level = table[(words >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
                 rarest = level.copy()
                 for i in range(1, k):
-                    rarest[:-i or None] = np.minimum(rarest[: len(rarest) - i], level[i:])
+                    held = max(0, len(rarest) - i)
+                    rarest[:held] = np.minimum(rarest[:held], level[i:])
                 for (own, at), end in zip(shingle_sets(words, before, k), before[1:].tolist(), strict=True):
                     n = len(own)
                     out["n"].append(n)

@@ -235,6 +235,12 @@ def test_near_duplicates_odd_rows(docs, empty):
     assert neardup.similar_components(empty).count() == 0
 
 
+def test_a_batch_of_fewer_words_than_a_shingle(spark):
+    docs = spark.createDataFrame([(1, "only three words")], "doc_id long, text string").coalesce(1)
+    assert [tuple(r) for r in neardup.similar_components(docs, k=5, percent=80).collect()] == [(1, 1, 1)]
+    assert neardup.drop_near_duplicates(docs, k=5, percent=80).count() == 1
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
