@@ -404,7 +404,7 @@ def _(x: Data) -> DataFrame:
 def _(x: Data) -> DataFrame:
     refs = x.read("lineitem").selectExpr("l_orderkey AS doc_id", "l_linenumber AS pos", "l_partkey AS ref_doc", "'s' AS section_id", "'' AS note")
     sections = x.documents.selectExpr("doc_id", "'s' AS section_id", "source AS title", "text")
-    return K.reference_context(refs, sections, 2000, 9000)
+    return K.reference_context(refs, sections)
 
 
 def _with_tables(x: Data) -> DataFrame:

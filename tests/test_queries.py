@@ -47,3 +47,11 @@ def test_parent_context_resolves_every_indexable_chunk(spark, tmp_path):
             want[r["chunk_id"]] = (r["doc_id"], len(chunks.get(r["parent_chunk_id"], r)["text"]))
     got = {r["chunk_id"]: (r["doc_id"], r["context_chars"]) for r in registry.QUERIES["parent_context"](spark, str(tmp_path)).collect()}
     assert got == want and len([r for r in chunks.values() if r["chunk_type"] == "split_child"]) > 3
+
+
+def test_reference_context_carries_texts_up_to_the_operators_own_limits(spark, tmp_path):
+    text = "".join(f"{i} " for i in range(2500))
+    spark.createDataFrame([(7, text, "web")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 7)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    [row] = registry.QUERIES["reference_context"](spark, str(tmp_path)).collect()
+    assert 2000 < len(text) < 20_000 and any(text.strip() in str(v) for v in row)
