@@ -76,6 +76,13 @@ def format_table(rows: Column, table_id: Column, caption: Column | None = None)
     return F.when(empty, F.lit("")).otherwise(block)
 
 
+def overlapped(parts: Column, overlap: int) -> Column:
+    """An array of pieces, each after the end of the one before it: its last overlap characters, from the first space on."""
+    tail = lambda before: F.regexp_replace(F.right(before, F.lit(overlap)), r"(?s)^[^ ]* (.*)$", "$1")
+    joined = lambda part, i: F.when(i == 0, part).otherwise(F.concat(tail(F.get(parts, i - 1)), F.when(tail(F.get(parts, i - 1)) == "", "").otherwise(" "), part))
+    return F.transform(parts, joined) if overlap > 0 else parts
+
+
 def clip_document(text: Column, limit: int = 90_000) -> Column:
     """A text above the limit as its head, middle and tail thirds between markers, cut to the limit."""
     third = limit // 3

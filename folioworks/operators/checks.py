@@ -178,9 +178,9 @@ def tables_to_enrich(sections: DataFrame, flat: DataFrame, force: bool = False)
 
 
 def table_context(blocks: DataFrame, docs: DataFrame, around: int = 2000) -> DataFrame:
-    """blocks (doc_id, table_id, raw) -> the table with some text before and after it, by its place in the document."""
+    """blocks (doc_id, table_id, raw, start) -> the table with some text before and after it, at its own place."""
     x = blocks.join(docs.select("doc_id", "text"), "doc_id")
-    at = F.instr(F.col("text"), F.col("raw"))
+    at = F.col("start")
     start = F.greatest(F.lit(1), at - around)
     return x.select("doc_id", "table_id", strip(F.substring(F.col("text"), start, at - start + F.length("raw") + around)).alias("context"))
 
@@ -200,13 +200,15 @@ def merge_summaries(sections: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def artifact_parsed(sections: DataFrame) -> DataFrame:
-    """sections (doc_id, text, tables) -> per document: sections, those with tables and with all of them summarised,
-    tables, summarised ones, characters, tokens."""
+    """sections (doc_id, text, tables, optional updated_at) -> per document: sections, those with tables and with any of
+    them summarised, tables, summarised ones, characters, tokens and, where it is given, the latest change; a list of
+    documents shows those of most characters first (order by chars descending)."""
     done = lambda t: F.coalesce(F.trim(t["summary"]), F.lit("")) != ""
     x = sections.withColumn("n", F.size(F.coalesce("tables", F.array()))).withColumn("d", F.size(F.filter(F.coalesce("tables", F.array()), done)))
     return x.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("sections"), F.count_if(F.col("n") > 0).alias("sections_with_tables"), F.count_if((F.col("n") > 0) & (F.col("n") == F.col("d"))).alias("sections_enriched"), F.sum("n").alias("tables"), F.sum("d").alias("tables_enriched"), F.sum(F.length("text")).alias("chars"), F.sum(token_estimate(F.col("text"))).alias("tokens")
-    )
+        F.count(F.lit(1)).alias("sections"), F.count_if(F.col("n") > 0).alias("sections_with_tables"), F.count_if(F.col("d") > 0).alias("sections_enriched"), F.sum("n").alias("tables"), F.sum("d").alias("tables_enriched"), F.sum(F.length("text")).alias("chars"), F.sum(token_estimate(F.col("text"))).alias("tokens"),
+        *([F.max("updated_at").alias("updated_at")] if "updated_at" in sections.columns else []),
+    )
 
 
 def artifact_generated(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ where they are small enough."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,31 @@ def split_text(texts: DataFrame, limit: int = CHILD, overlap: int = OVERLAP, tab
     return texts.select(*ids, "text").mapInPandas(run, f"{schema}, total int, index int, text string")
 
 
+def inject_summaries(texts: DataFrame) -> DataFrame:
+    """texts (id columns, text, summaries: map of table id to summary) -> id columns, text with the summaries put in."""
+    ids = [c for c in texts.columns if c not in ("text", "summaries")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            said = [splitting.inject_summaries(t or "", dict(s) if s is not None else {}) for t, s in zip(part["text"], part["summaries"], strict=True)]
+            yield part[ids].assign(text=said)
+
+    schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in ids)
+    return texts.select(*ids, "text", "summaries").mapInPandas(run, f"{schema}, text string")
+
+
+def split_tables(blocks: DataFrame, limit: int) -> DataFrame:
+    """blocks (doc_id, table_id, raw, optional summary) -> doc_id, table_id, index, text: fragments of a table by rows, each
+    with its frame (and the summary, where it fits)."""
+    said = F.col("summary") if "summary" in blocks.columns else F.lit(None).cast("string")
+
+    @F.pandas_udf("array<string>")
+    def fragments(name: pd.Series, raw: pd.Series, summary: pd.Series) -> pd.Series:
+        return pd.Series([splitting.split_table(n, r, r.splitlines(), limit, s) for n, r, s in zip(name, raw, summary, strict=True)])
+
+    return blocks.select("doc_id", "table_id", F.posexplode(fragments("table_id", "raw", said)).alias("index", "text"))
+
+
 def chunk_profile(docs: DataFrame, overrides: DataFrame) -> DataFrame:
     """doc_id -> child_max, overlap, parent_max: the document's own, else the default."""
     x = docs.select("doc_id").join(overrides.select("doc_id", "child_max", "overlap", "parent_max"), "doc_id", "left")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioworks.sources.scratch import cut, open_file, scratch_path, small_batches, write_file
+
 # BM25 parameters, dashes, and the token patterns in the order in which they are tried.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DASH = r"[‐-―−-]"
@@ -17,11 +23,13 @@ DOC_REF = rf"(?:№\s*)?\d{{1,5}}\s*{DASH}\s*[а-яёa-z]{{1,6}}"
 SLASH = r"[а-яёa-z]{2,10}(?:/[а-яёa-z]{2,10})+"
 ALNUM = r"(?:[a-zа-яё]+\d+[a-zа-яё]*|\d+[a-zа-яё]+)"
 TOKEN = "|".join((ARTICLE, DOC_REF, SLASH, ALNUM, r"[а-яёa-z]+"))
+#: The same for a search engine that goes back by trial: what follows a run of letters is no letter, so runs are kept.
+_SEARCH = TOKEN.replace("[а-яёa-z]{2,10}", "[а-яёa-z]{2,10}+").replace("[a-zа-яё]+", "[a-zа-яё]++").replace("[а-яёa-z]+", "[а-яёa-z]++")
 
 
 def tokenize(text: Column) -> Column:
     """Tokens of a text: references and abbreviations whole and in parts, other words as they are, lower-cased."""
-    raw = F.regexp_extract_all(F.replace(F.lower(text), F.lit(" "), F.lit(" ")), F.lit(f"({TOKEN})"), F.lit(1))
+    raw = F.regexp_extract_all(F.replace(F.lower(text), F.lit(" "), F.lit(" ")), F.lit(f"({_SEARCH})"), F.lit(1))
 
     def variants(t: Column) -> Column:
         ref = F.regexp_replace(F.regexp_replace(F.trim(F.replace(t, F.lit("№"), F.lit(""))), DASH + "+", "-"), r"\s*-\s*", "-")
@@ -34,7 +42,9 @@ def tokenize(text: Column) -> Column:
             .otherwise(F.array(t))
         )
 
-    return F.flatten(F.transform(raw, variants))
+    # all that has parts holds a digit or a slash; other tokens, and texts without either, need no second look
+    parts = F.transform(raw, lambda t: F.when(t.rlike("[0-9/]"), variants(t)).otherwise(F.array(t)))
+    return F.when(text.rlike(r"[0-9/\p{Nd}]"), F.flatten(parts)).otherwise(raw)
 
 
 def lemmatized(tokens: DataFrame, lemmas: DataFrame | None) -> DataFrame:
@@ -45,57 +55,103 @@ def lemmatized(tokens: DataFrame, lemmas: DataFrame | None) -> DataFrame:
     return x.withColumn("term", F.coalesce("lemma", "term")).drop("lemma")
 
 
-def bm25_index(chunks: DataFrame, lemmas: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """chunks (cluster, chunk_id, text) -> postings (cluster, term, chunk_id, tf), terms (cluster, term, df, idf), lengths
-    (cluster, chunk_id, len), stats (cluster, n, avg_len).
+class Index(NamedTuple):
+    """The tables of a lexical index: postings (cluster, term, chunk_id, tf), terms (cluster, term, df, idf), lengths
+    (cluster, chunk_id, len), stats (cluster, n, avg_len)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    lengths: DataFrame
+    stats: DataFrame
+
+
+def write_index(chunks: DataFrame, path: str, lemmas: DataFrame | None = None) -> None:
+    """Write the index of chunks (cluster, chunk_id, text) below path, each table partitioned by cluster; clusters that are
+    written again replace their old files only, and the small tables are written anew for all.
 
-    Frequencies are counted before the shuffle, by (cluster, term, chunk); nothing is keyed by a cluster alone but
-    counts and sums. An idf below 0 becomes a quarter of the cluster's mean idf.
+    Texts are read and tokenized once: a chunk's length travels as a row without a term beside its terms, and the other
+    tables come from the written postings. Frequencies are counted before the shuffle, by (cluster, term, chunk); nothing
+    is keyed by a cluster alone but counts and sums. Postings are sorted by term in each file, so a scan for some terms
+    skips row groups. An idf below 0 becomes a quarter of the cluster's mean idf.
     """
-    tokens = chunks.select("cluster", "chunk_id", tokenize(F.col("text")).alias("t"))
-    lengths = tokens.select("cluster", "chunk_id", F.size("t").alias("len"))
-    stats = lengths.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    words = lemmatized(tokens.select("cluster", "chunk_id", F.explode("t").alias("term")), lemmas)
-    postings = words.groupBy("cluster", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "cluster")
-    raw = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    spark = chunks.sparkSession
+    tokens = chunks.select("cluster", "chunk_id", tokenize(F.coalesce("text", F.lit(""))).alias("t"))
+    with_length = F.concat(F.transform("t", lambda w: F.struct(w.alias("term"), F.lit(1).cast("long").alias("tf"))), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").cast("long").alias("tf"))))
+    words = tokens.select("cluster", "chunk_id", F.inline(with_length))
+    counts = lemmatized(words, lemmas).groupBy("cluster", "term", "chunk_id").agg(F.sum("tf").alias("tf"))
+    _put(counts.sortWithinPartitions("cluster", "term"), f"{path}/postings")
+    written = spark.read.schema(counts.schema).parquet(f"{path}/postings")
+    stats = written.where("term IS NULL").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("tf").alias("avg_len"))
+    _put(stats, f"{path}/stats")
+    df = written.where("term IS NOT NULL").groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.join(stats, "cluster").select("cluster", "term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    raw = cut(raw, "terms")
     mean = raw.groupBy("cluster").agg(F.avg("idf").alias("mean"))
     idf = F.when(F.col("idf") < 0, EPSILON * F.col("mean")).otherwise(F.col("idf"))
-    terms = raw.join(mean, "cluster").select("cluster", "term", "df", idf.alias("idf"))
-    return postings, terms, lengths, stats
+    _put(raw.join(mean, "cluster").select("cluster", "term", "df", idf.alias("idf")), f"{path}/terms")
+
+
+def _put(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cluster").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, kinds: str = "cluster string, chunk_id string") -> Index:
+    """The index written below path; kinds are the types of cluster and chunk_id."""
+    cluster, chunk = kinds.split(", ")
+    read = lambda name, *columns: spark.read.schema(", ".join(columns)).parquet(f"{path}/{name}")
+    postings = read("postings", "term string", chunk, "tf long", cluster)
+    lengths = postings.where("term IS NULL").select("cluster", "chunk_id", F.col("tf").alias("len"))
+    postings = postings.where("term IS NOT NULL").select("cluster", "term", "chunk_id", "tf")
+    return Index(postings, read("terms", "term string", "df long", "idf double", cluster), lengths, read("stats", "n long", "avg_len double", cluster))
 
 
-def bm25_scores(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame, DataFrame], lemmas: DataFrame | None = None) -> DataFrame:
+def bm25_index(chunks: DataFrame, lemmas: DataFrame | None = None, path: str | None = None) -> Index:
+    """Write the index of chunks (cluster, chunk_id, text), by default into the shared folder, and give its tables."""
+    path = path or scratch_path(chunks.sparkSession, "bm25")
+    write_index(chunks, path, lemmas)
+    return read_index(chunks.sparkSession, path, ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in ("cluster", "chunk_id")))
+
+
+#: A term in more than this share of its cluster's chunks has its postings split by chunk when queries meet them.
+COMMON, SPLITS = 0.05, 32
+
+
+def bm25_scores(queries: DataFrame, index: Index, lemmas: DataFrame | None = None) -> DataFrame:
     """queries (query_id, text, optional cluster) -> (query_id, cluster, chunk_id, score) of chunks that share a term.
-    Query terms meet terms first, so only their postings move."""
-    postings, terms, lengths, stats = index
+    Query terms meet terms first, so only their postings move; those of common terms are split by chunk."""
     keys = ["query_id", "cluster"] if "cluster" in queries.columns else ["query_id"]
     asked = lemmatized(queries.select(*keys, F.explode(tokenize(F.col("text"))).alias("term")), lemmas).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = asked.join(terms, [*keys[1:], "term"])
-    x = weighted.join(postings, ["cluster", "term"]).join(lengths, ["cluster", "chunk_id"]).join(stats, "cluster")
+    split = F.when(F.col("df") > COMMON * F.col("n"), SPLITS).otherwise(1)
+    terms = index.terms.join(index.stats, "cluster").join(asked.select(*keys[1:], "term").distinct(), [*keys[1:], "term"])
+    terms = cut(terms.select("cluster", "term", "idf", "avg_len", split.alias("split")), "query-terms")
+    some = index.postings.join(terms.select("cluster", "term", "avg_len", "split"), ["cluster", "term"]).join(index.lengths, ["cluster", "chunk_id"])
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    return x.groupBy("query_id", "cluster", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
+    some = some.select("cluster", "term", "chunk_id", F.pmod(F.xxhash64("chunk_id"), "split").alias("slot"), (F.col("tf") * (K1 + 1) / norm).alias("weight"))
+    weighted = asked.join(terms, [*keys[1:], "term"]).select("query_id", "cluster", "term", (F.col("qtf") * F.col("idf")).alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("split").cast("long") - 1)).alias("slot"))
+    x = weighted.join(some, ["cluster", "term", "slot"])
+    return x.groupBy("query_id", "cluster", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("weight")), 9).alias("score"))
 
 
 def top_n(scores: DataFrame, by: list[str], n: int, *order: Column) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def bm25_query(queries: DataFrame, index: tuple, n: int = 20, lemmas: DataFrame | None = None) -> DataFrame:
+def bm25_query(queries: DataFrame, index: Index, n: int = 20, lemmas: DataFrame | None = None) -> DataFrame:
     """The n best chunks of the query's cluster (of each, where queries name none) with a score above 0."""
     return top_n(bm25_scores(queries, index, lemmas).where("score > 0"), ["query_id", "cluster"], n, F.desc("score"), F.col("chunk_id"))
 
 
-def bm25_query_all(queries: DataFrame, index: tuple, n: int = 20, lemmas: DataFrame | None = None) -> DataFrame:
+def bm25_query_all(queries: DataFrame, index: Index, n: int = 20, lemmas: DataFrame | None = None) -> DataFrame:
     """The n best of each cluster, the best score of each chunk, the n best of these."""
     best = bm25_query(queries, index, n, lemmas).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return top_n(best, ["query_id"], n, F.desc("score"), F.col("chunk_id"))
 
 
 def index_summary(chunks: DataFrame, built_at: Column) -> DataFrame:
-    x = chunks.groupBy("cluster").agg(F.count(F.lit(1)).alias("chunk_count"), F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
-    return x.withColumn("built_at", built_at)
+    """(cluster, doc_id, chunk_count, cluster_chunks, built_at): the documents of each cluster, a row each, with their own
+    chunks and the cluster's; counts come before the shuffle, and no cluster's documents meet in one row."""
+    x = chunks.groupBy("cluster", "doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+    return x.join(x.groupBy("cluster").agg(F.sum("chunk_count").alias("cluster_chunks")), "cluster").withColumn("built_at", built_at)
 
 
 def stale_clusters(chunks: DataFrame, index_meta: DataFrame) -> DataFrame:
@@ -151,31 +207,71 @@ def fetch_by_ids(ids: DataFrame, chunks: DataFrame) -> DataFrame:
     return ids.join(chunks, "chunk_id").orderBy("pos")
 
 
-def knn(queries: DataFrame, vectors: DataFrame, n: int = 20, where: Column | None = None, block: int = 4096) -> DataFrame:
+def _tables(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of about so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _units(table: pa.Table) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """For each length of vector: (length, ids, unit vectors) of a table (id, v)."""
+    sizes = pc.list_value_length(table.column("v")).to_numpy()
+    for size in np.unique(sizes):
+        own = table.filter(pa.array(sizes == size))
+        v = pc.list_flatten(own.column("v")).to_numpy().astype(np.float64).reshape(-1, int(size))
+        yield int(size), own.column("id").combine_chunks(), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def knn(queries: DataFrame, vectors: DataFrame, n: int = 20, where: Column | None = None, block: int = 1 << 14, query_block: int = 1024) -> DataFrame:
     """queries (query_id, embedding) x vectors (chunk_id, embedding) -> the n nearest by cosine: query_id, rank, chunk_id,
-    distance. Exact: blocks of both sides meet once, each block keeps its n best, and these are ranked."""
-    some = vectors if where is None else vectors.where(where)
-    sides = []
-    for df, key in ((queries, "query_id"), (some, "chunk_id")):
-        sides.append((df.select(F.col(key).alias("id"), "embedding"), max(1, -(-df.count() // block))))
-    (q, nq), (c, nc) = sides
-    slot = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left, right = q.withColumn("a", slot(nq)).withColumn("b", each(nc)), c.withColumn("b", slot(nc)).withColumn("a", each(nq))
-
-    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "distance": []})
-        m, v = (np.stack(d["embedding"].to_numpy()).astype(np.float64) for d in (x, y))
-        unit = lambda z: z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
-        near = 1 - unit(m) @ unit(v).T
-        k = min(n, near.shape[1])
-        edge = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero(near <= edge)  # all ties at the edge: the ranking settles them by id
-        return pd.DataFrame({"query_id": x["id"].to_numpy()[rows], "chunk_id": y["id"].to_numpy()[cols], "distance": near[rows, cols]})
-
-    kinds = [df.schema["id"].dataType.simpleString() for df in (q, c)]
-    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, f"query_id {kinds[0]}, chunk_id {kinds[1]}, distance double")
+    distance. Exact: queries are written to the shared folder in blocks, and each task streams all of them past its
+    own vectors, block by block; each block keeps its n best of a query with all ties, and these are ranked. Vectors stay
+    where they are. Null or empty vectors and those with a component that is null or no finite number take no part, and
+    vectors meet those of their own length only."""
+    spark = queries.sparkSession
+    small_batches(spark)
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = lambda df, key: df.where(F.col(key).isNotNull() & (F.size("embedding") > 0) & finite).select(F.col(key).alias("id"), F.col("embedding").alias("v"))
+    asked, some = whole(queries, "query_id"), whole(vectors if where is None else vectors.where(where), "chunk_id")
+    folder = scratch_path(spark, "queries")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        for k, table in enumerate(_tables(batches, query_block)):
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            yield pa.RecordBatch.from_pydict({"uri": [write_file(folder, f"{context.partitionId():06d}-{k:06d}-{context.taskAttemptId()}.arrow", [sink.getvalue()])[0]]})
+
+    uris = sorted(r["uri"] for r in cut(asked.mapInArrow(write, "uri string"), "queries-manifest").collect())
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _tables(batches, block):
+            sides = {size: (ids, v) for size, ids, v in _units(table)}
+            for uri in uris:
+                with open_file(uri) as source:
+                    asked = pa.ipc.open_stream(source).read_all()
+                for size, query_ids, m in _units(asked):
+                    if size not in sides:
+                        continue
+                    ids, v = sides[size]
+                    near = 1 - m @ v.T
+                    k = min(n, near.shape[1])
+                    edge = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
+                    rows, cols = np.nonzero(near <= edge)  # all ties at the edge: the ranking settles them by id
+                    yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(near[rows, cols])], names=["query_id", "chunk_id", "distance"])
+
+    kinds = [df.schema["id"].dataType.simpleString() for df in (asked, some)]
+    met = some.mapInArrow(meet, f"query_id {kinds[0]}, chunk_id {kinds[1]}, distance double")
     return top_n(met, ["query_id"], n, F.col("distance"), F.col("chunk_id")).select("query_id", "rank", "chunk_id", "distance")
 
 
@@ -208,7 +304,8 @@ def clusters_to_rebuild(mode: str, state: DataFrame, dirty: DataFrame | None = N
     return x.select("cluster").where("cluster <> ''").distinct()
 
 
-def rebuild_dirty(chunks: DataFrame, dirty: DataFrame) -> tuple[tuple[DataFrame, DataFrame, DataFrame, DataFrame], DataFrame]:
-    """(index tables of the dirty clusters, clusters that stay dirty because they have no chunks)."""
+def rebuild_dirty(chunks: DataFrame, dirty: DataFrame, path: str | None = None) -> tuple[Index, DataFrame]:
+    """Write the index of the dirty clusters, replacing theirs below path and leaving other clusters' as they are ->
+    (the tables below path, clusters that stay dirty because they have no chunks)."""
     some = chunks.join(dirty, "cluster", "left_semi")
-    return bm25_index(some), dirty.join(some.select("cluster").distinct(), "cluster", "left_anti")
+    return bm25_index(some, path=path), dirty.join(some.select("cluster").distinct(), "cluster", "left_anti")

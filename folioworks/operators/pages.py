@@ -86,27 +86,48 @@ def parse(html: str) -> Node:
     return tree.root
 
 
-def _span(value: str | None) -> int:
-    return max(1, int(value)) if (value or "").strip().isdigit() else 1
+#: Greatest spans that are followed (those of HTML itself), and rows that a span may add below a table's last one.
+MAX_COLSPAN, MAX_ROWSPAN, ROWS_BELOW = 1000, 65_534, 100
+
+
+def _span(value: str | None, most: int) -> int:
+    digits = (value or "").strip()
+    return min(max(1, int(digits[:9])), most) if digits.isdigit() else 1
 
 
 def grid(table: Node) -> list[list[str]]:
-    """Cells of a table's own rows; the text of a cell fills every place that it spans."""
+    """Cells of a table's own rows; the text of a cell fills every place that it spans. Rows are laid out one by one, with
+    what hangs down into the next: for each column, the rows left and the text."""
     rows = [r for c in table.children if isinstance(c, Node) for r in ([c] if c.tag == "tr" else [x for x in c.children if isinstance(x, Node) and x.tag == "tr"] if c.tag in ("thead", "tbody", "tfoot") else [])]
-    at: dict[tuple[int, int], str] = {}
-    for r, row in enumerate(rows):
-        c = 0
-        for cell in (x for x in row.children if isinstance(x, Node) and x.tag in ("td", "th")):
-            while (r, c) in at:
-                c += 1
+    out: list[list[str]] = []
+    hanging: dict[int, tuple[int, str]] = {}
+    for i in range(len(rows) + ROWS_BELOW):
+        if i >= len(rows) and not hanging:
+            break
+        line: list[str] = []
+        below: dict[int, tuple[int, str]] = {}
+
+        def put(left: int, text: str, line: list[str] = line, below: dict = below, above: dict = hanging) -> None:
+            column = len(line)
+            line.append(text)
+            if left <= 0 and column in above:
+                left, text = above[column][0] - 1, above[column][1]
+            if left > 0:
+                below[column] = left, text
+
+        for cell in (x for x in (rows[i].children if i < len(rows) else ()) if isinstance(x, Node) and x.tag in ("td", "th")):
+            while len(line) in hanging:
+                put(hanging[len(line)][0] - 1, hanging[len(line)][1])
             text = " ".join(cell.text().split())
-            wide = _span(cell.attrs.get("colspan"))
-            at |= {(r + i, c + j): text for i in range(_span(cell.attrs.get("rowspan"))) for j in range(wide)}
-            c += wide
-    if not at:
-        return []
-    height, width = max(r for r, _ in at) + 1, max(c for _, c in at) + 1
-    return [[at.get((r, c), "") for c in range(width)] for r in range(height)]
+            for _ in range(_span(cell.attrs.get("colspan"), MAX_COLSPAN)):
+                put(_span(cell.attrs.get("rowspan"), MAX_ROWSPAN) - 1, text)
+        for column in sorted(c for c in hanging if c >= len(line)):
+            line += [""] * (column - len(line))
+            put(hanging[column][0] - 1, hanging[column][1])
+        out.append(line)
+        hanging = below
+    width = max(map(len, out), default=0)
+    return [line + [""] * (width - len(line)) for line in out] if width else []
 
 
 def pipe_block(rows: list[list[str]], name: str, caption: str = "") -> str:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.functions.text import strip
-from folioworks.operators.index import bm25_query, bm25_query_all, knn
+from folioworks.operators.index import Index, bm25_query, bm25_query_all, knn
+from folioworks.sources.scratch import cut
 
 RRF_K, CANDIDATES = 60, 20
 
@@ -21,7 +22,7 @@ def rrf(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
     return x.withColumn("rank", F.row_number().over(order)).drop("_seen")
 
 
-def hybrid_retrieve(queries: DataFrame, index: tuple, vectors: DataFrame, chunks: DataFrame, top_k: int = 5, candidates: int = CANDIDATES, k: int = RRF_K, cluster: str | None = None) -> tuple[DataFrame, DataFrame]:
+def hybrid_retrieve(queries: DataFrame, index: Index, vectors: DataFrame, chunks: DataFrame, top_k: int = 5, candidates: int = CANDIDATES, k: int = RRF_K, cluster: str | None = None) -> tuple[DataFrame, DataFrame]:
     """queries (query_id, text, embedding) -> (hits, facts).
 
     Blank queries go. Both lists have max(top_k, candidates) rows, of one cluster or of all; fused ids are cut to top_k
@@ -30,22 +31,24 @@ def hybrid_retrieve(queries: DataFrame, index: tuple, vectors: DataFrame, chunks
     """
     asked = queries.withColumn("text", strip("text")).where("text <> ''")
     n = max(top_k, candidates)
-    near = knn(asked.select("query_id", "embedding"), vectors, n, None if cluster is None else F.col("cluster") == cluster)
+    # both lists are read several times below; n rows a query each, they are written once
+    near = cut(knn(asked.select("query_id", "embedding"), vectors, n, None if cluster is None else F.col("cluster") == cluster), "nearest")
     if cluster is None:
         lexical = bm25_query_all(asked.select("query_id", "text"), index, n)
         missing = F.lit(False)
     else:
         lexical = bm25_query(asked.select("query_id", "text", F.lit(cluster).alias("cluster")), index, n)
-        missing = F.lit(index[3].where(F.col("cluster") == cluster).isEmpty())
+        missing = F.lit(index.stats.where(F.col("cluster") == cluster).isEmpty())
+    lexical = cut(lexical, "lexical")
     lists = lexical.select("query_id", F.lit(1).alias("list"), "rank", "chunk_id").unionByName(near.select("query_id", F.lit(2).alias("list"), "rank", "chunk_id"))
     fused = rrf(lists, k).where(F.col("rank") <= top_k)
     rows = chunks.select("chunk_id", "doc_id", "text", "cluster", F.col("section_id").alias("section_title"), F.col("doc_id").alias("doc_title"))
-    found = fused.join(rows, "chunk_id").withColumn("source", F.lit("hybrid_rrf"))
-    empty = asked.select("query_id").join(found.select("query_id").distinct(), "query_id", "left_anti")
-    spare = near.where(F.col("rank") <= top_k).join(empty, "query_id", "left_semi").join(rows, "chunk_id")
-    spare = spare.withColumn("score", 1.0 / (k + F.col("rank"))).withColumn("source", F.lit("semantic_fallback")).drop("distance")
-    hits = found.unionByName(spare.select(*found.columns))
-    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    spare = near.where(F.col("rank") <= top_k).select("query_id", "chunk_id", (1.0 / (k + F.col("rank"))).alias("score"), "rank", F.lit("semantic_fallback").alias("source"))
+    wanted = fused.select("query_id", "chunk_id", "score", "rank", F.lit("hybrid_rrf").alias("source")).unionByName(spare)
+    found = wanted.join(rows, "chunk_id")  # the only scan of texts: fused and spare rows together
+    of_query = Window.partitionBy("query_id")
+    found = found.withColumn("_fused", F.max(F.col("source") == "hybrid_rrf").over(of_query)).where(F.col("_fused") == (F.col("source") == "hybrid_rrf"))
+    hits = found.withColumn("rank", F.row_number().over(of_query.orderBy("rank")))
     hits = hits.select("query_id", "rank", "chunk_id", "doc_id", "text", "score", "cluster", "section_title", "doc_title", "source")
     return hits, retrieval_facts(asked, lexical, near, fused, hits, missing)
 

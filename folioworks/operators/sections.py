@@ -117,19 +117,59 @@ def article_priority() -> list[Column]:
     return [~F.col("service"), F.length("text") > 0, F.length("text")]
 
 
-def code_rows(docs: DataFrame, code: str = r"\d{3,5}", inline: str = r'(?i)(?:Счет|Счета)\s*N\s*(\d{3,5})\b') -> DataFrame:
-    """Coded rows of (doc_id, section_id, text): cells of a pipe row whose first is a code, and codes named inline.
-    Within a section the first row of a code counts, within a document the longest, at the place of the first."""
-    x = docs.select("doc_id", "section_id", F.posexplode(F.split("text", "\n")).alias("line", "s")).withColumn("s", strip("s"))
+def child_counts(sections: DataFrame) -> DataFrame:
+    """sections of split_chapters with children: how many points stand under a chapter or appendix up to the next one."""
+    run = F.sum(F.col("parent_section_id").isNull().cast("int")).over(Window.partitionBy("doc_id").orderBy("pos"))
+    held = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "_run")) - 1
+    x = sections.withColumn("_run", run)
+    return x.withColumn("children", F.when(F.col("parent_section_id").isNull(), held).otherwise(0)).drop("_run")
+
+
+def _refers_elsewhere() -> Column:
+    # What the notes of a legal database begin with.
+    return F.lower("text").contains("см. предыдущ") | F.lower("text").contains("см. будущ")
+
+
+def point_priority() -> list[Column]:
+    """Of points with one number: no note of another edition, then a text, then the number of children."""
+    return [~_refers_elsewhere(), strip("text") != "", F.col("children")]
+
+
+def chapter_priority() -> list[Column]:
+    """Of chapters and appendices with one number: a heading that names that number, then any heading, then a point of
+    that chapter at the start, then no note of another edition, then children (999 at most), then length (250,000)."""
+    chapter, appendix = F.col("section_id").startswith("гл."), F.col("section_id").startswith("Приложение")
+    number = F.regexp_extract("section_id", r"(\d*)$", 1)
+    low = F.lower(F.regexp_replace("text", r"(?U)^\s+", ""))
+    named = F.regexp_extract("text", r"(?U)^\s*(?:ГЛАВ[АЕ]|Глав[ае])\s+(\d+)\b", 1)
+    annexed = F.regexp_extract("text", r"(?U)^\s*(?:ПРИЛОЖЕНИЕ|Приложение)\s+(?:N\s*)?(\d+)\b", 1)
+    bare = F.col("text").rlike(r"(?U)^\s*(?:ПРИЛОЖЕНИЕ|Приложение)\b")
+    matches = F.when(chapter, named == number).when(appendix & (number == ""), bare).when(appendix, annexed == number).otherwise(False)
+    headed = F.when(chapter, low.startswith("глава")).when(appendix, low.startswith("приложение")).otherwise(False)
+    point = chapter & (F.regexp_extract("text", r"(?U)^\s*(\d+)(?:\.\d+)+\.", 1) == number)
+    return [matches, headed, point, ~_refers_elsewhere(), F.least("children", F.lit(999)), F.least(F.length("text"), F.lit(250_000))]
+
+
+# A code, and how it is named inline.
+CODE, INLINE_CODE = r"\d{3,5}", r"(?i)(?:Счет|Счета)\s*N\s*(\d{3,5})\b"
+
+
+def code_rows(docs: DataFrame, code: str = CODE, inline: str = INLINE_CODE) -> DataFrame:
+    """Coded rows of (doc_id, section_id, text, optional pos, the section's place): cells of a pipe row whose first is a
+    code, and codes named inline. Within a section the first row of a code counts, within a document the longest, at the
+    place of the first; without pos, sections stand in the order of their ids."""
+    place = F.col("pos") if "pos" in docs.columns else F.lit(0)
+    x = docs.select("doc_id", F.struct(place.alias("place"), "section_id").alias("section"), F.posexplode(F.split("text", "\n")).alias("line", "s")).withColumn("s", strip("s"))
     cells = F.transform(F.split(F.expr("substring(s, 2, length(s) - 2)"), r"\|"), strip)
     row = F.col("s").rlike(r"^\|.*\|$")
     table = x.where(row).withColumn("c", cells).where(F.col("c")[0].rlike(f"^{code}$"))
-    table = table.select("doc_id", "section_id", "line", F.lit(0).alias("k"), F.col("c")[0].alias("code"), F.coalesce(F.get("c", F.lit(1)), F.lit("")).alias("title"), F.array_join(F.filter("c", lambda v: v != ""), " | ").alias("text"))
-    named = x.where(~row).select("doc_id", "section_id", "line", F.posexplode(F.regexp_extract_all("s", F.lit(inline), F.lit(1))).alias("k", "code"), F.lit("").alias("title"), F.col("s").alias("text"))
-    every = table.unionByName(named).withColumn("pos", F.struct("section_id", "line", "k"))
-    first = every.groupBy("doc_id", "section_id", "code").agg(F.min_by(F.struct("title", "text"), "pos").alias("v"), F.min("pos").alias("pos"))
-    best = first.groupBy("doc_id", "code").agg(F.max_by("v", F.struct(F.length("v.text"), F.negative(F.col("pos.line")))).alias("v"), F.min("pos").alias("pos"))
-    return best.select("doc_id", "code", "v.title", "v.text", F.col("pos.section_id").alias("section_id"), F.col("pos.line").alias("line"))
+    table = table.select("doc_id", "section", "line", F.lit(0).alias("k"), F.col("c")[0].alias("code"), F.coalesce(F.get("c", F.lit(1)), F.lit("")).alias("title"), F.array_join(F.filter("c", lambda v: v != ""), " | ").alias("text"))
+    named = x.where(~row).select("doc_id", "section", "line", F.posexplode(F.regexp_extract_all("s", F.lit(inline), F.lit(1))).alias("k", "code"), F.lit("").alias("title"), F.col("s").alias("text"))
+    every = table.unionByName(named).withColumn("pos", F.struct("section", "line", "k"))
+    first = every.groupBy("doc_id", "section", "code").agg(F.min_by(F.struct("title", "text"), "pos").alias("v"), F.min("pos").alias("pos"))
+    longest = first.groupBy("doc_id", "code").agg(F.max(F.length("v.text")).alias("longest"), F.min("pos").alias("at"))
+    best = first.join(longest, ["doc_id", "code"]).where(F.length("v.text") == F.col("longest")).groupBy("doc_id", "code", "at").agg(F.min_by("v", "pos").alias("v"))
+    return best.select("doc_id", "code", "v.title", "v.text", F.col("at.section.section_id").alias("section_id"), F.col("at.line").alias("line"))
 
 
 def split_by_pattern(docs: DataFrame, patterns: Sequence[str], prefix: str = "форма ") -> DataFrame:
@@ -245,13 +285,23 @@ def last_revision_date(docs: DataFrame, as_of: Column) -> DataFrame:
     return dates.groupBy("doc_id").agg(F.coalesce(past, F.max("d")).alias("revised"))
 
 
+def _locate(part: Column, text: Column, start: Column) -> Column:
+    return F.call_function("locate", part, text, start)
+
+
 def table_blocks(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> one row for each table block of four lines or more: id, header, separator, rows."""
+    """docs (doc_id, text) -> one row for each table block of four lines or more: id, header, separator, rows, and where
+    it starts in the text (from 1)."""
     from folioworks.functions.text import BLOCK
 
-    x = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"({BLOCK})"), F.lit(1))).alias("pos", "raw"))
+    found = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(f"({BLOCK})"), F.lit(1)).alias("_b"))
+    # each block is the next one of its wording after the end of the block before
+    after = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("starts"))
+    step = lambda a, raw: F.struct((_locate(raw, F.col("text"), a["next"]) + F.length(raw)).alias("next"), F.concat(a["starts"], F.array(_locate(raw, F.col("text"), a["next"]))).alias("starts"))
+    placed = found.withColumn("_s", F.aggregate("_b", after, step, lambda a: a["starts"]))
+    x = placed.select("doc_id", F.posexplode(F.arrays_zip(F.col("_b").alias("raw"), F.col("_s").alias("start"))).alias("pos", "z")).select("doc_id", "pos", "z.raw", "z.start")
     x = x.withColumn("l", F.split("raw", "\n")).where("size(l) >= 4")
-    return x.select("doc_id", "pos", F.regexp_extract(F.col("l")[0], r"id=([^\s⟧]+)", 1).alias("table_id"), F.col("l")[1].alias("header"), F.col("l")[2].alias("separator"), F.expr("slice(l, 4, size(l) - 4)").alias("rows"), "raw")
+    return x.select("doc_id", "pos", F.regexp_extract(F.col("l")[0], r"id=([^\s⟧]+)", 1).alias("table_id"), F.col("l")[1].alias("header"), F.col("l")[2].alias("separator"), F.expr("slice(l, 4, size(l) - 4)").alias("rows"), "raw", "start")
 
 
 def table_stats(blocks: DataFrame) -> DataFrame:
@@ -265,6 +315,7 @@ def compact_table(blocks: DataFrame, max_chars: int = 12_000, max_rows: int = 24
     tail = max(1, max_rows - head)
     n = F.size("rows")
     more = F.greatest(n - head - tail, F.lit(0))
+    # The two notes on what was left out.
     note = F.array(F.concat(F.lit("| ... | Пропущено "), more.cast("string"), F.lit(" строк для сокращения prompt |")))
     some = F.when(more > 0, F.concat(F.slice("rows", 1, head), note, F.slice("rows", F.greatest(n - tail + 1, F.lit(1)), F.lit(tail)))).otherwise(F.slice("rows", 1, max_rows))
     frame = lambda rows: F.array_join(F.concat(F.array(F.split("raw", "\n")[0], F.col("header"), F.col("separator")), rows, F.array(F.lit("⟦/TABLE⟧"))), "\n")

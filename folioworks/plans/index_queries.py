@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from folioworks.operators import pages as P
 from folioworks.operators import retrieval as R
 from folioworks.plans.text_queries import Texts
 from folioworks.sources import files
+from folioworks.sources.scratch import cut, scratch_path, write_file
 from folioworks.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,7 +100,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def built(x: Data) -> tuple:
+def built(x: Data) -> I.Index:
     return I.bm25_index(x.chunk_rows)
 
 
@@ -177,6 +179,13 @@ def _(x: Data) -> DataFrame:
     return hits.join(facts.select("query_id", "bm25_fallback"), "query_id")
 
 
+@query("lexical_missing", "SELECT query_id, true AS bm25_fallback, 0 AS bm25_hits, 5 AS fused_hits FROM asked")
+def _(x: Data) -> DataFrame:
+    """A named cluster without a lexical index: an empty list and the flag."""
+    facts = R.hybrid_retrieve(x.asked, built(x), x.vectors.withColumn("cluster", F.lit("none")), x.chunk_rows, cluster="none")[1]
+    return facts.select("query_id", "bm25_fallback", "bm25_hits", "fused_hits")
+
+
 @query("retrieval_facts", """
 , f AS (SELECT query_id, chunk_id, rank FROM fused WHERE rank <= 5)
 SELECT query_id, (SELECT count(*) FROM near n WHERE n.query_id = a.query_id AND rank <= 20) AS semantic_hits, (SELECT count(*) FROM lex l WHERE l.query_id = a.query_id AND rank <= 20) AS bm25_hits,
@@ -233,9 +242,9 @@ def _(x: Data) -> DataFrame:
     return R.eval_cases(sets)
 
 
-@query("index_summary", "SELECT lang AS cluster, count(*) AS chunk_count, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS doc_ids, '2024-01-01' AS built_at FROM documents GROUP BY 1")
+@query("index_summary", "SELECT lang AS cluster, doc_id, count(*) AS chunk_count, sum(count(*)) OVER (PARTITION BY lang) AS cluster_chunks, '2024-01-01' AS built_at FROM documents GROUP BY 1, 2")
 def _(x: Data) -> DataFrame:
-    return I.index_summary(x.chunk_rows, F.lit("2024-01-01")).withColumn("doc_ids", F.array_join("doc_ids", ","))
+    return I.index_summary(x.chunk_rows, F.lit("2024-01-01"))
 
 
 @query("stale_clusters", "SELECT source AS cluster FROM documents GROUP BY 1 HAVING source IN ('src3', 'src4') OR max(doc_id) % 2 = 1")
@@ -409,7 +418,7 @@ def _(x: Data) -> DataFrame:
 
 def _with_tables(x: Data) -> DataFrame:
     tables = F.sort_array(F.collect_list(F.expr("named_struct('table_id', concat('T', l_linenumber), 'summary', CASE WHEN l_returnflag = 'N' THEN '' ELSE l_linestatus END)")))
-    return x.read("lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("s"), F.col("l_suppkey") % 3).alias("section_id")).agg(tables.alias("tables"))
+    return x.read("lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("s"), F.col("l_suppkey") % 3).alias("section_id")).agg(tables.alias("tables"), F.max(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("updated_at"))
 
 
 @query("tables_to_enrich", "SELECT l_orderkey AS doc_id, concat('s', l_suppkey % 3) AS section_id FROM lineitem WHERE l_suppkey % 3 < 2 GROUP BY 1, 2 HAVING bool_or(l_returnflag = 'N')")
@@ -437,8 +446,8 @@ def _(x: Data) -> DataFrame:
 
 
 @query("artifact_parsed", """
-, s AS (SELECT l_orderkey AS doc_id, concat('s', l_suppkey % 3) AS section_id, count(*) AS n, count_if(l_returnflag <> 'N' AND trim(l_linestatus) <> '') AS d FROM lineitem GROUP BY 1, 2)
-SELECT doc_id, count(*) AS sections, count(*) AS sections_with_tables, count_if(n = d) AS sections_enriched, sum(n) AS tables, sum(d) AS tables_enriched, sum(length(section_id)) AS chars, count(*) AS tokens FROM s GROUP BY 1""")
+, s AS (SELECT l_orderkey AS doc_id, concat('s', l_suppkey % 3) AS section_id, count(*) AS n, count_if(l_returnflag <> 'N' AND trim(l_linestatus) <> '') AS d, max(strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d')) AS u FROM lineitem GROUP BY 1, 2)
+SELECT doc_id, count(*) AS sections, count(*) AS sections_with_tables, count_if(d > 0) AS sections_enriched, sum(n) AS tables, sum(d) AS tables_enriched, sum(length(section_id)) AS chars, count(*) AS tokens, max(u) AS updated_at FROM s GROUP BY 1""")
 def _(x: Data) -> DataFrame:
     return K.artifact_parsed(_with_tables(x).withColumn("text", F.col("section_id")))
 
@@ -484,33 +493,102 @@ def _(x: Data) -> DataFrame:
     return texts.select(F.col("doc_id").alias("page_id"), rows.cast("long").alias("n_rows"), (pipes - 1).alias("n_columns"))
 
 
-def _written(x: Data, name: str, rows: DataFrame) -> str:
-    path = files.scratch(x.spark, name)
-    rows.write.text(path)
-    return path
+def _json_files(x: Data, name: str, bodies: DataFrame, ending: str = ".json") -> str:
+    """Files of bodies (file, body) in the shared folder, written by tasks, and a malformed one beside them."""
+    folder = scratch_path(x.spark, name)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                write_file(folder, f"{file}{ending}", [body if isinstance(body, bytes) else body.encode()])
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int32())})
+
+    cut(bodies.selectExpr("CAST(file AS STRING) AS file", "body").mapInArrow(write, "files int"), "manifest")
+    if ending == ".json":
+        write_file(folder, "malformed.json", [b'{"doc_id": "malformed", "sections": [{"section_id": '])
+    return folder
+
+
+def _by_conversation(x: Data, item: str) -> DataFrame:
+    """(conv_id, items): one struct for each turn, in order."""
+    listed = F.sort_array(F.collect_list(F.struct("turn", F.expr(item).alias("i"))))
+    return x.read("conversations").groupBy("conv_id").agg(F.transform(listed, lambda r: r["i"]).alias("items"))
+
+
+@query("read_sections", "SELECT CAST(conv_id AS VARCHAR) AS doc_id, concat('s', turn) AS section_id, role AS title, text, CASE WHEN turn % 2 = 0 THEN 'T1' END AS table_id FROM conversations")
+def _(x: Data) -> DataFrame:
+    section = "struct(concat('s', turn) AS k, named_struct('title', role, 'text', text, 'metadata', named_struct('tables', CASE WHEN turn % 2 = 0 THEN array(named_struct('table_id', 'T1', 'row_count', turn)) END)) AS v)"
+    bodies = _by_conversation(x, section).select(F.col("conv_id").alias("file"), F.to_json(F.map_from_entries(F.transform("items", lambda i: F.struct(i["k"], i["v"])))).alias("body"))
+    rows = files.read_sections(x.spark, _json_files(x, "sections", bodies))
+    return rows.select("doc_id", "section_id", "title", "text", F.get("tables", F.lit(0))["table_id"].alias("table_id"))
+
+
+@query("read_section_tree", """SELECT CAST(conv_id AS VARCHAR) AS doc_id, 'h1_1' AS section_id, CAST(NULL AS VARCHAR) AS parent_section_id, 1 AS level, 0 AS "order", 'whole' AS title, CAST(NULL AS VARCHAR) AS text, 'h1_1' AS path FROM conversations GROUP BY 1
+UNION ALL SELECT CAST(conv_id AS VARCHAR), concat('h2_', turn), 'h1_1', 2, turn + 1, role, text, concat('h1_1/h2_', turn) FROM conversations""")
+def _(x: Data) -> DataFrame:
+    child = "named_struct('section_id', concat('h2_', turn), 'parent_section_id', 'h1_1', 'level', 2, 'order', turn + 1, 'path', array('h1_1', concat('h2_', turn)), 'title', role, 'text', text)"
+    root = F.array(F.expr("named_struct('section_id', 'h1_1', 'level', 1, 'order', 0, 'path', array('h1_1'), 'title', 'whole', 'children', items)"))
+    bodies = _by_conversation(x, child).select(F.col("conv_id").alias("file"), F.to_json(F.struct(F.col("conv_id").cast("string").alias("doc_id"), root.alias("sections"))).alias("body"))
+    rows = files.read_section_tree(x.spark, _json_files(x, "tree", bodies))
+    return rows.select("doc_id", "section_id", "parent_section_id", "level", "order", "title", "text", F.array_join("path", "/").alias("path"))
+
+
+_ITEM = "named_struct('id', concat(conv_id, '-', turn), 'difficulty', role, 'question', concat('turn ', turn), 'answer', text)"
+
+
+def _question_files(x: Data, broken: str = "false") -> str:
+    whole = F.to_json(F.struct(F.col("conv_id").cast("string").alias("doc_id"), F.col("items").alias("questions")))
+    body = F.when(F.expr(broken), F.expr("left(w, length(w) - 3)")).otherwise(F.col("w"))
+    return _json_files(x, "questions", _by_conversation(x, _ITEM).withColumn("w", whole).select(F.col("conv_id").alias("file"), body.alias("body")))
+
+
+_ASKED = "SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, concat(conv_id, '-', turn) AS id, role AS difficulty, concat('turn ', turn) AS question, text AS answer FROM conversations"
+
+
+@query("read_questions", _ASKED)
+def _(x: Data) -> DataFrame:
+    return files.read_questions(x.spark, _question_files(x)).drop("source_hint")
+
+
+@query("tolerate_bad_json", _ASKED + " WHERE conv_id % 3 > 0")
+def _(x: Data) -> DataFrame:
+    """A third of the files are cut off; the others are read."""
+    return files.read_questions(x.spark, _question_files(x, "conv_id % 3 = 0")).drop("source_hint")
+
+
+@query("read_markdown", "SELECT CAST(conv_id AS VARCHAR) AS doc_id, string_agg(concat('# ', role, chr(10), text), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
+def _(x: Data) -> DataFrame:
+    bodies = _by_conversation(x, "concat('# ', role, '\n', text)").select(F.col("conv_id").alias("file"), F.array_join("items", "\n").alias("body"))
+    return files.read_markdown(x.spark, _json_files(x, "markdown", bodies, ".md")).select("doc_id", "text")
+
+
+@query("read_raw_bytes", """SELECT CAST(page_id AS VARCHAR) AS name, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'zip' WHEN 2 THEN 'rtf' ELSE 'html' END AS format,
+md5(concat(CASE page_id % 4 WHEN 0 THEN '%PDF-1.7' WHEN 1 THEN 'PK' WHEN 2 THEN concat('{', chr(92), 'rtf1') ELSE '' END, html)) AS digest FROM pages""")
+def _(x: Data) -> DataFrame:
+    head = F.expr(r"CASE page_id % 4 WHEN 0 THEN '%PDF-1.7' WHEN 1 THEN 'PK' WHEN 2 THEN '{\\rtf1' ELSE '' END")
+    bodies = x.read("pages").select(F.col("page_id").alias("file"), F.concat(head, "html").cast("binary").alias("body"))
+    rows = files.read_raw(x.spark, _json_files(x, "raw", bodies, ".bin"))
+    return rows.select(F.regexp_extract("path", r"([^/]+)\.bin$", 1).alias("name"), "format", F.md5("content").alias("digest"))
 
 
 @query("read_chunks", "SELECT CAST(conv_id AS VARCHAR) AS doc_id, concat(conv_id, '-', turn) AS chunk_id, text, role <> 'system' AS is_indexed FROM conversations")
 def _(x: Data) -> DataFrame:
-    """Chunk files written as JSON lines of one document each, a malformed one among them, and read back."""
-    chunks = F.collect_list(F.struct(F.concat("conv_id", F.lit("-"), "turn").alias("chunk_id"), F.col("conv_id").cast("string").alias("doc_id"), "text", (F.col("role") != "system").alias("is_indexed")))
-    docs = x.read("conversations").groupBy("conv_id").agg(chunks.alias("chunks"))
-    path = files.scratch(x.spark, "chunks")
-    docs.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("doc_id"), "chunks")).alias("value")).repartition(200).write.text(path)
-    parsed = x.spark.read.text(path).select(F.from_json("value", f"struct<doc_id:string,chunks:array<{files.CHUNK}>>").alias("d")).where("d IS NOT NULL")
-    return parsed.select(F.explode("d.chunks").alias("c")).select("c.doc_id", "c.chunk_id", "c.text", "c.is_indexed")
+    """Chunk files, one for each conversation, a malformed one among them, written and read back."""
+    chunk = "named_struct('chunk_id', concat(conv_id, '-', turn), 'doc_id', CAST(conv_id AS STRING), 'text', text, 'is_indexed', role <> 'system')"
+    bodies = _by_conversation(x, chunk).select(F.col("conv_id").alias("file"), F.to_json(F.struct(F.col("conv_id").cast("string").alias("doc_id"), F.col("items").alias("chunks"))).alias("body"))
+    return files.read_chunks(x.spark, _json_files(x, "chunks", bodies)).select("doc_id", "chunk_id", "text", "is_indexed")
 
 
 @query("write_chunks", "SELECT doc_id AS chunk_id, lang AS cluster, text FROM documents")
 def _(x: Data) -> DataFrame:
-    path = files.scratch(x.spark, "corpus")
+    path = scratch_path(x.spark, "corpus")
     files.write_chunks(x.chunk_rows.select("chunk_id", "cluster", "text"), path)
     return x.spark.read.parquet(path).select("chunk_id", "cluster", "text")
 
 
 @query("write_report", "SELECT lang, count(*) AS documents FROM documents GROUP BY 1")
 def _(x: Data) -> DataFrame:
-    path = files.scratch(x.spark, "report")
+    path = scratch_path(x.spark, "report")
     files.write_report(x.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("documents")), path)
     return x.spark.read.schema("lang string, documents long").json(path)
 
@@ -522,8 +600,8 @@ def _(x: Data) -> DataFrame:
 
 def _run(x: Data, stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Run a stream over what there is into a table in the shared folder."""
-    out = files.scratch(x.spark, name)
-    stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", files.scratch(x.spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    out = scratch_path(x.spark, name)
+    stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", scratch_path(x.spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return x.spark.read.schema(stream.schema).parquet(out)
 
 
@@ -541,12 +619,12 @@ def _(x: Data) -> DataFrame:
 @query("stream_sessions", "SELECT user_id AS session_id, count(*) AS request_count, count_if(event_type = 'error') AS error_count, sum(event_id % 100) AS total_tokens FROM events GROUP BY 1")
 def _(x: Data) -> DataFrame:
     events = _events(x).selectExpr("user_id AS session_id", "ts", "CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status", "event_id % 100 AS tokens")
-    out = files.scratch(x.spark, "sessions")
+    out = scratch_path(x.spark, "sessions")
 
     def upsert(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/{number}")
 
-    q = streams.stream_sessions(events).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", files.scratch(x.spark, "checkpoint")).trigger(availableNow=True).start()
+    q = streams.stream_sessions(events).writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", scratch_path(x.spark, "checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()
     batches = x.spark.read.option("recursiveFileLookup", "true").parquet(out)
     last = batches.groupBy("session_id").agg(F.max(F.struct("request_count", "error_count", "total_tokens")).alias("s"))
@@ -565,7 +643,7 @@ def _(x: Data) -> DataFrame:
 @query("stream_index", "SELECT doc_id, lang AS cluster FROM documents")
 def _(x: Data) -> DataFrame:
     docs = x.spark.readStream.schema(x.documents.schema).parquet(f"{x.dir}/documents.parquet*").selectExpr("doc_id", "text", "lang AS cluster")
-    target = files.scratch(x.spark, "index")
+    target = scratch_path(x.spark, "index")
     to_chunks = lambda d: d.selectExpr("concat(doc_id, '__0') AS chunk_id", "doc_id", "cluster", "text")
-    streams.stream_index(docs, to_chunks, I.embed_chunks, target, files.scratch(x.spark, "checkpoint")).awaitTermination()
+    streams.stream_index(docs, to_chunks, I.embed_chunks, target, scratch_path(x.spark, "checkpoint")).awaitTermination()
     return x.spark.read.parquet(f"{target}/vectors").where("size(embedding) = 64").select("doc_id", "cluster")

@@ -79,6 +79,14 @@ class Texts:
     def catalog(self) -> DataFrame:
         return self.documents.selectExpr("doc_id", "CASE WHEN doc_id % 4 = 0 THEN 'synthetic' ELSE 'real' END AS source_type", "'law' AS doc_type", "source AS doc_subtype", "lang AS cluster", "concat('0', 1 + doc_id % 9, '.11.2023') AS approval_date")
 
+    @property
+    def run_chunks(self) -> DataFrame:
+        """Chunks of documents whose every character is made the same letter: their pieces are plain cuts, which SQL can
+        follow."""
+        docs = self.documents.selectExpr("doc_id", "repeat(char(97 + doc_id % 26), length(text)) AS text")
+        tree = S.section_rollup(S.section_tree(S.md_headings(docs)))
+        return C.build_chunks(tree, self.catalog, F.lit("2024-01-01"))
+
     @property
     def chunks(self) -> DataFrame:
         tree = S.section_rollup(S.section_tree(S.md_headings(self.documents.select("doc_id", "text"))))
@@ -139,7 +147,7 @@ def _(t: Texts) -> DataFrame:
     return t.tables.select("doc_id", "block")
 
 
-@query("table_blocks", """SELECT doc_id, 0 AS pos, 'T1' AS table_id, '| line | part | quantity | flag |' AS header, '| --- | --- | --- | --- |' AS separator, CAST(n AS INTEGER) AS n_rows, block AS raw FROM blocks""")
+@query("table_blocks", """SELECT doc_id, 0 AS pos, 'T1' AS table_id, '| line | part | quantity | flag |' AS header, '| --- | --- | --- | --- |' AS separator, CAST(n AS INTEGER) AS n_rows, block AS raw, CAST(length(concat('Order ', doc_id)) + 3 AS INTEGER) AS start FROM blocks""")
 def _(t: Texts) -> DataFrame:
     return S.table_blocks(t.tables.select("doc_id", "text")).withColumn("n_rows", F.size("rows")).drop("rows")
 
@@ -325,6 +333,64 @@ def _(t: Texts) -> DataFrame:
     return C.parent_context(hits, chunks).select("chunk_id", "doc_id", F.length("context").alias("context_chars"))
 
 
+RUNS = """
+, d AS (SELECT doc_id, length(text) AS n, repeat(chr(CAST(97 + doc_id % 26 AS INTEGER)), CAST(length(text) AS INTEGER)) AS t, source, lang, doc_id % 4 = 0 AS internal FROM documents),
+k AS (SELECT *, 'leaf' AS chunk_type, '0' AS suffix, 0 AS i, 1 AS total, t AS body FROM d WHERE n <= 800 UNION ALL SELECT *, 'split_parent', 'parent', 0, 1, t FROM d WHERE n > 800
+  UNION ALL SELECT doc_id, n, t, source, lang, internal, 'split_child', CAST(i AS VARCHAR), i, CAST(ceil(n / 800.0) AS INTEGER), concat(CASE WHEN i > 0 THEN concat(left(t, 120), ' ') ELSE '' END, substr(t, CAST(800 * i + 1 AS BIGINT), 800)) FROM (SELECT *, unnest(generate_series(0, CAST(ceil(n / 800.0) AS BIGINT) - 1)) AS i FROM d WHERE n > 800)),
+c AS (SELECT doc_id, concat(doc_id, '__h1_1__ord_1__', suffix) AS chunk_id, CASE WHEN chunk_type = 'split_child' THEN concat(doc_id, '__h1_1__ord_1__parent') END AS parent_chunk_id, chunk_type, chunk_type <> 'split_parent' AS is_indexed, CAST(i AS INTEGER) AS chunk_index, CAST(total AS INTEGER) AS chunk_total, body AS text, lang AS cluster,
+  source, internal, n, concat('2023-11-0', 1 + doc_id % 9) AS as_of_date FROM k)"""
+
+
+@query("build_chunks_of_runs", RUNS + " SELECT chunk_id, doc_id, parent_chunk_id, chunk_type, is_indexed, chunk_index, chunk_total, text, CAST(length(text) AS INTEGER) AS char_count, cluster, as_of_date FROM c")
+def _(t: Texts) -> DataFrame:
+    return t.run_chunks.select("chunk_id", "doc_id", "parent_chunk_id", "chunk_type", "is_indexed", "chunk_index", "chunk_total", "text", "char_count", "cluster", "as_of_date")
+
+
+@query("chunk_totals_of_runs", RUNS + " SELECT doc_id, count(*) AS chunk_count, count_if(is_indexed) AS indexed_count FROM c GROUP BY 1")
+def _(t: Texts) -> DataFrame:
+    return C.chunk_totals(t.run_chunks)
+
+
+@query("chunk_metadata_of_runs", RUNS + """ SELECT chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, 'h1_1' AS section_id, coalesce(parent_chunk_id, '') AS parent_chunk_id, chunk_type, '' AS parent_section_id, CASE WHEN internal THEN 'synthetic' ELSE 'real' END AS source_type, 'law' AS doc_type,
+source AS doc_subtype, cluster, as_of_date, 1 AS level, chunk_index, chunk_total, false AS contains_table, '' AS table_ids FROM c""")
+def _(t: Texts) -> DataFrame:
+    return C.chunk_metadata(t.run_chunks)
+
+
+@query("indexable_chunks_of_runs", RUNS + " SELECT chunk_id, doc_id, chunk_index, chunk_total FROM c WHERE is_indexed")
+def _(t: Texts) -> DataFrame:
+    return C.indexable_chunks(t.run_chunks).select("chunk_id", "doc_id", "chunk_index", "chunk_total")
+
+
+@query("parent_context_of_runs", RUNS + " SELECT c.chunk_id, c.doc_id, coalesce(p.text, c.text) AS context FROM c LEFT JOIN c p ON p.chunk_id = c.parent_chunk_id WHERE c.is_indexed")
+def _(t: Texts) -> DataFrame:
+    chunks = t.run_chunks
+    return C.parent_context(C.indexable_chunks(chunks).select("chunk_id", "doc_id"), chunks)
+
+
+@query("add_overlap", """, s AS (SELECT doc_id, unnest(string_split(text, '. ')) AS p, generate_subscripts(string_split(text, '. '), 1) AS i FROM documents),
+t AS (SELECT doc_id, i, p, lag(p) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM s),
+u AS (SELECT *, CASE WHEN contains(right(b, 40), ' ') THEN substr(right(b, 40), instr(right(b, 40), ' ') + 1) ELSE right(b, 40) END AS tail FROM t)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN b IS NULL OR tail = '' THEN p ELSE concat(tail, ' ', p) END AS piece FROM u""")
+def _(t: Texts) -> DataFrame:
+    return t.documents.select("doc_id", F.posexplode(X.overlapped(F.split("text", r"\. "), 40)).alias("pos", "piece"))
+
+
+@query("inject_summaries", "SELECT doc_id, concat('Order ', doc_id, chr(10), chr(10), CASE WHEN doc_id % 3 > 0 THEN concat('Сводка таблицы T1: order ', doc_id, chr(10), chr(10)) ELSE '' END, block, chr(10), chr(10), 'end') AS text FROM blocks")
+def _(t: Texts) -> DataFrame:
+    said = F.when(F.col("doc_id") % 3 > 0, F.create_map(F.lit("T1"), F.concat(F.lit("order "), "doc_id")))
+    return C.inject_summaries(t.tables.select("doc_id", "text", said.alias("summaries")))
+
+
+@query("split_table", "SELECT doc_id, 'T1' AS table_id, n AS rows, block AS rejoined FROM blocks")
+def _(t: Texts) -> DataFrame:
+    """Fragments of every table put together again: each has the frame, and the rows between are those of the table."""
+    parts = C.split_tables(S.table_blocks(t.tables.select("doc_id", "text")), 120).withColumn("l", F.split("text", "\n"))
+    framed = parts.select("doc_id", "table_id", "index", F.slice("l", 1, 3).alias("top"), F.expr("slice(l, 4, size(l) - 4)").alias("rows"), F.element_at("l", -1).alias("end"))
+    whole = framed.groupBy("doc_id", "table_id", "top", "end").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("index", "rows"))), lambda p: p["rows"])).alias("r"))
+    return whole.select("doc_id", "table_id", F.size("r").cast("long").alias("rows"), F.array_join(F.concat("top", "r", F.array("end")), "\n").alias("rejoined"))
+
+
 @query("chunk_profile", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 1600 ELSE 800 END AS child_max, CASE WHEN doc_id % 5 = 0 THEN 80 ELSE 120 END AS overlap, 3500 AS parent_max FROM documents")
 def _(t: Texts) -> DataFrame:
     own = t.documents.where("doc_id % 5 = 0").selectExpr("doc_id", "1600 AS child_max", "80 AS overlap", "CAST(NULL AS INT) AS parent_max")

@@ -142,3 +142,95 @@ def test_readers_skip_malformed_files(spark, tmp_path):
     for name, head in (("a", b"%PDF-1"), ("b", b"PK\x03\x04"), ("c", b"{\\rtf1"), ("d", b"<html>")):
         (tmp_path / "r" / name).write_bytes(head)
     assert sorted(r["format"] for r in files.read_raw(spark, str(tmp_path / "r")).collect()) == ["html", "pdf", "rtf", "zip"]
+
+
+def test_sections_of_a_regulation_keep_the_best_of_repeats(spark):
+    from folioworks.operators import sections as S
+
+    rows = [
+        (1, 0, "гл.2", None, "Глава 2. См. предыдущую редакцию и ещё очень длинный текст"), (1, 1, "п.2.1", "гл.2", "2.1. см. будущую"), (1, 2, "гл.2", None, "Глава 2. Общее"), (1, 3, "п.2.1", "гл.2", "2.1. норма"),
+        (1, 4, "гл.3", None, "Глава 33. Не та"), (1, 5, "гл.3", None, "3.1. Пункт вместо заголовка"), (1, 6, "Приложение 1", None, "текст без заголовка"), (1, 7, "Приложение 1", None, "Приложение N 1 к Положению"),
+    ]
+    x = S.child_counts(spark.createDataFrame(rows, "doc_id long, pos int, section_id string, parent_section_id string, text string"))
+    assert [r["children"] for r in x.orderBy("pos").collect()] == [1, 0, 1, 0, 0, 0, 0, 0]
+    top = {r["section_id"]: (r["pos"], r["text"]) for r in S.dedupe_sections(x.where("parent_section_id IS NULL"), S.chapter_priority()).collect()}
+    assert top == {"гл.2": (0, rows[2][4]), "гл.3": (4, rows[4][4]), "Приложение 1": (6, rows[7][4])}
+    points = {r["section_id"]: r["text"] for r in S.dedupe_sections(x.where("parent_section_id IS NOT NULL"), S.point_priority()).collect()}
+    assert points == {"п.2.1": "2.1. норма"}
+
+
+def test_a_code_stands_where_its_first_section_does(spark):
+    from folioworks.operators.sections import code_rows
+
+    rows = [(1, "s2", 0, "| 101 | short |"), (1, "s10", 1, "\n| 101 | the longest of all |"), (1, "s1", 2, "| 101 | mid one |")]
+    docs = spark.createDataFrame(rows, "doc_id long, section_id string, pos int, text string")
+    [got] = code_rows(docs).collect()
+    assert (got["section_id"], got["line"], got["title"]) == ("s2", 0, "the longest of all")
+
+
+def test_each_of_two_equal_tables_has_its_own_context(spark):
+    from folioworks.operators.checks import table_context
+    from folioworks.operators.sections import table_blocks
+
+    block = "⟦TABLE id=T1⟧\n| a |\n| --- |\n| 1 |\n⟦/TABLE⟧"
+    docs = spark.createDataFrame([(1, f"first\n{block}\nmiddle\n{block}\nlast"), (2, None)], "doc_id long, text string")
+    blocks = table_blocks(docs)
+    assert [r["start"] for r in blocks.orderBy("pos").collect()] == [7, 7 + len(block) + 8]
+    got = sorted(r["context"] for r in table_context(blocks, docs, around=8).collect())
+    assert got == sorted([f"first\n{block}\nmiddle", f"middle\n{block}\nlast"])
+
+
+def test_nearest_neighbours_leave_out_vectors_that_are_not_whole(spark):
+    from folioworks.operators.index import knn
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, [1.0]), (7, []), (8, [2.0, 0.0])], "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([(10, [1.0, 0.0]), (11, None), (12, [3.0])], "query_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["chunk_id"]) for r in knn(q, v, 2, block=2, query_block=1).orderBy("query_id", "rank").collect()]
+    assert got == [(10, 1, 1), (10, 2, 8), (12, 1, 6)]
+    assert knn(q.where("false"), v).count() == 0 == knn(q, v.where("false")).count()
+
+
+def test_spans_of_cells_are_bounded():
+    from folioworks.operators.pages import grid, parse
+
+    table = parse('<table><tr><td rowspan="2">a</td><td colspan="100000000">b</td></tr><tr><td>c</td><td rowspan="99999">d</td></tr></table>').children[0]
+    rows = grid(table)
+    assert len(rows[0]) == 1001 and rows[1][:3] == ["a", "c", "d"] and len(rows) == 2 + 100 and rows[-1][:3] == ["", "", "d"]
+
+
+def test_overlap_in_columns_equals_the_plain_function(spark):
+    from folioworks.functions import splitting
+    from folioworks.functions.text import overlapped
+
+    parts = [["one two three", "four", "", "a" * 30, "x y"], ["alone"], []]
+    got = [r["p"] for r in spark.createDataFrame([(i, p) for i, p in enumerate(parts)], "i int, p array<string>").select("i", overlapped(F.col("p"), 8).alias("p")).orderBy("i").collect()]
+    assert got == [splitting.overlapped(p, 8) for p in parts]
+
+
+def test_retrieval_reads_texts_once_to_index_and_once_to_attach(spark, tmp_path):
+    from folioworks.plans.index_queries import Data, hybrid
+
+    spark.createDataFrame([(i, f"word{i % 7} other words {i}", "en", "web") for i in range(40)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], i % 3) for i in range(40)], "vec_id long, embedding array<double>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"word{i} words") for i in range(5)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    hits, facts = hybrid(Data(spark, str(tmp_path)))
+    for df in (hits, facts):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation") > 0 and sum("documents.parquet" in str(f) for f in df.inputFiles()) <= len(spark.read.parquet(f"{tmp_path}/documents.parquet").inputFiles())
+        assert hits.count() == 25
+
+
+def test_index_is_stored_and_clusters_are_replaced_alone(spark, tmp_path):
+    from folioworks.operators.index import bm25_index, read_index, rebuild_dirty
+
+    rows = [("a", 1, "red fox"), ("a", 2, "red red"), ("b", 3, "blue fox"), ("b", 4, None)]
+    chunks = spark.createDataFrame(rows, "cluster string, chunk_id long, text string")
+    path = f"{tmp_path}/index"
+    bm25_index(chunks, path=path)
+    changed = chunks.where("cluster = 'b'").unionByName(spark.createDataFrame([("b", 5, "blue bird")], chunks.schema))
+    dirty = spark.createDataFrame([("b",), ("c",)], "cluster string")
+    _, left = rebuild_dirty(changed, dirty, path)
+    index = read_index(spark, path, "cluster string, chunk_id long")
+    assert sorted((r["cluster"], r["chunk_id"], r["term"], r["tf"]) for r in index.postings.collect()) == [("a", 1, "fox", 1), ("a", 1, "red", 1), ("a", 2, "red", 2), ("b", 3, "blue", 1), ("b", 3, "fox", 1), ("b", 5, "bird", 1), ("b", 5, "blue", 1)]
+    assert sorted((r["cluster"], r["n"], r["avg_len"]) for r in index.stats.collect()) == [("a", 2, 2.0), ("b", 3, 4 / 3)]
+    assert [r["cluster"] for r in left.collect()] == ["c"]
