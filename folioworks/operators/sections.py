@@ -242,6 +242,7 @@ def wanted_sections(catalog: DataFrame) -> DataFrame:
     return first.select("ref_doc", "section_id", (F.row_number().over(Window.partitionBy("ref_doc").orderBy("at")) - 1).alias("pos"))
 
 
+# A range of numbered sections, and one of them.
 RANGE = r"^(п\.|сч\.|гл\.)(\d+(?:\.\d+)?)\s*-\s*(\d+(?:\.\d+)?)$"
 NUMBERED = r"^(п\.|сч\.|гл\.)(\d+(?:\.\d+)?)$"
 
