@@ -36,8 +36,9 @@ def when_ok(name: str) -> Column:
     return F.when(F.col("status") == "ok", F.col(name))
 
 
-def percentile(name: str, share: float) -> Column:
-    return F.percentile(when_ok(name), F.lit(share))
+def percentile(name: str, share: float, accuracy: int | None = None) -> Column:
+    """Of ok rows; exact, which holds all values of a window in one buffer, or to 1 / accuracy of the ranks."""
+    return F.percentile(when_ok(name), F.lit(share)) if accuracy is None else F.percentile_approx(when_ok(name), share, accuracy)
 
 
 def with_previews(df: DataFrame, query_chars: int = 120) -> DataFrame:
@@ -50,13 +51,13 @@ def stuck(requests: DataFrame, as_of: Column) -> DataFrame:
     return requests.where((F.col("status") == "in_progress") & old)
 
 
-def chat_overview(requests: DataFrame, calls: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+def chat_overview(requests: DataFrame, calls: DataFrame, as_of: Column, hours: int = 24, accuracy: int | None = None) -> DataFrame:
     """One row: counts by status, latency of ok requests, sessions, tokens of ok calls, requests stuck at any age."""
     now = recent_rows(requests, "requested_at", as_of, hours).agg(
         F.count(F.lit(1)).alias("total_requests"),
         *[tally(F.col("status") == s).alias(f"{s}_count") for s in ("ok", "error", "in_progress")],
         F.avg(when_ok("total_duration_ms")).alias("avg_latency_ms"),
-        percentile("total_duration_ms", 0.95).alias("p95_latency_ms"),
+        percentile("total_duration_ms", 0.95, accuracy).alias("p95_latency_ms"),
         F.count_distinct("session_id").alias("active_sessions"),
     )
     tokens = recent_rows(calls, "called_at", as_of, hours).where("status = 'ok'").agg(total("total_tokens").alias("total_tokens"))
@@ -145,14 +146,14 @@ def retrieve_top_docs(ret_chunks: DataFrame, n: int = 10) -> DataFrame:
     return top_documents(ret_chunks, F.coalesce("doc_id", F.lit("")), n).where("doc_id <> ''")
 
 
-def llm_overview(calls: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+def llm_overview(calls: DataFrame, as_of: Column, hours: int = 24, accuracy: int | None = None) -> DataFrame:
     """One row: counts, latency of ok calls, token sums of all calls, mean tokens of ok ones."""
     return recent_rows(calls, "called_at", as_of, hours).agg(
         F.count(F.lit(1)).alias("total_calls"),
         *[tally(F.col("status") == s).alias(f"{s}_count") for s in ("ok", "error")],
-        percentile("duration_ms", 0.5).alias("p50_ms"),
+        percentile("duration_ms", 0.5, accuracy).alias("p50_ms"),
         F.avg(when_ok("duration_ms")).alias("avg_ms"),
-        percentile("duration_ms", 0.95).alias("p95_ms"),
+        percentile("duration_ms", 0.95, accuracy).alias("p95_ms"),
         *[total(c).alias(c) for c in ("total_tokens", "prompt_tokens", "completion_tokens")],
         F.avg(when_ok("total_tokens")).alias("avg_tokens"),
     )
@@ -178,7 +179,7 @@ def llm_context_chunks(calls: DataFrame, requests: DataFrame, chunks: DataFrame,
     return x.select("call_id", "request_id", F.substring("query_text", 1, 120).alias("query_preview"), "doc_id", "rank", "score", "called_at")
 
 
-def retrieve_overview(ret_requests: DataFrame, ret_chunks: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+def retrieve_overview(ret_requests: DataFrame, ret_chunks: DataFrame, as_of: Column, hours: int = 24, accuracy: int | None = None) -> DataFrame:
     """One row: counts, latencies, fallbacks, overlap, empty and low-result shares, documents per request (a request
     without chunks counts 0)."""
     now = recent_rows(ret_requests, "created_at", as_of, hours)
@@ -188,8 +189,8 @@ def retrieve_overview(ret_requests: DataFrame, ret_chunks: DataFrame, as_of: Col
     return x.agg(
         F.count(F.lit(1)).alias("total_requests"),
         *[tally(F.col("status") == s).alias(f"{s}_count") for s in ("ok", "error")],
-        percentile("total_duration_ms", 0.5).alias("p50_ms"),
-        percentile("total_duration_ms", 0.95).alias("p95_ms"),
+        percentile("total_duration_ms", 0.5, accuracy).alias("p50_ms"),
+        percentile("total_duration_ms", 0.95, accuracy).alias("p95_ms"),
         *[F.avg(f"{c}_duration_ms").alias(f"avg_{c}_ms") for c in ("total", "semantic", "bm25")],
         tally(F.col("bm25_fallback")).alias("fallback_count"),
         F.avg("bm25_semantic_overlap").alias("avg_overlap"),
