@@ -9,7 +9,7 @@ The label, language, source and id of a row are no inputs of its score. Rows hel
 
 Defined cases: null text is the empty text and is scored like any other; null labels are not learnt from; of several
 labels of one id the mean counts (1 if 0.5 or more); with no labelled rows at all, or only one label, the score is the smoothed share
-of label 1; repeated rows are scored each by itself; an empty table gives an empty result; further columns are
+of label 1; a null id has no label and is not held out; repeated rows are scored each by itself; an empty table gives an empty result; further columns are
 ignored.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.llm.shared import hash_words, mix, slices, string_buffers, word_spans
+from folioworks.llm.shared import hash_words, mix, slices, small_batches, string_buffers, word_spans
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "symbols", "digits", "upper", "punctuation", "non_ascii", "log_lines", "words_per_line",
@@ -99,7 +99,7 @@ def _statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(columns, 1).astype(np.float64)
 
 
-def statistics(column, limit: int = 4_000_000) -> np.ndarray:
+def statistics(column, limit: int = 1_000_000) -> np.ndarray:
     """FEATURES of each text of an Arrow string column (rows x features)."""
     raw, offsets = string_buffers(column)
     parts = [_statistics(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, limit)]
@@ -188,6 +188,7 @@ def _featured(docs: DataFrame, more: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, *, max_rows: int = 20_000, seed: int = 13, **options) -> Forest:
     """Fit on docs (doc_id, text) joined with labels (doc_id, label), on at most max_rows labelled ids out of those
     where learn_from, a condition on doc_id, holds."""
+    small_batches(docs.sparkSession)
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(learn_from)
     marked = marked.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("_y"))
     sample = marked.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows)
@@ -198,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, *, m
 
 def score(docs: DataFrame, forest: Forest, held_out: Column) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, held_out, score (probability of label 1), predicted."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,4 +208,4 @@ def score(docs: DataFrame, forest: Forest, held_out: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")).mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, predicted int")

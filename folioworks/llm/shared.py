@@ -1,17 +1,18 @@
-"""Scratch tables, files in the shared folder, and vectorised text helpers used by the operators here."""
+"""Vectorised text helpers used by the operators here, and the library's scratch tables and files."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from folioworks.sources.scratch import cut, drop, open_file, scratch_path, shared_root, small_batches, write_file
+
+__all__ = ["cut", "drop", "hash_words", "hashed_texts", "mix", "open_file", "scratch_path", "shared_root", "slices", "small_batches", "string_buffers", "word_count", "word_spans", "write_file"]
+
 #: Words everywhere in this subpackage: runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,42 +22,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-# ---- shared folder -------------------------------------------------------------------------------------------
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests, local use) one of our own is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="folioworks-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/folioworks/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor costs
-    nothing that was written before."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._scratch = path
-    return table
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables made by cut that nothing will read again."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 @contextmanager
 def arrow_rows(spark: SparkSession, n: int):
     """While this holds, jobs that are run hand Python at most n rows in a batch, for rows that may be large."""
@@ -69,38 +34,6 @@ def arrow_rows(spark: SparkSession, n: int):
         spark.conf.set(key, before)
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    parsed = urlparse(uri)
-    if parsed.scheme in ("", "file"):
-        return fs.LocalFileSystem(), parsed.path
-    return fs.FileSystem.from_uri(uri)
-
-
-def write_file(folder: str, name: str, chunks) -> tuple[str, int]:
-    """Write chunks of bytes to folder/name by way of a name of this attempt's own; returns (uri, bytes).
-
-    A second attempt of a task writes the same content under the same final name, so readers of the manifest
-    never see a half-written file.
-    """
-    fs, root = _filesystem(folder)
-    fs.create_dir(root, recursive=True)
-    final, attempt, size = f"{root}/{name}", f"{root}/.{name}.{uuid.uuid4().hex}", 0
-    with fs.open_output_stream(attempt, compression=None) as out:
-        for chunk in chunks:
-            out.write(chunk)
-            size += len(chunk)
-    fs.move(attempt, final)
-    return f"{folder.rstrip('/')}/{name}", size
-
-
-def open_file(uri: str):
-    """A sequential input stream of the raw bytes of a file in the shared folder."""
-    fs, path = _filesystem(uri)
-    return fs.open_input_stream(path, compression=None)
-
-
 # ---- text in Arrow batches -----------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -111,17 +44,9 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 2**64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers 0..n of the hash base and of its inverse modulo 2^64, by doubling."""
-    while len(_POWERS[0]) <= n:
-        for i, base in enumerate((_BASE, _BASE_INV)):
-            old = _POWERS[i]
-            step = np.uint64(pow(base, len(old), 2**64))
-            _POWERS[i] = np.concatenate([old, old * step])
-    return _POWERS
+#: Words are hashed in runs of about so many bytes, which also fit the processor's caches.
+_RUN = 1 << 16
+_POWER, _INVERSE = (np.cumprod(np.append(np.uint64(1), np.full(2 * _RUN, b, np.uint64)), dtype=np.uint64) for b in (_BASE, _BASE_INV))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -173,16 +98,31 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hashes of the words, A-Z lower-cased first if asked: a polynomial in random byte values modulo 2^64,
     from one running sum over the bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(raw))
     table = _BYTE[_LOWER] if lower else _BYTE
-    run = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(table[raw] * power[: len(raw)], out=run[1:])
-    return mix((run[ends] - run[starts]) * inverse[starts])
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        begin = starts[i]
+        j = int(np.searchsorted(ends, begin + 2 * _RUN, "right"))
+        if j <= i:  # one very long word, run by run
+            h, size = 0, int(ends[i] - begin)
+            for k in range(0, size, _RUN):
+                part = raw[begin + k : begin + min(k + _RUN, size)]
+                h += int((table[part] * _POWER[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, k, 2**64)
+            out[i] = h % 2**64
+            i += 1
+            continue
+        j = min(j, max(i + 1, int(np.searchsorted(starts, begin + _RUN))))
+        part = raw[begin : ends[j - 1]]
+        run = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(table[part] * _POWER[: len(part)], out=run[1:])
+        a, b = starts[i:j] - begin, ends[i:j] - begin
+        out[i:j] = (run[b] - run[a]) * _INVERSE[a]
+        i = j
+    return mix(out)
 
 
-def hashed_texts(column, limit: int = 2_000_000, lower: bool = True):
+def hashed_texts(column, limit: int = 1_000_000, lower: bool = True):
     """Yield (first text, last text + 1, word hashes, words before each text of the range) over slices of a column."""
     raw, offsets = string_buffers(column)
     for i, j in slices(offsets, limit):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.llm.shared import cut, open_file, scratch_path, write_file
+from folioworks.llm.shared import cut, open_file, scratch_path, small_batches, write_file
 
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -112,6 +112,7 @@ def write_archives(pages: DataFrame, *, min_bytes: int = 1000) -> DataFrame:
     """Write pages (page_id, url, html, ...) as archives in the shared folder; returns the manifest (uri, bytes,
     records), a table that is already written."""
     spark = pages.sparkSession
+    small_batches(spark)
     folder = scratch_path(spark, "warc")
     repeated = decisions(pages, min_bytes)
     sha = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
