@@ -21,8 +21,10 @@ Both rounds also drop pairs whose parity maps (64 * PARITY bits for each set) di
 differ in shingles; this bound, too, loses no link.
 Every link of the whole similarity graph is either verified or inside a component already, so components are exact.
 
-Sets for verification are read from the texts again, for documents in candidate pairs only (a bit table of fixed size
-picks them before any shuffle; the join is exact). Shingles and words are 64-bit hashes.
+Sets for verification are read from the texts again, for documents in candidate pairs only; bit tables of fixed size
+(PICK_BITS) pick these, the tokens that more than one document has, and the one document of equal sets, before any
+shuffle. What such a table lets through beside is dropped by the exact joins after it. Shingles and words are 64-bit
+hashes.
 
 Defined cases: null, blank and empty texts have the empty set and link with nothing; a text with fewer than k words is
 one shingle; equal sets link (if not empty); rows that repeat an id are one document that links as any of its texts
@@ -37,11 +39,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.llm.components import components
-from folioworks.llm.shared import arrow_rows, cut, drop, hashed_texts, mix
+from folioworks.llm.shared import cut, drop, hashed_texts, mix, small_batches
 
 TABLE_BITS = 24
 PICK_BITS = 26
@@ -73,17 +77,26 @@ def word_levels(docs: DataFrame) -> np.ndarray:
     """For each bucket of words, the bit length of its document frequency over all documents (255 at most)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << TABLE_BITS, np.uint32)
+        seen, rows = np.zeros(1 << TABLE_BITS, np.uint16), 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            at = np.flatnonzero(seen)
+            for k in range(0, len(at), 100_000):
+                part = at[k : k + 100_000]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(part.astype(np.int32)), "n": pa.array(seen[part].astype(np.int64))})
+            seen[:] = 0
+
         for batch in batches:
+            if rows + batch.num_rows > 0xFFFF:  # no count can have run over
+                yield from told()
+                rows = 0
+            rows += batch.num_rows
             for _, _, words, before in hashed_texts(batch.column(0)):
                 bucket = (words >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
                 doc = np.repeat(np.arange(len(before) - 1), np.diff(before))
                 own = np.unique((doc << TABLE_BITS) | bucket) & ((1 << TABLE_BITS) - 1)
                 np.add.at(seen, own, 1)
-        at = np.flatnonzero(seen)
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(part.astype(np.int32)), "n": pa.array(seen[part].astype(np.int64))})
+        yield from told()
 
     rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     return _by_slice(rows, TABLE_BITS, lambda n: np.minimum(np.floor(np.log2(n)) + 1, 255).astype(np.uint8))
@@ -180,28 +193,58 @@ def _may_link(percent: int, right: str) -> Column:
     return F.expr(f"{sizes} AND {differing} <= {most}")
 
 
-def _filtered(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    """pairs (x, y) that share prefix tokens under the second and the third order too."""
-    left = heads.select(F.col("doc_id").alias("x"), F.col("b").alias("bx"), F.col("c").alias("cx"))
-    right = heads.select(F.col("doc_id").alias("y"), F.col("b").alias("by"), F.col("c").alias("cy"))
-    both = pairs.join(left, "x").join(right, "y")
-    return both.where(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")).select("x", "y").distinct()
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << PICK_BITS)).cast("int")
+
+
+def _marks(keys: DataFrame) -> Broadcast:
+    """A bit table of fixed size with the buckets of some keys (one column), for all tasks."""
+    rows = keys.select(_bucket(keys.columns[0]).alias("bucket")).distinct().withColumn("n", F.lit(1))
+    return keys.sparkSession.sparkContext.broadcast(_by_slice(rows, PICK_BITS, lambda n: n.astype(np.uint8), as_bits=True))
+
+
+def _marked(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _only(rows: DataFrame, key: str, marks: Broadcast) -> DataFrame:
+    """The rows whose key's bucket is marked: all of those with a key that was marked, and few others. It is for joins
+    with few keys, whose wide side then is not shuffled whole."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield batch.select(range(len(names))).filter(pa.array(_marked(marks.value, at)))
+
+    return rows.withColumn("_bucket", _bucket(key)).mapInArrow(run, rows.schema)
+
+
+def _postings(heads: DataFrame, docs: Broadcast, tokens: Broadcast) -> DataFrame:
+    """doc_id, n, pos, token of the prefixes (first order) of marked documents: their marked tokens, in the order of the
+    prefix. (Spark's hash of a token is worked out here, where the prefixes are taken apart.)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.filter(pa.array(_marked(docs.value, batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64))))
+            lists = own.column(2)
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            token = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            keep = np.flatnonzero(_marked(tokens.value, pc.list_flatten(own.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)))
+            ids, n = (own.column(i).to_numpy(zero_copy_only=False)[row[keep]] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(pos[keep].astype(np.int32)), pa.array(token[keep])], names=["doc_id", "n", "pos", "token"])
+
+    buckets = F.transform("a", lambda t: F.pmod(F.xxhash64(t), F.lit(1 << PICK_BITS)).cast("int"))
+    return heads.where("doc_id is not null").select("doc_id", "n", "a", buckets.alias("_buckets"), _bucket("doc_id").alias("_bucket")).mapInArrow(run, "doc_id long, n long, pos int, token long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def verified(pairs: DataFrame, docs: DataFrame, marks: Broadcast, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(the pairs (x, y) whose whole sets are similar enough, the written table of sets that they are found by)."""
-    spark = docs.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << PICK_BITS)).cast("int")
-    ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id")))
-    picked = ids.select(bucket.alias("bucket")).distinct().withColumn("n", F.lit(1))
-    bits = spark.sparkContext.broadcast(_by_slice(picked, PICK_BITS, lambda n: n.astype(np.uint8), as_bits=True))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = (table[at >> 3] >> (7 - (at & 7))) & 1
-            batch = batch.filter(pa.array(hit.astype(bool)))
             ids, held, size = batch.column(0).to_pylist(), [], 0
             i = 0
             for _, _, words, before in hashed_texts(batch.column(1)):
@@ -214,9 +257,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[D
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary())], names=["id", "s"])
 
-    with arrow_rows(spark, 500):
-        texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", bucket.alias("bucket"))
-        whole = cut(texts.mapInArrow(sets, "id long, s binary"), "sets")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    whole = cut(_only(texts, "doc_id", marks).mapInArrow(sets, "id long, s binary"), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,56 +278,64 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[D
     return near.select("x", "y", "sx", "sy").mapInArrow(check, "x long, y long").distinct(), whole
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links among candidate pairs, written; sets of long texts are large, so few rows go to Python at a time."""
-    pairs = cut(pairs, "candidates")
-    with arrow_rows(docs.sparkSession, 200):
-        found, whole = verified(pairs, docs, k, percent)
-        links = cut(found, "links")
-    drop(pairs, whole)
+def _checked(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among pairs (x, y), written: those that share prefix tokens under the second and the third order too go on
+    to verification. Prefixes and texts are taken of documents in pairs only."""
+    pairs = cut(pairs, "pairs")
+    marks = _marks(pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))))
+    some = cut(_only(heads.where("n > 0 and doc_id is not null").select("doc_id", "b", "c"), "doc_id", marks), "pair-prefixes")
+    left, right = (some.select(F.col("doc_id").alias(side), *[F.col(c).alias(c + side) for c in "bc"]) for side in "xy")
+    both = pairs.join(left, "x").join(right, "y").where(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy"))
+    candidates = cut(both.select("x", "y").distinct(), "candidates")
+    found, whole = verified(candidates, docs, marks, k, percent)
+    links = cut(found, "links")
+    drop(pairs, some, candidates, whole)
+    marks.destroy()
     return links
 
 
 def similar_components(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, one row for each row."""
-    spark = docs.sparkSession
-    with arrow_rows(spark, 1000):
-        heads = cut(prefixes(docs, k, percent), "prefixes")
+    small_batches(docs.sparkSession)
+    heads = cut(prefixes(docs, k, percent), "prefixes")
     solid = heads.where("n > 0 and doc_id is not null")
     classes = cut(solid.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep")), "classes")
     members = solid.select("doc_id", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"]).select("doc_id", "rep")
-    reps = heads.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = _marks(classes.select("rep"))  # a few others that come along do no harm: their links are links
 
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) if percent < 100 else F.col("n")).alias("band")
-    posting = reps.select("doc_id", "n", F.posexplode("a").alias("pos", "token")).groupBy("token", "doc_id", "n").agg(F.min("pos").alias("pos"))
-    lists = posting.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    posting = posting.join(lists, "token").withColumn("band", band)
+    tokens = _only(solid.select("doc_id", "a"), "doc_id", reps).select(F.explode("a").alias("token"))
+    lists = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "lists")
+    shared_tokens = _marks(lists.select("token"))
+    posting = _postings(solid, reps, shared_tokens).join(lists, "token").withColumn("band", band)
     # how far a document's shingles are shared: highest for the text that a group of near copies goes back to
+    posting = cut(posting, "listed")
     shared = F.sum(F.log2(F.col("m").cast("double"))) / F.col("n")
     central = posting.groupBy("doc_id", "n").agg(F.round(shared, 6).alias("central"))
-    posting = cut(posting.join(central, ["doc_id", "n"]), "postings")
 
     first = F.struct("central", F.negative("doc_id"), F.negative("n"))
-    stars = posting.groupBy("token", "band").agg(F.max_by(F.struct("doc_id", "n"), first).alias("lead"))
-    one = posting.join(stars, ["token", "band"]).where("doc_id <> lead.doc_id")
-    one = one.select(F.col("lead.doc_id").alias("x"), F.col("doc_id").alias("y")).distinct()
-    maps = reps.select("doc_id", "n", *[f"p{i}" for i in range(PARITY)])
+    ranked = posting.select("doc_id", "n", "token", "band").join(central, ["doc_id", "n"])
+    stars = cut(ranked.groupBy("token", "band").agg(F.max_by("doc_id", first).alias("lead")), "stars")
+    one = posting.join(stars, ["token", "band"]).where("doc_id <> lead")
+    one = one.select(F.col("lead").alias("x"), F.col("doc_id").alias("y")).distinct()
+    maps = solid.select("doc_id", "n", *[f"p{i}" for i in range(PARITY)])
     near = maps.select(F.col("doc_id").alias("x"), *[F.col(c).alias(f"{c}_y") for c in maps.columns[1:]])
-    one = one.join(near, "x").join(maps.withColumnRenamed("doc_id", "y"), "y").where(_may_link(percent, "_y")).select("x", "y")
-    links = _checked(_filtered(one, reps), docs, k, percent)
+    one = one.join(near, "x").join(maps.withColumnRenamed("doc_id", "y"), "y").where(_may_link(percent, "_y")).select("x", "y").distinct()
+    links = _checked(one, heads, docs, k, percent)
 
     found = cut(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components1")
-    tagged = posting.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    tagged = posting.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component", "band")
     sides = tagged.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("held"))
     open_lists = sides.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("held", "comp")).alias("most")).where("comps > 1")
-    tagged = cut(tagged.join(open_lists, "token").join(maps.drop("n"), "doc_id"), "open")
+    tagged = cut(tagged.join(open_lists.select("token", "most"), "token").join(maps, ["doc_id", "n"]), "open")
     other = tagged.select("token", *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "n", "pos", "comp", "most", *(f"p{i}" for i in range(PARITY)))])
     fit = F.expr(f"1 + least(n - 1 - pos, n_y - 1 - pos_y) >= ceil({percent} * (n + n_y) / {100 + percent}.0D - 1e-9)")
-    short = tagged.where(F.col("m") <= LONG_LIST).join(other, "token").where("doc_id < doc_id_y")
-    minor = tagged.where((F.col("m") > LONG_LIST) & (F.col("comp") != F.col("most"))).join(other, "token").where("comp_y = most_y or doc_id < doc_id_y")
-    two = short.unionByName(minor).where("comp <> comp_y").where(_may_link(percent, "_y")).where(fit)
+    short = F.col("m") <= LONG_LIST
+    two = tagged.where(short | (F.col("comp") != F.col("most"))).join(other, "token").where("comp <> comp_y")
+    two = two.where(F.when(short, F.col("doc_id") < F.col("doc_id_y")).otherwise((F.col("comp_y") == F.col("most_y")) | (F.col("doc_id") < F.col("doc_id_y"))))
+    two = two.where(_may_link(percent, "_y")).where(fit)
     two = two.select(F.least("doc_id", "doc_id_y").alias("x"), F.greatest("doc_id", "doc_id_y").alias("y")).distinct()
-    more = _checked(_filtered(two, reps), docs, k, percent)
+    more = _checked(two, heads, docs, k, percent)
     same_id = members.where("doc_id <> rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
     repeats = heads.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     same_id = same_id.join(repeats, F.col("x") == F.col("doc_id"), "left_semi")  # an id whose texts are of several classes
@@ -296,12 +346,19 @@ def similar_components(docs: DataFrame, *, k: int = 5, percent: int = 80) -> Dat
     owner = owner.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id"), F.coalesce("component", "rep").alias("_c"))
     result = heads.select("doc_id", "n").join(owner, "doc_id", "left")
     result = cut(result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id")), "similar")
-    drop(heads, classes, posting, links, found, tagged, more)
+    drop(heads, classes, lists, posting, stars, links, found, tagged, more)
+    reps.destroy()
+    shared_tokens.destroy()
     return result
 
 
 def drop_near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that are near a document of a smaller id: one of each component stays, whole."""
+    """docs without the documents that are near a document of a smaller id: one of each component stays, whole. Of rows
+    that repeat an id, which are one document, one stays (the first by hash, then by text); rows without an id all do."""
     found = similar_components(docs, k=k, percent=percent)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    ids = found.groupBy("doc_id").agg(F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).where("doc_id is not null")
+    gone = ids.where("doc_id <> component_id or rows > 1").select("doc_id")
+    repeated = ids.where("doc_id = component_id and rows > 1").select("doc_id")
+    one = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), "text")).alias("row")
+    once = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("row.*")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
