@@ -23,8 +23,9 @@ DOC_REF = rf"(?:№\s*)?\d{{1,5}}\s*{DASH}\s*[а-яёa-z]{{1,6}}"
 SLASH = r"[а-яёa-z]{2,10}(?:/[а-яёa-z]{2,10})+"
 ALNUM = r"(?:[a-zа-яё]+\d+[a-zа-яё]*|\d+[a-zа-яё]+)"
 TOKEN = "|".join((ARTICLE, DOC_REF, SLASH, ALNUM, r"[а-яёa-z]+"))
-#: The same for a search engine that goes back by trial: what follows a run of letters is no letter, so runs are kept.
-_SEARCH = TOKEN.replace("[а-яёa-z]{2,10}", "[а-яёa-z]{2,10}+").replace("[a-zа-яё]+", "[a-zа-яё]++").replace("[а-яёa-z]+", "[а-яёa-z]++")
+#: The same for a search engine that goes back by trial: what follows a run of letters is no letter, so runs are kept, and
+#: words with and without digits behind are one alternative.
+_SEARCH = "|".join((ARTICLE, DOC_REF, SLASH.replace("{2,10}(", "{2,10}+("), r"[а-яёa-z]++(?:\d+[а-яёa-z]*)?", r"\d+[а-яёa-z]+"))
 
 
 def tokenize(text: Column) -> Column:

@@ -210,6 +210,16 @@ def _(t: Texts) -> DataFrame:
     return S.dedupe_sections(x, S.article_priority()).select("doc_id", "section_id", "pos", "text")
 
 
+@query("dedupe_chapters", """
+, d AS (SELECT o_custkey AS doc_id, n - 1 AS pos, 1 + n % 3 AS k, n % 4 AS kind, CASE n % 4 WHEN 0 THEN concat('Глава ', 1 + n % 3, '. ', o_orderpriority) WHEN 1 THEN concat(1 + n % 3, '.1. ', o_orderpriority) WHEN 2 THEN concat('Глава ', 31 + n % 3, ' ', o_orderpriority) ELSE concat('см. предыдущую редакцию ', o_orderpriority) END AS text FROM o),
+r AS (SELECT *, min(pos) OVER (PARTITION BY doc_id, k) AS place, row_number() OVER (PARTITION BY doc_id, k ORDER BY CASE kind WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE 3 END, length(text) DESC, pos) AS best FROM d)
+SELECT doc_id, concat('гл.', k) AS section_id, place AS pos, text FROM r WHERE best = 1""")
+def _(t: Texts) -> DataFrame:
+    text = "CASE n % 4 WHEN 0 THEN concat('Глава ', 1 + n % 3, '. ', o_orderpriority) WHEN 1 THEN concat(1 + n % 3, '.1. ', o_orderpriority) WHEN 2 THEN concat('Глава ', 31 + n % 3, ' ', o_orderpriority) ELSE concat('см. предыдущую редакцию ', o_orderpriority) END AS text"
+    x = t.orders.selectExpr("o_custkey AS doc_id", "n - 1 AS pos", "concat('гл.', 1 + n % 3) AS section_id", "CAST(NULL AS STRING) AS parent_section_id", text)
+    return S.dedupe_sections(S.child_counts(x), S.chapter_priority()).select("doc_id", "section_id", "pos", "text")
+
+
 @query("code_rows", """
 , c AS (SELECT l_orderkey AS doc_id, CAST(l_partkey AS VARCHAR) AS code, l_returnflag AS title, concat(l_partkey, ' | ', l_returnflag) AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, code ORDER BY k) AS j FROM c WHERE length(code) BETWEEN 3 AND 5)
