@@ -1,6 +1,8 @@
 """Registered queries against their SQL on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import pandas as pd
 import pytest
@@ -55,3 +57,15 @@ def test_reference_context_carries_texts_up_to_the_operators_own_limits(spark, t
     spark.createDataFrame([(1, 1, 7)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     [row] = registry.QUERIES["reference_context"](spark, str(tmp_path)).collect()
     assert 2000 < len(text) < 20_000 and any(text.strip() in str(v) for v in row)
+
+
+def _entry(without: str) -> subprocess.CompletedProcess:
+    code = f"import sys; sys.modules[{without!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    return subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_entry_does_without_the_training_data_operators_and_hides_no_other_error():
+    assert _entry("folioworks.llm").stdout.split() == [str(len(registry.QUERIES)), str(len(registry.ORACLES))]
+    assert _entry("corpus_pipeline").stdout.split() == [str(len(registry.QUERIES)), str(len(registry.ORACLES))]
+    broken = _entry("duckdb") if not os.path.isdir("folioworks/llm") else _entry("zstandard")
+    assert not os.path.isdir("folioworks/llm") or "zstandard" in broken.stderr
