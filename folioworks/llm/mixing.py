@@ -183,9 +183,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     n = F.col("passes") + F.when(F.size("pieces") > 0, 1).otherwise(0)
     x = x.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))))
     units = F.regexp_extract_all("text", F.lit(WORD_AND_SPACE), F.lit(0))
-    cut_text = F.array_join(
-        F.flatten(F.transform("pieces", lambda p: F.slice(units, (p["start"] + 1).cast("int"), p["len"].cast("int")))), ""
-    )
+    # a lambda's argument is worked out once, where an expression inside it would be again for each piece
+    taken = F.transform(F.array(units), lambda u: F.flatten(F.transform("pieces", lambda p: F.slice(u, (p["start"] + 1).cast("int"), p["len"].cast("int")))))
+    cut_text = F.array_join(F.get(taken, F.lit(0)), "")
     x = x.withColumn("text", F.when(F.col("_copy") <= F.col("passes"), F.col("text")).otherwise(cut_text))
     if "n_chars" in columns:
         x = x.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
