@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioworks.llm import mixing, neardup, packing, pii, quality_rules
 from folioworks.llm.shared import cut
@@ -35,8 +36,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document has its place in a packed sequence."""
-    return packing.pack(docs.select("doc_id", "text"))
+    """Every document has its place in a packed sequence. The mix may hold several texts of one id; text_id, the hash of
+    the text, says which of them lies where."""
+    return packing.pack(docs.select("doc_id", "text"), carry={"text_id": F.xxhash64("text")})
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
