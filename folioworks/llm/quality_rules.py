@@ -9,12 +9,14 @@ before does not extend are the maximal repeats; the union of their spans is the
 Rules (a document is kept if it fails none):
 - base: at least 50 words, and at most half of the words in 3-word windows that occur twice or more;
 - spans of maximal repeats of min_repeat words or more cover at most max_covered of the words;
-- no repeat is longer than max_longest of the words (when it has min_repeat words at least);
-- at most max_symbols symbol characters for each word, and at most max_dup_lines of the lines with a word repeat.
+- no repeat is longer than max_longest of the words (when it has min_repeat words at least).
+Symbols and repeated lines are measured beside them, with a mark of their own (noisy: more than max_symbols symbol
+characters for each word, or more than max_dup_lines of the lines with a word repeat) that decides nothing here.
 
 Defined cases: null text is the empty text (0 words: fails); repeated rows are judged each by itself; an empty table
 gives an empty result; further columns are ignored by the verdicts and kept by the filter, whatever their names.
-A batch is worked off in slices of some MB of text, or one document where that is longer.
+A batch is worked off in slices of about a MB of text, or one document where that is longer; a slice takes some 100 bytes
+for each of its words, and 4 more for each doubling up to its longest repeat.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.llm.shared import hash_words, slices, string_buffers, word_spans
+from folioworks.llm.shared import hash_words, slices, small_batches, string_buffers, word_spans
 
 SPACES = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -35,7 +37,7 @@ DEFAULTS = {"min_repeat": 8, "max_covered": 0.45, "max_longest": 0.3, "max_symbo
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-    "kept boolean, n_lines long, covered_words long, longest_repeat long, n_maximal long"
+    "kept boolean, noisy boolean, n_lines long, covered_words long, longest_repeat long, n_maximal long"
 )
 
 
@@ -52,7 +54,8 @@ def repeat_lengths(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
     key = (doc[order].astype(np.int64) << np.int64(32)) | words[order]
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
-    rank = np.empty(n, np.int64)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    rank = np.empty(n, kind)
     group = np.flatnonzero(new)
     rank[order] = np.repeat(group, np.diff(np.append(group, n)))
     levels = [(1, rank)]
@@ -143,19 +146,15 @@ def measure(raw: np.ndarray, offsets: np.ndarray, options: dict) -> dict[str, np
         lines = [x for x in t.split(b"\n") if x.strip(SPACES)]
         n_lines[i], n_dup[i] = len(lines), len(lines) - len(set(lines))
     failed = (n_words < 50) | (100 * n_repeat > 50 * n_words)
-    bad = (
-        (in_spans > options["max_covered"] * n_words)
-        | ((longest >= least) & (longest > options["max_longest"] * n_words))
-        | (n_symbols > options["max_symbols"] * n_words)
-        | (n_dup > options["max_dup_lines"] * n_lines)
-    )
+    bad = (in_spans > options["max_covered"] * n_words) | ((longest >= least) & (longest > options["max_longest"] * n_words))
+    noisy = (n_symbols > options["max_symbols"] * n_words) | (n_dup > options["max_dup_lines"] * n_lines)
     return dict(
         n_words=n_words, word_chars=word_chars, n_symbols=n_symbols, n_dup_lines=n_dup, n_repeat_words=n_repeat,
-        base_failed=failed, kept=~failed & ~bad, n_lines=n_lines, covered_words=in_spans, longest_repeat=longest, n_maximal=n_maximal,
+        base_failed=failed, kept=~failed & ~bad, noisy=noisy, n_lines=n_lines, covered_words=in_spans, longest_repeat=longest, n_maximal=n_maximal,
     )
 
 
-def _measured(column, options: dict, limit: int = 4_000_000) -> dict[str, np.ndarray]:
+def _measured(column, options: dict, limit: int = 1_000_000) -> dict[str, np.ndarray]:
     raw, offsets = string_buffers(column)
     parts = [measure(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], options) for i, j in slices(offsets, limit)]
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else measure(raw, offsets, options)
@@ -164,6 +163,7 @@ def _measured(column, options: dict, limit: int = 4_000_000) -> dict[str, np.nda
 def judge(docs: DataFrame, **options) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id and MEASURES, one row for each row."""
     opts = DEFAULTS | options
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,6 +177,7 @@ def judge(docs: DataFrame, **options) -> DataFrame:
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, that the rules keep: each task filters what it has read, nothing is shuffled."""
     opts, at = DEFAULTS | options, docs.columns.index("text")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
