@@ -1,28 +1,34 @@
 """Exact top-k by integer inner product: exhaustive term-at-a-time accumulation.
 
-Components become integers, floor(scale * x). Candidates and queries are dealt to blocks by a hash of their id; every
-candidate block meets every query block once (a query set against all rows, in blocks). In such a task the candidate
-block is turned into postings (for each component, the rows where it is not 0 and their values), and each query row,
-sparse likewise, scatters weight x posting into a dense array of scores, component by component. A partition by score
-selects the best k of the block with all ties at the edge; the blocks' lists are merged by rank.
+Components become integers, floor(scale * x). The queries are written to the shared folder in blocks; each task takes
+its candidates block by block and streams all query blocks past each (a query set against all rows, in blocks), so
+candidates are never copied or shuffled. A candidate block is turned into postings (for each component, the rows where
+it is not 0 and their values), and each query row, sparse likewise, scatters weight x posting into a dense array of
+scores, component by component. A partition by score selects the best k of the block with all ties at the edge; the
+blocks' lists are merged by rank.
 
-Blocks have about block_rows rows, so a task's memory does not grow with the tables; nothing is broadcast and nothing
-passes through the driver.
+A candidate block has block_rows rows and a query block query_rows, whatever the tables' sizes; nothing is broadcast
+but the names of the query files, and no vector passes through the driver.
 
 Defined cases: vectors that are null or empty or hold a null or non-finite component take no part, nor do null ids;
-vectors meet those of their own length only; repeated ids are rows of their own, none of them a candidate of its id; fewer than k candidates give fewer rows; an
-empty table gives an empty result; further columns are ignored. Ties go to the smaller id. Scores are 64-bit.
+vectors meet those of their own length only; of a repeated id each row is a query (with a list of its own) and a
+candidate of its own, none of them of its own id; fewer than k candidates give fewer rows; an empty table gives an
+empty result; further columns are ignored. Ties go to the smaller id. Scores are 64-bit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import io
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioworks.llm.shared import cut, open_file, scratch_path, small_batches, write_file
+
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """vectors (vec_id, embedding) -> vec_id, v (array of longs), whole and finite vectors only."""
@@ -31,53 +37,96 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return good.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def select(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to the smaller id, best first."""
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= edge)
+def select(scores: np.ndarray, ids: np.ndarray, k: int, leave: np.ndarray) -> np.ndarray:
+    """Places of the k highest scores but those to leave out, ties to the smaller id, best first."""
+    more = k + int(np.count_nonzero(leave))
+    if len(scores) > more:
+        edge = np.partition(scores, len(scores) - more)[len(scores) - more]
+        at = np.flatnonzero((scores >= edge) & ~leave)
     else:
-        at = np.arange(len(scores))
+        at = np.flatnonzero(~leave)
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> Iterator[np.ndarray]:
-    """Scores of all candidates (rows) for each query row, term at a time."""
+    """Scores of all candidates (rows) for each query row, term at a time, in 32 bits where no sum can pass them."""
+    most = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * candidates.shape[1]
+    kind = np.int32 if most < 1 << 31 else np.int64
     postings = []
     for term in candidates.T:
         rows = np.flatnonzero(term)
-        postings.append((slice(None) if len(rows) == len(term) else rows, term[rows]))
-    for query in queries:
-        scores = np.zeros(len(candidates), np.int64)
+        postings.append((slice(None) if len(rows) == len(term) else rows, term[rows].astype(kind)))
+    for query in queries.astype(kind):
+        scores = np.zeros(len(candidates), kind)
         for term in np.flatnonzero(query):
             rows, values = postings[term]
             scores[rows] += query[term] * values
         yield scores
 
 
-def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256, block_rows: int = 4096, seed: int = 3) -> DataFrame:
+def _rows_of(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of about so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _by_length(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows of each length of vector, and their vectors as one array."""
+    sizes = pc.list_value_length(table.column("v")).to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, np.int64)
+    for size in np.unique(sizes):
+        own = table.filter(pa.array(sizes == size))
+        yield own, pc.list_flatten(own.column("v")).to_numpy(zero_copy_only=False).reshape(-1, int(size))
+
+
+def query_files(queries: DataFrame, rows: int) -> DataFrame:
+    """Write queries (query, vec_id, v) to files of about so many rows in the shared folder -> their manifest, written."""
+    folder = scratch_path(queries.sparkSession, "queries")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        for k, table in enumerate(_rows_of(batches, rows)):
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            uri, _ = write_file(folder, f"{context.partitionId():06d}-{k:06d}-{context.taskAttemptId()}.arrow", [sink.getvalue()])
+            yield pa.RecordBatch.from_pydict({"uri": [uri], "rows": [table.num_rows]})
+
+    return cut(queries.mapInArrow(write, "uri string, rows long"), "queries-manifest")
+
+
+def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256, block_rows: int = 1 << 15, query_rows: int = 1 << 12) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each row where is_query holds, its k best among all other ids."""
-    x = quantised(vectors, scale).withColumn("_size", F.size("v"))
-    queries = x.where(is_query)
-    n_c, n_q = (max(1, -(-d.select(F.count(F.lit(1))).first()[0] // block_rows)) for d in (x, queries))
-    block = lambda n: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("q", block(n_q)).withColumn("c", each(n_c))
-    right = x.withColumn("c", block(n_c)).withColumn("q", each(n_q))
-
-    def meet(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        ids, parts = c["vec_id"].to_numpy(), []
-        scored = accumulate(np.stack(q["v"].to_numpy()), np.stack(c["v"].to_numpy()))
-        for query_id, scores in zip(q["vec_id"].to_numpy(), scored, strict=True):
-            others = np.flatnonzero(ids != query_id)
-            best = others[select(scores[others], ids[others], k)]
-            parts.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best], "score": scores[best]}))
-        return pd.concat(parts)
-
-    size_key = ["c", "q", "_size"]
-    met = left.select("c", "q", "_size", "vec_id", "v").groupBy(*size_key).cogroup(right.select("c", "q", "_size", "vec_id", "v").groupBy(*size_key))
-    best = met.applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    small_batches(vectors.sparkSession)
+    x = quantised(vectors, scale)
+    # a query row's name is drawn once, as the table of queries is written
+    manifest = query_files(x.where(is_query).select(F.monotonically_increasing_id().alias("query"), "vec_id", "v"), query_rows)
+    uris = [r["uri"] for r in manifest.orderBy("uri").collect()]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _rows_of(batches, block_rows):
+            sides = {v.shape[1]: (own.column("vec_id").to_numpy(), v) for own, v in _by_length(block)}
+            for uri in uris:
+                with open_file(uri) as source:
+                    queries = pa.ipc.open_stream(source).read_all()
+                for own, q in _by_length(queries):
+                    if q.shape[1] not in sides:
+                        continue
+                    ids, v = sides[q.shape[1]]
+                    found: list[tuple] = []
+                    for query, query_id, scores in zip(own.column("query").to_numpy(), own.column("vec_id").to_numpy(), accumulate(q, v), strict=True):
+                        best = select(scores, ids, k, ids == query_id)
+                        found.append((np.full(len(best), query), np.full(len(best), query_id), ids[best], scores[best].astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query", "query_id", "vec_id", "score"])
+
+    best = x.select("vec_id", "v").mapInArrow(meet, "query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
