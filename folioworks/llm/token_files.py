@@ -6,10 +6,13 @@ names the files in order with their sizes; where a document starts in the whole
 partitions and over the shards of a partition.
 
 Encoding: a tokenizer whose pre-tokenizer cuts before single spaces encodes a text as the concatenation of what it
-makes of the pieces between them, so each distinct piece is encoded once and remembered (in two tables of CACHE pieces
-at most: when the new one is full it becomes the old one, and pieces found in the old one move to the new). This is done only for texts where the cuts are certain: no white space but single spaces and
-single newlines between other characters, no special token's text; every other text goes to the tokenizer whole.
-The tokenizer is only loaded, from a path that is a parameter.
+makes of the pieces between them, so each distinct piece is encoded once in a Python worker and remembered, up to MOST
+pieces: the frequent ones come first and stay, what comes later is encoded once for each group of texts. Pieces of up to
+16 bytes are keys of two integers in an open-addressed table that is probed for all pieces of a group at once; they are
+compared whole, so no two pieces can be taken for one another. New pieces are encoded many at a time, joined with spaces
+again, and their ids cut where a token begins with the space. All this is done only for texts where the cuts are
+certain: no white space but single spaces and single newlines between other characters, no special token's text; every
+other text goes to the tokenizer whole. The tokenizer is only loaded, from a path that is a parameter.
 
 Defined cases: null text is the empty text, with the end id alone; documents are in ascending order of doc_id, null
 first, repeated ids by their text's hash; an empty table gives no files and an empty result; further columns are
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,23 +34,83 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.llm import wavelet
-from folioworks.llm.shared import cut, hash_words, open_file, scratch_path, string_buffers, write_file
+from folioworks.llm.shared import cut, mix, open_file, scratch_path, small_batches, string_buffers, write_file
 
-CACHE = 600_000
+#: Remembered pieces: at most so many (some 50 MB in a worker).
+MOST = 1 << 20
 #: Stands before the first piece of a text; a control character, which no text that is cut in pieces has.
 START = b"\x1c"
 _CONTROL = bytes([0, 9, 11, 12, 13, 28, 29, 30, 31])
-_WIDE_SPACE = tuple(c.encode() for c in "\u0085      　" + "".join(map(chr, range(0x2000, 0x200B))))
+#: White space beyond ASCII: U+0085, U+00A0, U+1680, U+205F, U+3000, and what U+2000 to U+203F holds of it.
+_WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_MORE_SPACE = re.compile(b"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
+_WIDE = 16
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+class Pieces:
+    """Remembered pieces of up to 16 bytes without NUL, padded to two integers, with their ids in one buffer."""
+
+    def __init__(self, kind: np.dtype):
+        self.size, self.used = 0, 0
+        self.key = [np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint64)]
+        self.first, self.count = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.flat = np.zeros(1 << 16, kind)
+        self._slots = np.full(1 << 16, -1, np.int32)
+
+    def _home(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        bits = len(self._slots).bit_length() - 1
+        return (mix(low ^ mix(high + np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces, -1 where one is not remembered."""
+        at = self._home(low, high)
+        got = self._slots[at]
+        left = np.flatnonzero((got >= 0) & ((self.key[0][got] != low) | (self.key[1][got] != high)))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self._slots) - 1)
+            now = self._slots[at[left]]
+            got[left] = now
+            left = left[(now >= 0) & ((self.key[0][now] != low[left]) | (self.key[1][now] != high[left]))]
+        return got
+
+    def put(self, ids: np.ndarray) -> int:
+        """Place ids at the end of the buffer, for now; returns where."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        return self.used
+
+    def add(self, low: np.ndarray, high: np.ndarray, first: np.ndarray, counts: np.ndarray, length: int) -> None:
+        """Remember distinct new pieces whose ids lie among the last length ids that were put, which now stay."""
+        to = self.size + len(low)
+        while to > len(self.first):
+            self.key = [np.concatenate([k, np.zeros_like(k)]) for k in self.key]
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        self.used += length
+        for column, own in zip((*self.key, self.first, self.count), (low, high, first, counts), strict=True):
+            column[self.size : to] = own
+        numbers = np.arange(self.size, to, dtype=np.int32)
+        if 4 * to > len(self._slots):  # a quarter full at most, so probing is short
+            self._slots = np.full(4 * len(self._slots), -1, np.int32)
+            numbers, low, high = np.arange(to, dtype=np.int32), self.key[0][:to], self.key[1][:to]
+        at, left = self._home(low, high), np.arange(len(numbers))
+        while len(left):
+            free = left[self._slots[at[left]] < 0]
+            self._slots[at[free]] = numbers[free]
+            left = left[self._slots[at[left]] != numbers[left]]
+            at[left] = (at[left] + 1) & (len(self._slots) - 1)
+        self.size = to
 
 
 class Encoder:
     """Encodes UTF-8 texts to arrays of ids with a tokenizer of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.levels = max(1, int(size - 1).bit_length())
         self.kind = np.dtype("H") if self.levels <= 16 else np.dtype("I")
@@ -54,8 +118,9 @@ class Encoder:
         pre = json.loads(self.tokenizer.to_str())
         step = pre.get("pre_tokenizer") or {}
         self.by_piece = step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and not pre.get("normalizer")
-        self._new: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
+        first = [(self.tokenizer.id_to_token(i) or "?")[:1] for i in range(size)]
+        self._after = {b" ": np.array([c == "\u0120" for c in first]), b"\n": np.array([c == "\u010a" for c in first])}  # byte-level names of the two
+        self.pieces = Pieces(self.kind)
 
     def _ids(self, ids: list[int]) -> bytes:
         return array(self.kind.char, ids).tobytes()
@@ -66,31 +131,36 @@ class Encoder:
     def _plain(self, text: bytes) -> bool:
         if b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or len(text.translate(None, _CONTROL)) != len(text):
             return False
-        if not text.isascii() and any(c in text for c in _WIDE_SPACE):
+        if not text.isascii() and (any(c in text for c in _WIDE_SPACE) or b"\xe2\x80" in text and _MORE_SPACE.search(text)):
             return False
         return not any(s in text for s in self.special)
 
-    def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """The table with the ids of all these pieces. A piece stands for itself after a space, or, where it begins with a
-        newline or the mark of a text's beginning, for what follows that mark."""
-        if len(self._new) > CACHE:
-            self._new, self._old = {}, self._new
-        new, old = self._new, self._old
-        fresh = []
-        for piece in pieces:
-            if piece not in new:
-                if piece in old:
-                    new[piece] = old[piece]
-                else:
-                    fresh.append(piece)
-        for k in range(0, len(fresh), 1000):
-            some = fresh[k : k + 1000]
-            texts = [p[1:].decode("utf-8") if p[:1] == START else p.decode("utf-8") if p[:1] == b"\n" else " " + p.decode("utf-8") for p in some]
-            new.update(zip(some, (self._ids(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), strict=True))
-        return new
-
-    def encode_batch(self, texts: list[bytes], limit: int = 4_000_000) -> Iterator[bytes]:
-        """The ids of each text as bytes of self.kind; texts are worked off in groups of some MB."""
+    def _alone(self, pieces: list[bytes]) -> tuple[list[int], list[int]]:
+        texts = [p[1:].decode("utf-8") if p[:1] == START else p.decode("utf-8") if p[:1] == b"\n" else " " + p.decode("utf-8") for p in pieces]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [i for own in ids for i in own], list(map(len, ids))
+
+    def _joined(self, pieces: list[bytes], mark: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that each follow the mark, or begin with it if it is the newline, from one long text."""
+        text = b"".join(pieces) if mark == b"\n" else b" " + b" ".join(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8")], add_special_tokens=False)[0].ids, self.kind)
+        starts = np.flatnonzero(self._after[mark][ids])
+        if len(starts) != len(pieces) or starts[0]:
+            return self._alone(pieces)
+        return ids, np.diff(starts, append=len(ids))
+
+    def learn(self, fresh: list[bytes]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+        """Numbers for the distinct pieces, their ids one after another, and how many each has. A piece stands for itself
+        after a space, or, where it begins with a newline or the mark of a text's beginning, for what follows that mark."""
+        kinds: dict[bytes, list[bytes]] = {b" ": [], b"\n": [], b"": []}
+        for p in dict.fromkeys(fresh):
+            kinds[b"" if p in (b"", b"\n") or p[:1] == START else b"\n" if p[:1] == b"\n" else b" "].append(p)
+        got = [self._joined(own[k : k + 1000], mark) if mark else self._alone(own) for mark, own in kinds.items() for k in range(0, len(own), 1000 if mark else len(own) or 1)]
+        ids, counts = (np.concatenate([np.asarray(x[i], kind) for x in got]) for i, kind in ((0, self.kind), (1, np.int64)))
+        return {p: k for k, p in enumerate(p for own in kinds.values() for p in own)}, ids, counts
+
+    def encode_batch(self, texts: list[bytes], limit: int = 1_000_000) -> Iterator[bytes]:
+        """The ids of each text as bytes of self.kind; texts are worked off in groups of about limit bytes."""
         group: list[bytes] = []
         size = 0
         for text in texts:
@@ -103,34 +173,34 @@ class Encoder:
             yield from self._group(group)
 
     def _group(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Distinct pieces of all texts that can be cut are found by hash (and held against each other byte by byte up
-        to 16 bytes) and looked up once; their ids are then laid out in the order of the texts by one gather."""
+        """Look up the pieces of all texts that can be cut, learn those not known, and lay their ids out in the order of
+        the texts by one gather."""
         cuts = [self.by_piece and self._plain(t) for t in texts]
         parts = [START + t.replace(b"\n", b" \n") + b" " for t, ok in zip(texts, cuts, strict=True) if ok]
         joined = b"".join(parts)
-        raw = np.frombuffer(joined + bytes(16), np.uint8)
+        raw = np.frombuffer(joined + bytes(_WIDE), np.uint8)
         ends = np.flatnonzero(raw[: len(joined)] == 32)
         starts = np.append(0, ends[:-1] + 1)[: len(ends)]
-        keys = hash_words(raw, starts, ends, lower=False)
-        _, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        same = at[inverse]
-        words = np.lib.stride_tricks.sliding_window_view(raw, 8)
         width = ends - starts
-        alike = width == width[same]
-        for k in (0, 8):
-            mask = (np.arange(k, k + 8) < width[:, None]) if len(width) else np.zeros((0, 8), bool)
-            alike &= ((words[starts + k] == words[starts[same] + k]) | ~mask).all(1) if len(width) else True
-        if not alike.all():
-            raise ValueError("two pieces of text have one hash")
-        pieces = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        table = self._learn(pieces)
-        ids = [table[p] for p in pieces]
-        counts = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
-        flat = np.frombuffer(b"".join(ids), self.kind)
-        first = np.append(0, np.cumsum(counts))[:-1]
-        own = counts[inverse]
-        before = np.append(0, np.cumsum(own))
-        out = flat[np.arange(before[-1]) - np.repeat(before[:-1] - first[inverse], own)].tobytes() if len(own) else b""
+        window = np.lib.stride_tricks.sliding_window_view(raw, 8)
+        low = window[starts].view(np.uint64)[:, 0] & _MASK[np.minimum(width, 8)]
+        high = window[starts + 8].view(np.uint64)[:, 0] & _MASK[np.clip(width - 8, 0, 8)]
+        number = self.pieces.find(low, high)
+        number[width > _WIDE] = -1
+        first, count = (x[number].astype(np.int64) for x in (self.pieces.first, self.pieces.count))
+        at = np.flatnonzero(number < 0)
+        if len(at):
+            fresh = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            place, flat, counts = self.learn(fresh)
+            own = np.fromiter(map(place.__getitem__, fresh), np.int64, len(fresh))
+            begin = self.pieces.put(flat) + np.cumsum(counts) - counts
+            count[at], first[at] = counts[own], begin[own]
+            if self.pieces.size < self.most:
+                once = at[np.unique(own, return_index=True)[1]]
+                short = np.flatnonzero(width[once] <= _WIDE)
+                self.pieces.add(low[once[short]], high[once[short]], begin[short], counts[short], len(flat))
+        before = np.append(0, np.cumsum(count))
+        out = self.pieces.flat[np.arange(before[-1]) + np.repeat(first - before[:-1], count)].tobytes() if len(count) else b""
         edges = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)
         places = (before[np.searchsorted(starts, edges)] * self.kind.itemsize).tolist()
         k = 0
@@ -162,6 +232,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0, shard
     """Write docs (doc_id, text, ...) as token files in the shared folder -> the manifest, already written. partitions
     defaults to the number of input partitions."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = scratch_path(spark, "tokens")
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     x = x.repartitionByRange(partitions or max(1, x.rdd.getNumPartitions()), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -205,6 +276,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0, shard
     return cut(x.mapInArrow(write, MANIFEST), "manifest")
 
 
+def open_token_file(uri: str) -> wavelet.WaveletFile:
+    """A file of the manifest for single look-ups: only the parts asked for are read."""
+    return wavelet.WaveletFile(open_file(uri, seekable=True))
+
+
 def with_starts(manifest: DataFrame) -> DataFrame:
     """The manifest with start: the ids in all files before each."""
     parts = manifest.groupBy("part").agg(F.sum("tokens").alias("_all"))

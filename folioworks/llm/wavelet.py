@@ -28,13 +28,12 @@ def dump(ids: np.ndarray, doc_ids: list, lengths: np.ndarray, levels: int) -> by
     for level in range(levels - 1, -1, -1):
         bit = (ids & (one << ids.dtype.type(level))) != 0
         packed = np.packbits(bit)
-        starts = np.arange(0, max(n, 1), BLOCK)
-        ones = np.add.reduceat(bit, starts, dtype=np.int64) if n else np.zeros(0, np.int64)
-        counts.append(np.append(0, np.cumsum(ones)).astype(np.uint32))
-        blocks += [pack.compress(packed[s // 8 : (s + BLOCK) // 8].tobytes()) for s in (starts if n else [])]
-        low = ids[~bit]
+        starts = range(0, n, BLOCK)
+        counts.append(np.cumsum([0, *(np.count_nonzero(bit[s : s + BLOCK]) for s in starts)]).astype(np.uint32))
+        blocks += [pack.compress(packed[s // 8 : (s + BLOCK) // 8].tobytes()) for s in starts]
+        low, high = ids.compress(~bit), ids.compress(bit)
         zeros.append(len(low))
-        ids = np.concatenate((low, ids[bit]))
+        ids = np.concatenate((low, high))
     directory = pack.compress(json.dumps(doc_ids).encode() + b"\n" + np.cumsum(lengths).astype("<i8").tobytes())
     rank = pack.compress(np.concatenate(counts).astype("<u4").tobytes()) if counts else b""
     head = json.dumps({"n": n, "levels": levels, "zeros": zeros, "docs": len(doc_ids), "parts": [len(directory), len(rank)], "blocks": [len(b) for b in blocks]}).encode()
@@ -42,33 +41,35 @@ def dump(ids: np.ndarray, doc_ids: list, lengths: np.ndarray, levels: int) -> by
 
 
 class WaveletFile:
-    """Access, counting and occurrence look-up in a file made by dump, of which only the blocks asked for are
-    decompressed."""
+    """Access, counting and occurrence look-up in a file made by dump, given as its bytes or as an open file with
+    read_at(bytes, offset) and size(): beyond the header, the directory and the counts, only the blocks asked for are
+    read and decompressed."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, data):
+        self._read = (lambda a, b: data[a:b]) if isinstance(data, bytes) else (lambda a, b: data.read_at(b - a, a))
+        if self._read(0, 8) != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        (size,) = struct.unpack_from("<I", data, 8)
-        head = json.loads(data[12 : 12 + size])
+        (size,) = struct.unpack("<I", self._read(8, 12))
+        head = json.loads(self._read(12, 12 + size))
         self.n, self.levels, self.zeros = head["n"], head["levels"], head["zeros"]
         self._unpack, at = zstandard.ZstdDecompressor(), 12 + size
-        directory, at = self._unpack.decompress(data[at : at + head["parts"][0]]), at + head["parts"][0]
+        directory, at = self._unpack.decompress(self._read(at, at + head["parts"][0])), at + head["parts"][0]
         line = directory.index(b"\n")
         self.doc_ids = json.loads(directory[:line])
         self.ends = np.frombuffer(directory, "<i8", offset=line + 1)
-        rank = self._unpack.decompress(data[at : at + head["parts"][1]]) if head["parts"][1] else b""
+        rank = self._unpack.decompress(self._read(at, at + head["parts"][1])) if head["parts"][1] else b""
         at += head["parts"][1]
         self._counts = np.frombuffer(rank, "<u4").astype(np.int64).reshape(self.levels, -1) if rank else np.zeros((self.levels, 1), np.int64)
         self._per_level = self._counts.shape[1] - 1
         edges = np.append(0, np.cumsum(head["blocks"])).astype(np.int64) + at
-        if len(data) != edges[-1]:
+        if (len(data) if isinstance(data, bytes) else data.size()) != edges[-1]:
             raise ValueError("the file is cut off or too long")
-        self._data, self._edges = data, edges
+        self._edges = edges
         self._bits = lru_cache(256)(self._read_bits)
 
     def _read_bits(self, level: int, block: int) -> np.ndarray:
         k = level * self._per_level + block
-        raw = self._unpack.decompress(self._data[self._edges[k] : self._edges[k + 1]])
+        raw = self._unpack.decompress(self._read(int(self._edges[k]), int(self._edges[k + 1])))
         return np.unpackbits(np.frombuffer(raw, np.uint8), count=min(BLOCK, self.n - block * BLOCK)).view(bool)
 
     def plane(self, level: int) -> np.ndarray:
@@ -138,7 +139,7 @@ class WaveletFile:
         now = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
             bit, out = self.plane(level), np.empty(self.n, kind)
-            out[~bit] = now[: self.zeros[level]]
-            out[bit] = now[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
+            out[np.flatnonzero(~bit)] = now[: self.zeros[level]]
+            out[np.flatnonzero(bit)] = now[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
             now = out
         return now
