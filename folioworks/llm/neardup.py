@@ -40,6 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -193,7 +194,7 @@ def _may_link(percent: int, right: str) -> Column:
     return F.expr(f"{sizes} AND {differing} <= {most}")
 
 
-def _bucket(key: str) -> Column:
+def _bucket(key: str | Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << PICK_BITS)).cast("int")
 
 
@@ -207,17 +208,17 @@ def _marked(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def _only(rows: DataFrame, key: str, marks: Broadcast) -> DataFrame:
-    """The rows whose key's bucket is marked: all of those with a key that was marked, and few others. It is for joins
-    with few keys, whose wide side then is not shuffled whole."""
+def _only(rows: DataFrame, key: str, marks: Broadcast, marked: bool = True) -> DataFrame:
+    """The rows whose key's bucket is marked: all of those with a key that was marked, and few others (or, with marked
+    False, all other rows). It is for joins with few keys, whose wide side then is not shuffled whole."""
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield batch.select(range(len(names))).filter(pa.array(_marked(marks.value, at)))
+            yield batch.select(range(len(names))).filter(pa.array(_marked(marks.value, at) == marked))
 
-    return rows.withColumn("_bucket", _bucket(key)).mapInArrow(run, rows.schema)
+    return rows.withColumn("_bucket", _bucket(F.col(key).cast("long"))).mapInArrow(run, rows.schema)
 
 
 def _postings(heads: DataFrame, docs: Broadcast, tokens: Broadcast) -> DataFrame:
@@ -240,6 +241,17 @@ def _postings(heads: DataFrame, docs: Broadcast, tokens: Broadcast) -> DataFrame
     return heads.where("doc_id is not null").select("doc_id", "n", "a", buckets.alias("_buckets"), _bucket("doc_id").alias("_bucket")).mapInArrow(run, "doc_id long, n long, pos int, token long")
 
 
+def _packed(own: np.ndarray) -> bytes:
+    """A sorted set as differences, in planes of bytes, of which the upper ones compress."""
+    planes = np.diff(own, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, marks: Broadcast, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(the pairs (x, y) whose whole sets are similar enough, the written table of sets that they are found by)."""
 
@@ -249,7 +261,7 @@ def verified(pairs: DataFrame, docs: DataFrame, marks: Broadcast, k: int, percen
             i = 0
             for _, _, words, before in hashed_texts(batch.column(1)):
                 for own, _ in shingle_sets(words, before, k):
-                    held.append((ids[i], own.tobytes()))
+                    held.append((ids[i], _packed(own)))
                     i, size = i + 1, size + own.nbytes
                 if size > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary())], names=["id", "s"])
@@ -264,7 +276,7 @@ def verified(pairs: DataFrame, docs: DataFrame, marks: Broadcast, k: int, percen
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                u, v = _unpacked(a.as_py()), _unpacked(b.as_py())
                 if not len(u) or not len(v) or 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
                     keep.append(False)
                     continue
@@ -274,7 +286,9 @@ def verified(pairs: DataFrame, docs: DataFrame, marks: Broadcast, k: int, percen
                 keep.append(100 * common >= percent * (len(u) + len(v) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    near = pairs.join(whole.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x").join(whole.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
+    # sets are as many as there are groups of copies, so these joins have one plan at every size
+    left, right = (whole.select(F.col("id").alias(side), F.col("s").alias("s" + side)).hint("merge") for side in "xy")
+    near = pairs.join(left, "x").join(right, "y")
     return near.select("x", "y", "sx", "sy").mapInArrow(check, "x long, y long").distinct(), whole
 
 
@@ -357,8 +371,11 @@ def drop_near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> D
     that repeat an id, which are one document, one stays (the first by hash, then by text); rows without an id all do."""
     found = similar_components(docs, k=k, percent=percent)
     ids = found.groupBy("doc_id").agg(F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows")).where("doc_id is not null")
-    gone = ids.where("doc_id <> component_id or rows > 1").select("doc_id")
-    repeated = ids.where("doc_id = component_id and rows > 1").select("doc_id")
+    gone = cut(ids.where("doc_id <> component_id or rows > 1").select("doc_id", F.expr("doc_id = component_id").alias("first")), "gone")
+    # texts are shuffled only where their id may have to go or to be one of several rows
+    marks = _marks(gone.select("doc_id"))
+    some = cut(_only(docs, "doc_id", marks), "some")
+    kept = some.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     one = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), "text")).alias("row")
-    once = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("row.*")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    once = some.join(gone.where("first").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(one).select("row.*")
+    return _only(docs, "doc_id", marks, False).unionByName(kept).unionByName(once)
