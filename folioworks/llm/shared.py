@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+import ctypes
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioworks.sources.scratch import cut, drop, open_file, scratch_path, shared_root, small_batches, write_file
 
 __all__ = ["cut", "drop", "hash_words", "hashed_texts", "mix", "open_file", "scratch_path", "shared_root", "slices", "small_batches", "string_buffers", "word_count", "word_spans", "write_file"]
 
+
+
+def _give_memory_back() -> None:
+    """Let the C library hand freed arrays of a MB and more back to the system at once. By default its limit grows to 32
+    MB with the arrays that it sees, and Python workers, which live from stage to stage, keep what each has freed."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:  # as in glibc; -3 and -1 name its limits for mapping and trimming
+        mallopt(-3, 1 << 20)
+        mallopt(-1, 1 << 20)
+
+
+_give_memory_back()
+
 #: Words everywhere in this subpackage: runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,18 +35,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, n: int):
-    """While this holds, jobs that are run hand Python at most n rows in a batch, for rows that may be large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(n, int(before)) if int(before) > 0 else n))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 # ---- text in Arrow batches -----------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
