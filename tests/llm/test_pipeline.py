@@ -25,7 +25,8 @@ def test_stages_in_turn(spark):
     assert Counter(r["doc_id"] for r in good) == Counter(r[0] for r in want)
 
     groups, _ = brute_components([(r["doc_id"], r["text"]) for r in good], 5, 80)
-    left = Counter(r["doc_id"] for r in good if groups.get(r["doc_id"], r["doc_id"]) == r["doc_id"])
+    left = Counter({r["doc_id"] for r in good if r["doc_id"] is not None and groups.get(r["doc_id"], r["doc_id"]) == r["doc_id"]})
+    left += Counter(r["doc_id"] for r in good if r["doc_id"] is None)  # rows of one id are one document
     assert Counter(r["doc_id"] for r in results[1].collect()) == left
 
     assert all(not any(plain_spans(r["text"]).values()) for r in results[2].collect()) and results[2].count() == results[1].count()
@@ -40,6 +41,19 @@ def test_stages_in_turn(spark):
     assert pii.EMPTY_SHA
 
 
+def test_places_of_copies_are_told_apart_by_their_text(spark):
+    texts = [(1, "a b c " * 30), (1, "a b " * 10), (2, "x " * 25)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars int")
+    got = {(r["doc_id"], r["text_id"]): r["n_tokens"] for r in corpus_pipeline.pack(spark, docs, "unused").collect()}
+    ids = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    assert got == {(i, ids[t]): len(t.split()) for i, t in texts}
+
+
+def test_an_empty_table_goes_through(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run_reads_documents(spark, tmp_path):
     spark.createDataFrame(odd_rows(), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
