@@ -106,11 +106,12 @@ class Pieces:
 class Encoder:
     """Encodes UTF-8 texts to arrays of ids with a tokenizer of the tokenizers library."""
 
-    def __init__(self, path: str, most: int = MOST):
+    def __init__(self, path: str, most: int = MOST, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer.encode_special_tokens = plain  # special tokens' strings in a text are ordinary text
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.levels = max(1, int(size - 1).bit_length())
         self.kind = np.dtype("H") if self.levels <= 16 else np.dtype("I")
@@ -122,6 +123,10 @@ class Encoder:
         self._after = {b" ": np.array([c == "\u0120" for c in first]), b"\n": np.array([c == "\u010a" for c in first])}  # byte-level names of the two
         self.pieces = Pieces(self.kind)
 
+    def cuts(self, text: bytes) -> bool:
+        """Whether the text is encoded as the concatenation of its pieces."""
+        return bool(self.by_piece) and self._plain(text)
+
     def _ids(self, ids: list[int]) -> bytes:
         return array(self.kind.char, ids).tobytes()
 
