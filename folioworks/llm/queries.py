@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import lm_score, mixing, neardup, packing, pii, quality_model, quality_rules, token_files, topk, warc
+from folioworks.llm import alignment, lm_score, mixing, neardup, packing, pii, prefix_trie, quality_model, quality_rules, token_files, topk, warc, window_packing
 from folioworks.llm.shared import cut, word_count
 
 
@@ -104,6 +104,44 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), *paths)[0]
+
+
+def op12_best_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = window_packing.cut_windows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+    packed = window_packing.pack_windows(pieces)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded")
+
+
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_ids(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.with_shared_openings(turns))
+
+
+OP13 = r"""
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base,
+    xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda a, b: list_reduce(CAST(range(8) AS BIGINT[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(a, b)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT c.conv_id, 0 AS part, p, role, text FROM c JOIN o ON o.conv_id = base AND p <= h UNION ALL SELECT conv_id, 1, p, role, text FROM c JOIN o USING (conv_id) WHERE p > h),
+l AS (SELECT conv_id, coalesce(list(concat(length(role), ' ', role, text) ORDER BY part, p) FILTER (WHERE p IS NOT NULL), []) AS t, coalesce(list(len(regexp_extract_all(text, '[^ 	-]+')) ORDER BY part, p) FILTER (WHERE p IS NOT NULL), []) AS w
+    FROM c LEFT JOIN r USING (conv_id) GROUP BY 1),
+x AS (SELECT conv_id, unnest(range(0, len(t) + 1)) AS depth, t, w FROM l),
+n AS (SELECT depth, list_slice(t, 1, depth) AS k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth > 0 THEN w[depth] ELSE 0 END) AS words,
+    sha256(coalesce(string_agg(CASE WHEN len(t) = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256, max(len(t)) = depth AS leaf FROM x GROUP BY 1, 2),
+s AS (SELECT list_slice(k, 1, d) AS k, CAST(sum(leaf::INT) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM n) GROUP BY 1),
+f AS (SELECT list_slice(k, 1, depth - 1) AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.k = list_slice(n.k, 1, n.depth - 1) JOIN s ON s.k = n.k LEFT JOIN f ON f.k = n.k
+"""
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_pii_field": op2_pii_field,
@@ -115,6 +153,9 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_suffix_array_rules": op9_suffix_array_rules,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_best_fit_decreasing": op12_best_fit_decreasing,
+    "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
 }
 
-ORACLES = {"op8_ngram_jaccard_join": OP8, "op6_warc_archives": OP6, "op10_exact_top_k": OP10}
+ORACLES = {"op8_ngram_jaccard_join": OP8, "op6_warc_archives": OP6, "op10_exact_top_k": OP10, "op13_conversation_prefix_trie": OP13}
