@@ -164,21 +164,42 @@ def stale_clusters(chunks: DataFrame, index_meta: DataFrame) -> DataFrame:
 # ---- vectors -------------------------------------------------------------------------------------------------
 
 
-def hashing_encoder(texts: list[str], dims: int = 64) -> np.ndarray:
-    """The default encoder: counts of hashed words, logarithms, unit length."""
-    from zlib import crc32
+#: Components of the default vectors.
+DIMS = 1024
 
-    out = np.zeros((len(texts), dims), np.float32)
-    for i, text in enumerate(texts):
-        for word in text.lower().split():
-            h = crc32(word.encode())
-            out[i, h % dims] += 1 if h & 0x80000000 else -1
-    out = np.sign(out) * np.log1p(np.abs(out))
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
+def _word_counts(chunks: DataFrame, dims: int) -> DataFrame:
+    from pyspark.ml.feature import HashingTF
 
-def embed_chunks(chunks: DataFrame, encoder: Callable[[list[str]], np.ndarray] = hashing_encoder, batch: int = 64) -> DataFrame:
-    """chunks (chunk_id, text, ...) -> with embedding; the encoder is called with batches of texts."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
+    return HashingTF(numFeatures=dims, inputCol="_words", outputCol="_counts").transform(chunks.withColumn("_words", words)).drop("_words")
+
+
+def fit_tfidf(chunks: DataFrame, dims: int = DIMS):
+    """chunks (text) -> the frequencies of hashed words in the corpus (a model of pyspark.ml, which can be saved and loaded),
+    one pass and a sum of dims numbers."""
+    from pyspark.ml.feature import IDF
+
+    return IDF(inputCol="_counts", outputCol="_weights").fit(_word_counts(chunks, dims))
+
+
+def tfidf_vectors(chunks: DataFrame, model) -> DataFrame:
+    """chunks (text, ...) -> with embedding: counts of hashed words times their ln((chunks + 1) / (chunks with it + 1)), at
+    unit length; a text without words, or of words that every chunk has, is zero."""
+    from pyspark.ml.feature import Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    names = [c for c in chunks.columns if c != "embedding"]
+    x = model.transform(_word_counts(chunks.select(*names), model.idf.size))
+    x = Normalizer(p=2.0, inputCol="_weights", outputCol="_unit").transform(x)
+    return x.select(*names, vector_to_array("_unit", "float32").alias("embedding"))
+
+
+def embed_chunks(chunks: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None, batch: int = 64) -> DataFrame:
+    """chunks (chunk_id, text, ...) -> with embedding. The encoder is called with batches of texts; without one, vectors are
+    those of tfidf_vectors with the frequencies of these chunks."""
+    if encoder is None:
+        return tfidf_vectors(chunks, fit_tfidf(chunks))
     names = [c for c in chunks.columns if c != "embedding"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from folioworks.functions import splitting
 from folioworks.functions.text import strip
+from folioworks.sources.scratch import cut, drop
 
 HEADING = r"^(#{1,4})\s+(.*\S.*)$"
 
@@ -276,6 +277,63 @@ def resolve_aliases(wanted: DataFrame, sections: DataFrame) -> DataFrame:
     return out.select("doc_id", "wanted_id", strategy.alias("strategy"), text.alias("text"), F.length(text).alias("text_length"))
 
 
+def _candidates(wanted: Column) -> Column:
+    """What a wanted id is looked up as, in order: (rank, strategy, key)."""
+    bare = strip(F.substring_index(wanted, "(", 1))
+    packed = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    # Names of reporting forms, whole and short.
+    number = F.coalesce(*(F.nullif(F.regexp_extract(packed(bare), p, 1), F.lit("")) for p in (r"^(0409\d+)$", r"^форм[ыа](\d+)")))
+    keys = (("exact", wanted), ("spaces", packed(wanted)), ("note", bare), ("note", packed(bare)), ("form", F.concat(F.lit("форма"), number)), ("form", F.concat(F.lit("форма "), number)))
+    rank = {"exact": 0, "spaces": 1, "note": 2, "form": 5}  # a range stands between notes and forms
+    return F.array(*(F.struct(F.lit(10 * rank[name] + k).alias("rank"), F.lit(name).alias("strategy"), key.alias("key")) for k, (name, key) in enumerate(keys)))
+
+
+def resolve_aliases_in_turn(wanted: DataFrame, sections: DataFrame) -> DataFrame:
+    """wanted (doc_id, pos, wanted_id) -> a row for each: strategy, text, text_length, where aliases resolved at an earlier
+    pos of the document are looked up, and taken into ranges, like sections (behind them, in their own order).
+
+    What an alias resolves to depends on those before it, so all are worked out again and again from the state before,
+    until nothing changes: as each looks back only, a round settles one link more of every chain, and what stays is what
+    going through them one by one gives. Rounds handle ids and places of sections; texts are joined once, in the end. Of
+    sections with one id, the first counts; a range whose texts are all empty is not found.
+    """
+    spark = wanted.sparkSession
+    packed = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    first = sections.groupBy("doc_id", "section_id").agg(F.min(F.struct("pos", F.length("text").alias("n"))).alias("s"))
+    own = first.select("doc_id", F.col("section_id").alias("key"), F.lit(-1).cast("long").alias("turn"), F.array(F.col("s.pos").cast("long")).alias("places"), F.coalesce("s.n", F.lit(0)).cast("long").alias("n"))
+    own = cut(own, "pool")
+    asked = cut(wanted.select("doc_id", F.col("pos").cast("long").alias("turn"), "wanted_id"), "wanted")
+    looked = asked.select("doc_id", "turn", F.inline(_candidates(F.col("wanted_id")))).where("key IS NOT NULL")
+    part = lambda c, k, p: F.regexp_extract(packed(c), p, k)
+    bare = F.substring_index("wanted_id", "(", 1)
+    spans = asked.where(packed(bare).rlike(RANGE)).select("doc_id", "turn", part(bare, 1, RANGE).alias("prefix"), part(bare, 2, RANGE).cast("double").alias("lo"), part(bare, 3, RANGE).cast("double").alias("hi"))
+    kinds = "doc_id {}, turn long, wanted_id string, strategy string, places array<long>, n long".format(asked.schema["doc_id"].dataType.simpleString())
+    state = cut(spark.createDataFrame([], kinds), "aliases")
+    while True:
+        earlier = state.where("strategy NOT IN ('exact', 'not_found')").select("doc_id", F.col("wanted_id").alias("key"), F.col("turn"), "places", "n")
+        pool = own.unionByName(earlier).withColumnRenamed("turn", "since")
+        hits = looked.join(pool, ["doc_id", "key"]).where("since < turn").select("doc_id", "turn", "rank", "strategy", "since", "places", "n")
+        numbered = pool.where(packed(F.col("key")).rlike(NUMBERED)).select("doc_id", part(F.col("key"), 1, NUMBERED).alias("prefix"), part(F.col("key"), 2, NUMBERED).cast("double").alias("num"), "since", "places", "n")
+        met = spans.join(numbered, ["doc_id", "prefix"]).where("since < turn AND num BETWEEN lo AND hi")
+        listed = F.sort_array(F.collect_list(F.struct("since", "places", "n")))
+        ranges = met.groupBy("doc_id", "turn").agg(listed.alias("l"), (F.sum("n") + 2 * (F.count(F.lit(1)) - 1)).alias("n")).where("n > 0")
+        ranges = ranges.select("doc_id", "turn", F.lit(40).alias("rank"), F.lit("range").alias("strategy"), F.lit(-1).cast("long").alias("since"), F.flatten("l.places").alias("places"), "n")
+        best = hits.unionByName(ranges).groupBy("doc_id", "turn").agg(F.min(F.struct("rank", "since", "strategy", "places", "n")).alias("b"))
+        found = asked.join(best, ["doc_id", "turn"], "left").select("doc_id", "turn", "wanted_id", F.coalesce("b.strategy", F.lit("not_found")).alias("strategy"), "b.places", "b.n")
+        now = cut(found, "aliases")
+        settled = now.exceptAll(state).isEmpty()
+        drop(state)
+        state = now
+        if settled:
+            break
+    pieces = state.where("places IS NOT NULL").select("doc_id", "turn", F.posexplode("places").alias("k", "pos"))
+    texts = first.select("doc_id", "section_id", F.col("s.pos").cast("long").alias("pos")).join(sections.select("doc_id", "section_id", F.col("pos").cast("long").alias("pos"), F.coalesce("text", F.lit("")).alias("text")), ["doc_id", "section_id", "pos"])
+    joined = pieces.join(texts, ["doc_id", "pos"]).groupBy("doc_id", "turn").agg(F.sort_array(F.collect_list(F.struct("k", "text"))).alias("l"))
+    text = F.array_join("l.text", "\n\n")
+    out = state.join(joined, ["doc_id", "turn"], "left").withColumn("text", text)
+    return out.select("doc_id", F.col("turn").alias("pos"), "wanted_id", "strategy", "text", F.length("text").alias("text_length"))
+
+
 def last_revision_date(docs: DataFrame, as_of: Column) -> DataFrame:
     """doc_id -> the latest date near a phrase that announces a revision; one after as_of only if there is no other."""
     from folioworks.functions.text import extract_dates

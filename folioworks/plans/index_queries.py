@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from folioworks.operators import checks as K
 from folioworks.operators import index as I
+from folioworks.operators import lexical_top as L
 from folioworks.operators import pages as P
 from folioworks.operators import retrieval as R
+from folioworks.operators import vector_index as V
 from folioworks.plans.text_queries import Texts
 from folioworks.sources import files
 from folioworks.sources.scratch import cut, scratch_path, write_file
@@ -144,11 +146,33 @@ def _(x: Data) -> DataFrame:
     return I.bm25_query_all(asked, built(x)).withColumn("score", F.round("score", 6))
 
 
+def blocks(x: Data) -> L.Blocks:
+    return L.write_blocks(built(x), scratch_path(x.spark, "blocks"))
+
+
+@query("bm25_top", "SELECT query_id, cluster, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM per WHERE rank <= 20")
+def _(x: Data) -> DataFrame:
+    asked = x.read("benchmark").selectExpr("item_id AS query_id", "text")
+    return L.bm25_top(asked, blocks(x)).select("query_id", "cluster", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("bm25_top_everywhere", "SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM lex WHERE rank <= 20")
+def _(x: Data) -> DataFrame:
+    asked = x.read("benchmark").selectExpr("item_id AS query_id", "text")
+    return L.bm25_top(asked, blocks(x), everywhere=True).withColumn("score", F.round("score", 6))
+
+
 @query("knn", "SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM near WHERE rank <= 20")
 def _(x: Data) -> DataFrame:
     return I.knn(x.asked, x.vectors).withColumn("distance", F.round("distance", 6))
 
 
+@query("indexed_knn", "SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM near WHERE rank <= 20")
+def _(x: Data) -> DataFrame:
+    index = V.write_vector_index(x.vectors, scratch_path(x.spark, "vector-index"))
+    return V.indexed_knn(x.asked, index).withColumn("distance", F.round("distance", 6))
+
+
 @query("metadata_filter", """, f AS (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM dist JOIN embeddings ON vec_id = chunk_id WHERE label = 1)
 SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM f WHERE rank <= 20""")
 def _(x: Data) -> DataFrame:
@@ -254,10 +278,32 @@ def _(x: Data) -> DataFrame:
     return I.stale_clusters(chunks, meta)
 
 
-@query("embed_chunks", "SELECT doc_id AS chunk_id, 64 AS dims, CASE WHEN text IS NULL OR trim(text) = '' THEN 0.0 ELSE 1.0 END AS norm FROM documents")
+# The constants of 32-bit MurmurHash3 with seed 42, by which HashingTF finds a word's component.
+_ROTATED = "(({x} << {r}) & 4294967295) | ({x} >> (32 - {r}))"
+_MIXED = "(({k} * 3432918353) & 4294967295)"
+MURMUR = f"""
+, tw AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda v: v <> '')) AS word FROM documents),
+tc AS (SELECT doc_id, word, count(*) AS c FROM tw GROUP BY ALL),
+tb AS (SELECT word, strlen(word) AS n, list_transform(range(1, CAST(2 * strlen(word) AS BIGINT), 2), lambda i: CAST(concat('0x', substr(hex(encode(word)), i, 2)) AS UBIGINT)) AS b FROM (SELECT DISTINCT word FROM tc)),
+tk AS (SELECT word, n, list_transform(range(0, CAST(n // 4 AS BIGINT)), lambda i: b[4 * i + 1] + b[4 * i + 2] * 256 + b[4 * i + 3] * 65536 + b[4 * i + 4] * 16777216) AS ks,
+  CASE n % 4 WHEN 0 THEN CAST(0 AS UBIGINT) WHEN 1 THEN b[n] WHEN 2 THEN b[n - 1] + b[n] * 256 ELSE b[n - 2] + b[n - 1] * 256 + b[n] * 65536 END AS tail FROM tb),
+tm AS (SELECT word, n, list_reduce(list_concat([CAST(42 AS UBIGINT)], list_transform(ks, lambda k: (({_ROTATED.format(x=_MIXED.format(k='k'), r=15)}) * 461845907) & 4294967295)),
+  lambda h, k: ((({_ROTATED.format(x='xor(h, k)', r=13)}) * 5) + 3864292196) & 4294967295) AS h, (({_ROTATED.format(x=_MIXED.format(k='tail'), r=15)}) * 461845907) & 4294967295 AS t FROM tk),
+t1 AS (SELECT word, xor(xor(h, t), CAST(n AS UBIGINT)) AS h FROM tm),
+t2 AS (SELECT word, (xor(h, h >> 16) * 2246822507) & 4294967295 AS h FROM t1),
+t3 AS (SELECT word, (xor(h, h >> 13) * 3266489909) & 4294967295 AS h FROM t2),
+t4 AS (SELECT word, CAST(xor(h, h >> 16) AS BIGINT) AS h FROM t3),
+tf AS (SELECT doc_id, CAST(h % 1024 AS INTEGER) AS pos, sum(c) AS f FROM tc JOIN t4 USING (word) GROUP BY ALL),
+ti AS (SELECT pos, ln((SELECT count(*) + 1 FROM documents) / (count(*) + 1)) AS idf FROM tf GROUP BY 1),
+tv AS (SELECT doc_id, pos, f * idf AS v FROM tf JOIN ti USING (pos))
+"""
+
+
+@query("embed_chunks", MURMUR + "SELECT doc_id AS chunk_id, pos, round(CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 4) AS value FROM tv WHERE v > 0")
 def _(x: Data) -> DataFrame:
     y = I.embed_chunks(x.chunk_rows.select("chunk_id", "text"))
-    return y.select("chunk_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v), 4).alias("norm"))
+    y = y.select("chunk_id", F.posexplode("embedding").alias("pos", "value")).where("value > 0")
+    return y.withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
 @query("vector_upsert", "SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN label + 200 ELSE label END AS cluster FROM embeddings UNION ALL SELECT vec_id + 1000000, label + 200 FROM embeddings WHERE vec_id % 3 = 0 AND vec_id % 2 = 0")
@@ -633,6 +679,19 @@ def _(x: Data) -> DataFrame:
     return last.select("session_id", "s.*")
 
 
+@query("session_table", "SELECT user_id AS session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_active_at, count(*) AS request_count, count_if(event_type = 'error') AS error_count, CAST(sum(event_id % 100) AS BIGINT) AS total_tokens FROM events GROUP BY 1")
+def _(x: Data) -> DataFrame:
+    """Events in four files, a batch each, merged into a table of sessions."""
+    source = scratch_path(x.spark, "events")
+    x.read("events").repartition(4, "event_id").write.parquet(source)
+    events = x.spark.readStream.schema(x.read("events").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    events = events.selectExpr("user_id AS session_id", "ts", "CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status", "event_id % 100 AS tokens")
+    table = streams.SessionTable(x.spark, scratch_path(x.spark, "session-table"), buckets=8)
+    table.run(events, scratch_path(x.spark, "checkpoint")).awaitTermination()
+    shown = [F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("created_at", "last_active_at")]
+    return table.read().select("session_id", *shown, "request_count", "error_count", "total_tokens")
+
+
 @query("stream_stuck", """, r AS (SELECT event_id, ts, event_type = 'error' AS open FROM events) SELECT event_id AS request_id FROM r WHERE open AND ts + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)""")
 def _(x: Data) -> DataFrame:
     """Every event starts a request; all but errors end a minute later."""
@@ -647,5 +706,6 @@ def _(x: Data) -> DataFrame:
     docs = x.spark.readStream.schema(x.documents.schema).parquet(f"{x.dir}/documents.parquet*").selectExpr("doc_id", "text", "lang AS cluster")
     target = scratch_path(x.spark, "index")
     to_chunks = lambda d: d.selectExpr("concat(doc_id, '__0') AS chunk_id", "doc_id", "cluster", "text")
-    streams.stream_index(docs, to_chunks, I.embed_chunks, target, scratch_path(x.spark, "checkpoint")).awaitTermination()
-    return x.spark.read.parquet(f"{target}/vectors").where("size(embedding) = 64").select("doc_id", "cluster")
+    model = I.fit_tfidf(x.documents)
+    streams.stream_index(docs, to_chunks, lambda d: I.tfidf_vectors(d, model), target, scratch_path(x.spark, "checkpoint")).awaitTermination()
+    return x.spark.read.parquet(f"{target}/vectors").where(f"size(embedding) = {I.DIMS}").select("doc_id", "cluster")

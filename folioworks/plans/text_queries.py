@@ -301,6 +301,32 @@ def _(t: Texts) -> DataFrame:
     return S.resolve_aliases(wanted, t.sections)
 
 
+_IN_TURN = ("п. 2", "п.1-3", "п.1-3(часть)", "п. 1-3 (часть)", "п.9999", "формы 0409102", "п.1-3 (вся)", "п. 2-9 (ещё)", "0409101")
+
+
+@query("resolve_aliases_in_turn", r"""
+, keyed AS (SELECT doc_id, list(section_id ORDER BY pos) AS ks, list(text ORDER BY pos) AS ts FROM sec GROUP BY 1),
+r AS (
+  SELECT doc_id, 0 AS i, ks, ts, '' AS w, '' AS strategy, CAST(NULL AS VARCHAR) AS text FROM keyed
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN text IS NULL OR strategy = 'exact' THEN ks ELSE list_append(ks, w) END, CASE WHEN text IS NULL OR strategy = 'exact' THEN ts ELSE list_append(ts, text) END, w, strategy, text
+  FROM (
+    SELECT doc_id, i, ks, ts, w, CASE WHEN p0 > 0 THEN 'exact' WHEN p1 > 0 THEN 'spaces' WHEN p2 > 0 OR p3 > 0 THEN 'note' WHEN rt <> '' THEN 'range' WHEN p4 > 0 OR p5 > 0 THEN 'form' ELSE 'not_found' END AS strategy,
+      CASE WHEN p0 > 0 THEN ts[p0] WHEN p1 > 0 THEN ts[p1] WHEN p2 > 0 THEN ts[p2] WHEN p3 > 0 THEN ts[p3] WHEN rt <> '' THEN rt WHEN p4 > 0 THEN ts[p4] WHEN p5 > 0 THEN ts[p5] END AS text
+    FROM (
+      SELECT *, coalesce(list_position(ks, w), 0) AS p0, coalesce(list_position(ks, regexp_replace(w, '\s+', '', 'g')), 0) AS p1, coalesce(list_position(ks, b), 0) AS p2, coalesce(list_position(ks, regexp_replace(b, '\s+', '', 'g')), 0) AS p3,
+        coalesce(list_position(ks, concat('форма', f)), 0) AS p4, coalesce(list_position(ks, concat('форма ', f)), 0) AS p5,
+        array_to_string(list_transform(list_filter(range(1, len(ks) + 1), lambda j: lo IS NOT NULL AND coalesce(TRY_CAST(regexp_extract(regexp_replace(ks[j], '\s+', '', 'g'), '^п\.(\d+(?:\.\d+)?)$', 1) AS DOUBLE) BETWEEN lo AND hi, false)), lambda j: ts[j]), concat(chr(10), chr(10))) AS rt
+      FROM (
+        SELECT *, TRY_CAST(nullif(regexp_extract(regexp_replace(b, '\s+', '', 'g'), '^п\.(\d+)-(\d+)$', 1), '') AS DOUBLE) AS lo, TRY_CAST(nullif(regexp_extract(regexp_replace(b, '\s+', '', 'g'), '^п\.(\d+)-(\d+)$', 2), '') AS DOUBLE) AS hi,
+          coalesce(nullif(regexp_extract(regexp_replace(b, '\s+', '', 'g'), '^(0409\d+)$', 1), ''), regexp_extract(regexp_replace(b, '\s+', '', 'g'), '^форм[ыа](\d+)', 1)) AS f
+        FROM (SELECT doc_id, i, ks, ts, ws[i + 1] AS w, trim(split_part(ws[i + 1], '(', 1)) AS b FROM r, (SELECT [%s] AS ws) WHERE i < len(ws))))))
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, w AS wanted_id, strategy, text, CAST(length(text) AS INTEGER) AS text_length FROM r WHERE i > 0""" % ", ".join(f"'{w}'" for w in _IN_TURN))
+def _(t: Texts) -> DataFrame:
+    wanted = t.sections.select("doc_id").distinct().select("doc_id", F.posexplode(F.array(*map(F.lit, _IN_TURN))).alias("pos", "wanted_id"))
+    return S.resolve_aliases_in_turn(wanted, t.sections)
+
+
 @query("range_sections", "SELECT doc_id, 'п.2-4' AS wanted_id, string_agg(text, concat(chr(10), chr(10)) ORDER BY pos) AS text FROM sec WHERE section_id IN ('п.2', 'п.3', 'п.4') GROUP BY 1")
 def _(t: Texts) -> DataFrame:
     return S.range_sections(t.sections.select("doc_id").distinct().withColumn("wanted_id", F.lit("п.2-4")), t.sections)
