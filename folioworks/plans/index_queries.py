@@ -646,6 +646,18 @@ def _(x: Data) -> DataFrame:
     return files.read_telemetry(x.spark, "orders.parquet", path=x.dir).select("o_orderkey", "o_orderstatus")
 
 
+@query("read_telemetry_parts", "SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders WHERE o_totalprice > 100000")
+def _(x: Data) -> DataFrame:
+    """Orders written to a database of the driver's JVM and read from there in parts; the filter goes to the database. On a
+    cluster the url names a database server."""
+    folder = scratch_path(x.spark, "database").removeprefix("file://")
+    url = f"jdbc:derby:{folder};create=true"
+    orders = x.read("orders").selectExpr("o_orderkey", "o_custkey", "CAST(o_totalprice AS DOUBLE) AS o_totalprice")
+    orders.write.jdbc(url, "orders", "overwrite", {"batchsize": "10000"})
+    rows = files.read_telemetry_parts(x.spark, url, "orders", "o_orderkey", rows_per_part=4000)
+    return rows.where("o_totalprice > 100000")
+
+
 def _run(x: Data, stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Run a stream over what there is into a table in the shared folder."""
     out = scratch_path(x.spark, name)

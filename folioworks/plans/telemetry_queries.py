@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioworks.operators import telemetry as T
+from folioworks.operators import telemetry_states as H
+from folioworks.sources.scratch import scratch_path
 
 DAYS = 365
 
@@ -116,6 +118,27 @@ def _(x: Log) -> DataFrame:
     return T.chat_overview(x.requests, x.calls, x.now(), 24 * DAYS)
 
 
+@query("hourly_states", """
+SELECT count(*) AS rows, count_if(status = 'ok') AS ok, count_if(status = 'error') AS error, count_if(status = 'in_progress') AS in_progress, count_if(status = 'ok' AND total_duration_ms IS NOT NULL) AS n,
+round(avg(total_duration_ms) FILTER (WHERE status = 'ok'), 4) AS mean, true AS p50_is_near, true AS p95_is_near, true AS sessions_are_near
+FROM requests, t WHERE requested_at >= date_trunc('hour', now - INTERVAL 300 DAY) AND requested_at < date_trunc('hour', now - INTERVAL 20 DAY)""")
+def _(x: Log) -> DataFrame:
+    """States by hour, written and merged for a window; what sketches say is held against the window's rows."""
+    path, now = scratch_path(x.spark, "states"), x.now()
+    H.write_states(H.hourly_states(x.requests, "requested_at", durations=["total_duration_ms"], distinct=["session_id"]), path)
+    since, until = now - F.expr("INTERVAL 300 DAYS"), now - F.expr("INTERVAL 20 DAYS")
+    got = H.merged_states(x.spark.read.parquet(path), since, until)
+    rows = x.requests.where((F.col("requested_at") >= F.date_trunc("hour", since)) & (F.col("requested_at") < F.date_trunc("hour", until)))
+    d, share = F.when(F.col("status") == "ok", F.col("total_duration_ms")), lambda c: F.avg(F.when(F.col("d").isNotNull(), F.col("d") <= F.col(c)).cast("double"))
+    exact = rows.select(d.alias("d"), "session_id").crossJoin(got.select("total_duration_ms_p50", "total_duration_ms_p95"))  # one row
+    exact = exact.agg(share("total_duration_ms_p50").alias("r50"), share("total_duration_ms_p95").alias("r95"), F.count_distinct("session_id").alias("sessions"))
+    near = lambda c, s: F.abs(F.col(c) - s) <= H.RANK_ERROR
+    return got.crossJoin(exact).select(
+        "rows", "ok", "error", "in_progress", F.col("total_duration_ms_n").alias("n"), F.round("total_duration_ms_avg", 4).alias("mean"), near("r50", 0.5).alias("p50_is_near"), near("r95", 0.95).alias("p95_is_near"),
+        (F.abs(F.col("session_id_distinct") - F.col("sessions")) <= H.COUNT_ERROR * F.col("sessions")).alias("sessions_are_near"),
+    )
+
+
 @query("chat_timeline", f"SELECT strftime(requested_at, '%Y-%m-%d %H:00') AS hour, count(*) AS total, count_if(status = 'error') AS errors FROM requests, t WHERE requested_at >= {WINDOW} GROUP BY 1")
 def _(x: Log) -> DataFrame:
     return T.chat_timeline(x.requests, x.now(), 24 * DAYS)
