@@ -42,9 +42,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by cut that nothing will read again."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(table.sparkSession, table._scratch)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: Bytes of rows that Python workers are handed at a time.
