@@ -1,10 +1,15 @@
-"""Raw pages to clean text, batch by batch, with the standard parser; a page that fails gives an error row."""
+"""Raw pages to clean text, batch by batch, with the standard parser; a page that fails gives an error row.
+
+A page is read once and no tree of it is made: text is put together while tags come and go, so its depth costs one name for
+each open element.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -23,71 +28,16 @@ class Profile:
     containers: tuple[str, ...] = ("article", "main", "body")
 
 
-@dataclass
-class Node:
-    tag: str
-    attrs: dict[str, str] = field(default_factory=dict)
-    children: list = field(default_factory=list)
-
-    def matches(self, selector: str) -> bool:
-        tag, _, name = selector.partition(".")
-        if "#" in selector:
-            tag, _, name = selector.partition("#")
-            return (not tag or tag == self.tag) and self.attrs.get("id") == name
-        return (not tag or tag == self.tag) and (not name or name in (self.attrs.get("class") or "").split())
-
-    def walk(self) -> Iterator[Node]:
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
-
-    def text(self) -> str:
-        out, stack = [], [self]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                out.append(x)
-            else:
-                stack.extend(reversed(x.children))
-        return "".join(out)
-
-
-class _Tree(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Node("")
-        self.open = [self.root]
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        node = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
-
-    def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-
-    def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
-
-
-def parse(html: str) -> Node:
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    return tree.root
+def _matches(selector: str, tag: str, attrs: dict[str, str]) -> bool:
+    mark = "#" if "#" in selector else "."
+    wanted, _, name = selector.partition(mark)
+    if wanted and wanted != tag:
+        return False
+    return attrs.get("id") == name if mark == "#" else not name or name in attrs.get("class", "").split()
 
 
-#: Greatest spans that are followed (those of HTML itself), and rows that a span may add below a table's last one.
-MAX_COLSPAN, MAX_ROWSPAN, ROWS_BELOW = 1000, 65_534, 100
+#: Greatest spans that are followed, those of HTML itself.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65_534
 
 
 def _span(value: str | None, most: int) -> int:
@@ -95,15 +45,16 @@ def _span(value: str | None, most: int) -> int:
     return min(max(1, int(digits[:9])), most) if digits.isdigit() else 1
 
 
-def grid(table: Node) -> list[list[str]]:
-    """Cells of a table's own rows; the text of a cell fills every place that it spans. Rows are laid out one by one, with
-    what hangs down into the next: for each column, the rows left and the text."""
-    rows = [r for c in table.children if isinstance(c, Node) for r in ([c] if c.tag == "tr" else [x for x in c.children if isinstance(x, Node) and x.tag == "tr"] if c.tag in ("thead", "tbody", "tfoot") else [])]
+Cell = tuple[str, int, int]
+
+
+def grid(rows: list[list[Cell]]) -> list[list[str]]:
+    """Rows of cells (text, colspan, rowspan) -> lines of one width; the text of a cell fills every place that it spans.
+    Lines are laid out one by one, with what hangs down into the next: for each column, the rows left and the text."""
     out: list[list[str]] = []
     hanging: dict[int, tuple[int, str]] = {}
-    for i in range(len(rows) + ROWS_BELOW):
-        if i >= len(rows) and not hanging:
-            break
+    i = 0
+    while i < len(rows) or hanging:
         line: list[str] = []
         below: dict[int, tuple[int, str]] = {}
 
@@ -115,17 +66,16 @@ def grid(table: Node) -> list[list[str]]:
             if left > 0:
                 below[column] = left, text
 
-        for cell in (x for x in (rows[i].children if i < len(rows) else ()) if isinstance(x, Node) and x.tag in ("td", "th")):
+        for text, across, down in rows[i] if i < len(rows) else ():
             while len(line) in hanging:
                 put(hanging[len(line)][0] - 1, hanging[len(line)][1])
-            text = " ".join(cell.text().split())
-            for _ in range(_span(cell.attrs.get("colspan"), MAX_COLSPAN)):
-                put(_span(cell.attrs.get("rowspan"), MAX_ROWSPAN) - 1, text)
+            for _ in range(across):
+                put(down - 1, text)
         for column in sorted(c for c in hanging if c >= len(line)):
             line += [""] * (column - len(line))
             put(hanging[column][0] - 1, hanging[column][1])
         out.append(line)
-        hanging = below
+        hanging, i = below, i + 1
     width = max(map(len, out), default=0)
     return [line + [""] * (width - len(line)) for line in out] if width else []
 
@@ -138,35 +88,198 @@ def pipe_block(rows: list[list[str]], name: str, caption: str = "") -> str:
     return f"{caption}\n{block}" if caption else block
 
 
-def clean_text(container: Node, noise: tuple[str, ...]) -> str:
-    """Text of a container: tables as blocks, a new line before each block element, spaces collapsed in lines, one blank
-    line at most between them."""
-    out: list[str] = []
-    tables = 0
-
-    def visit(node: Node) -> None:
-        nonlocal tables
-        for child in node.children:
-            if isinstance(child, str):
-                out.append(child)
-            elif not any(child.matches(s) for s in noise):
-                if child.tag == "table":
-                    caption = next((" ".join(c.text().split()) for c in child.children if isinstance(c, Node) and c.tag == "caption"), "")
-                    rows = grid(child)
-                    if rows:
-                        tables += 1
-                        block = pipe_block(rows, f"T{tables}", caption)
-                        out.append(f"\n\n{block}\n\n" if block else "")
-                    continue
-                if child.tag in BLOCKS:
-                    out.append("\n")
-                visit(child)
-
-    visit(container)
+class _Table:
+    """A table as it is read: rows are children of the table or of its sections, cells children of rows; what else a cell
+    holds is text. Depths count from the table."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[Cell]] = []
+        self.caption: str | None = None
+        self._path: list[str] = []
+        self._cell: tuple[int, int, int] | None = None  # its depth and its spans
+        self._naming = 0
+        self._text: list[str] = []
+
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
+        path, depth = self._path, len(self._path) + 1
+        path.append(tag)
+        if self._cell or self._naming:
+            return
+        section = depth == 2 and path[0] in ("thead", "tbody", "tfoot")
+        if tag == "tr" and (depth == 1 or section):
+            self.rows.append([])
+        elif tag in ("td", "th") and path[-2:-1] == ["tr"] and (depth == 2 or depth == 3 and path[0] in ("thead", "tbody", "tfoot")):
+            self._cell, self._text = (depth, _span(attrs.get("colspan"), MAX_COLSPAN), _span(attrs.get("rowspan"), MAX_ROWSPAN)), []
+        elif tag == "caption" and depth == 1 and self.caption is None:
+            self._naming, self._text = depth, []
+
+    def data(self, text: str) -> None:
+        if self._cell or self._naming:
+            self._text.append(text)
+
+    def end(self) -> None:
+        depth = len(self._path)
+        self._path.pop()
+        if self._cell and self._cell[0] == depth:
+            self.rows[-1].append((" ".join(" ".join(self._text).split()), *self._cell[1:]))
+            self._cell = None
+        elif self._naming == depth:
+            self.caption, self._naming = " ".join("".join(self._text).split()), 0
+
+    def block(self, number: int) -> str:
+        return pipe_block(grid(self.rows), f"T{number}", self.caption or "")
+
+
+class _Reader:
+    """Text of an element as its content is read: pieces of text, and tables, which are numbered when the text is asked for.
+    What is in a noisy element is left out, what is in a table goes there."""
+
+    def __init__(self, noise: tuple[str, ...], depth: int) -> None:
+        self.noise, self.depth = noise, depth
+        self.pieces: list[str | _Table] = []
+        self._quiet = 0  # depth at which a noisy element or a table began
+        self._table: _Table | None = None
+
+    @property
+    def listens(self) -> bool:
+        return not self._quiet
+
+    def start(self, tag: str, attrs: dict[str, str], depth: int, holds: bool) -> None:
+        if self._quiet:
+            if self._table and holds:
+                self._table.start(tag, attrs)
+            elif self._table:
+                self._table.start(tag, attrs)
+                self._table.end()
+            return
+        if any(_matches(s, tag, attrs) for s in self.noise):
+            self._quiet = depth if holds else 0
+        elif tag == "table":
+            if holds:
+                self._quiet, self._table = depth, _Table()
+        elif tag in BLOCKS:
+            self.pieces.append("\n")
+
+    def data(self, text: str) -> None:
+        if self._table:
+            self._table.data(text)
+        elif not self._quiet:
+            self.pieces.append(text)
+
+    def end(self, depth: int) -> None:
+        if self._quiet and depth > self._quiet and self._table:
+            self._table.end()
+        elif depth == self._quiet:
+            if self._table:
+                self.pieces.append(self._table)
+            self._quiet, self._table = 0, None
+
+
+def laid_out(pieces: list[str | _Table]) -> str:
+    """Tables as blocks, a new line before each block element, spaces collapsed in lines, one blank line at most between
+    them."""
+    out, tables = [], 0
+    for piece in pieces:
+        if isinstance(piece, str):
+            out.append(piece)
+        elif any(piece.rows):
+            tables += 1
+            block = piece.block(tables)
+            out.append(f"\n\n{block}\n\n" if block else "")
     lines = (" ".join(line.split()) for line in "".join(out).split("\n"))
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
+class PageReader(HTMLParser):
+    """Reads a page once, with a stack of the open elements' names and nothing else of its tree: the text of the page, that of
+    the first element of each container selector, and the first h1 and title. A container's text is a part of the page's;
+    only one in a noisy element or a table of the page is read beside it."""
+
+    def __init__(self, profile: Profile) -> None:
+        super().__init__(convert_charrefs=True)
+        self.profile = profile
+        self.open: list[str] = []
+        self._number: Counter[str] = Counter()
+        self.page = _Reader(profile.noise, 0)
+        self._beside: list[_Reader] = []
+        self._found: dict[str, tuple[_Reader, int]] = {}  # reader and its first piece
+        self._until: dict[str, int] = {}
+        self._closes: dict[int, list[str]] = {}  # containers by the depth of their element
+        self.titles: dict[str, str] = {}
+        self._titled: dict[str, tuple[int, list[str]]] = {}
+
+    def _start(self, tag: str, attrs: list, holds: bool) -> None:
+        own, depth = {k: v or "" for k, v in attrs}, len(self.open) + 1
+        for reader in (self.page, *self._beside):
+            reader.start(tag, own, depth, holds)
+        if tag in ("h1", "title") and tag not in self.titles and tag not in self._titled:
+            self._titled[tag] = depth, []
+            if not holds:
+                self._name(tag)
+        for selector in self.profile.containers:
+            if selector not in self._found and _matches(selector, tag, own):
+                reader = self.page if self.page.listens else _Reader(self.profile.noise, depth)
+                if reader is not self.page and holds:
+                    self._beside.append(reader)
+                self._found[selector] = reader, len(reader.pieces)
+                if holds:
+                    self._closes.setdefault(depth, []).append(selector)
+                else:
+                    self._until[selector] = len(reader.pieces)
+        if holds:
+            self.open.append(tag)
+            self._number[tag] += 1
+
+    def _name(self, tag: str) -> None:
+        self.titles[tag] = " ".join("".join(self._titled.pop(tag)[1]).split())
+
+    def _end(self) -> None:
+        depth = len(self.open)
+        self._number[self.open[-1]] -= 1
+        for selector in self._closes.pop(depth, ()):
+            reader, _ = self._found[selector]
+            self._until[selector] = len(reader.pieces)
+        if self._beside:
+            self._beside = [r for r in self._beside if r.depth < depth]
+        for reader in (self.page, *self._beside):
+            reader.end(depth)
+        if self._titled:
+            for tag in [t for t, (d, _) in self._titled.items() if d == depth]:
+                self._name(tag)
+        self.open.pop()
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._start(tag, attrs, tag not in VOID)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self._start(tag, attrs, False)
+
+    def handle_endtag(self, tag: str) -> None:
+        if self._number[tag]:
+            while self.open[-1] != tag:
+                self._end()
+            self._end()
+
+    def handle_data(self, data: str) -> None:
+        self.page.data(data)
+        for reader in self._beside:
+            reader.data(data)
+        for _, text in self._titled.values():
+            text.append(data)
+
+    def finish(self) -> None:
+        self.close()
+        while self.open:
+            self._end()
+
+    def container(self) -> str | None:
+        for selector in self.profile.containers:
+            if selector in self._found:
+                reader, first = self._found[selector]
+                return laid_out(reader.pieces[first : self._until[selector]])
+        return None
+
+
 def decode(page: str | bytes) -> str:
     """UTF-8 where the bytes are valid, whatever the page declares; else the declared or a legacy encoding."""
     if isinstance(page, str):
@@ -183,14 +296,13 @@ def decode(page: str | bytes) -> str:
 
 def extract(page: str | bytes | None, profile: Profile) -> tuple[str | None, str | None, int, str | None]:
     """(title, text, characters of the page's text, error)."""
-    root = parse(decode(page or ""))
-    nodes = list(root.walk())
-    title = next((" ".join(n.text().split()) for n in nodes if n.tag == "h1"), None) or next((" ".join(n.text().split()) for n in nodes if n.tag == "title"), None)
-    found = next((n for s in profile.containers for n in nodes if n.matches(s)), None)
-    whole = len("".join(clean_text(root, profile.noise).split()))
-    if found is None:
-        return title, None, whole, "no container"
-    return title, clean_text(found, profile.noise), whole, None
+    reader = PageReader(profile)
+    reader.feed(decode(page or ""))
+    reader.finish()
+    title = reader.titles.get("h1") or reader.titles.get("title")
+    whole = len("".join(laid_out(reader.page.pieces).split()))
+    text = reader.container()
+    return title, text, whole, "no container" if text is None else None
 
 
 def html_to_text(pages: DataFrame, profile: Profile = Profile()) -> DataFrame:

@@ -530,6 +530,15 @@ def _(x: Data) -> DataFrame:
     return P.html_to_text(x.read("pages"))
 
 
+@query("html_to_text_of_turns", "SELECT conv_id AS page_id, concat('conversation ', conv_id) AS title, string_agg(text, concat(chr(10), chr(10)) ORDER BY turn) AS text, CAST(length(regexp_replace(concat('conversation ', conv_id, string_agg(text, '' ORDER BY turn)), '\\s', '', 'g')) AS INTEGER) AS body_chars, NULL AS error FROM conversations GROUP BY 1")
+def _(x: Data) -> DataFrame:
+    """Pages made of conversations by Spark, with noise around and in the article that holds the turns."""
+    turn = "concat('<div class=turn><p>', replace(text, '\n', '<br>'), '</p><div class=\"ad\">buy</div></div>')"
+    pages = x._joined(x.read("conversations"), "conv_id", "turn", turn, "<script>var x = '<p>';</script>")
+    head, foot = F.concat(F.lit("<html><head><title>conversation "), "doc_id", F.lit("</title></head><body><nav>menu<ul><li>a</ul></nav><article>")), F.lit("</article><footer>end</footer></body></html>")
+    return P.html_to_text(pages.select(F.col("doc_id").alias("page_id"), F.lit("").alias("url"), F.concat(head, "text", foot).alias("html"))).select("page_id", "title", "text", "body_chars", "error")
+
+
 @query("html_table_grid", "SELECT l_orderkey AS page_id, count(*) AS n_rows, 4 AS n_columns FROM lineitem GROUP BY 1")
 def _(x: Data) -> DataFrame:
     cells = "concat('<tr><td>', l_linenumber, '</td><td colspan=2>', l_partkey, '</td><td>', l_returnflag, '</td></tr>')"

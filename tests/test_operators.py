@@ -190,12 +190,112 @@ def test_nearest_neighbours_leave_out_vectors_that_are_not_whole(spark):
     assert knn(q.where("false"), v).count() == 0 == knn(q, v.where("false")).count()
 
 
-def test_spans_of_cells_are_bounded():
-    from folioworks.operators.pages import grid, parse
-
-    table = parse('<table><tr><td rowspan="2">a</td><td colspan="100000000">b</td></tr><tr><td>c</td><td rowspan="99999">d</td></tr></table>').children[0]
-    rows = grid(table)
-    assert len(rows[0]) == 1001 and rows[1][:3] == ["a", "c", "d"] and len(rows) == 2 + 100 and rows[-1][:3] == ["", "", "d"]
+def test_spans_of_cells_reach_below_the_last_row():
+    rows = P.grid([[("a", 1, 2), ("b", 5, 1)], [("c", 1, 1), ("d", 1, 300)]])
+    assert len(rows[0]) == 6 and rows[1][:3] == ["a", "c", "d"] and len(rows) == 301 and rows[-1][:3] == ["", "", "d"]
+    page = '<article><table><tr><td colspan="100000000">x</td><td rowspan=" 3 ">y<b>z</b></td></tr></table></article>'
+    lines = P.extract(page, P.Profile())[1].split("\n")
+    assert len(lines) == 6 and lines[1].count("| x ") == 1000 and lines[4].endswith("| y z |")
+
+
+class Tree:
+    """A tree of a page's elements and a recursive reading of it, to hold the one-pass reader against."""
+
+    def __init__(self, html):
+        from html.parser import HTMLParser
+
+        class Parser(HTMLParser):
+            def handle_starttag(p, tag, attrs):  # noqa: N805
+                node = (tag, {k: v or "" for k, v in attrs}, [])
+                p.open[-1][2].append(node)
+                p.open += [node] if tag not in P.VOID else []
+
+            def handle_startendtag(p, tag, attrs):  # noqa: N805
+                p.open[-1][2].append((tag, {k: v or "" for k, v in attrs}, []))
+
+            def handle_endtag(p, tag):  # noqa: N805
+                at = [i for i, n in enumerate(p.open) if i and n[0] == tag]
+                del p.open[at[-1] if at else len(p.open) :]
+
+            def handle_data(p, data):  # noqa: N805
+                p.open[-1][2].append(data)
+
+        parser = Parser(convert_charrefs=True)
+        parser.open = [("", {}, [])]
+        root = parser.open[0]
+        parser.feed(html)
+        parser.close()
+        self.root = root
+
+    def nodes(self, node=None):
+        for c in (node or self.root)[2]:
+            if not isinstance(c, str):
+                yield c
+                yield from self.nodes(c)
+
+    def texts(self, node):
+        for c in node[2]:
+            if isinstance(c, str):
+                yield c
+            else:
+                yield from self.texts(c)
+
+    def cleaned(self, node, noise):
+        out, tables = [], [0]
+
+        def visit(node):
+            for c in node[2]:
+                if isinstance(c, str):
+                    out.append(c)
+                elif any(P._matches(s, c[0], c[1]) for s in noise):
+                    continue
+                elif c[0] == "table":
+                    kids = [x for x in c[2] if not isinstance(x, str)]
+                    rows = [r for k in kids for r in ([k] if k[0] == "tr" else [x for x in k[2] if x[0] == "tr" and not isinstance(x, str)] if k[0] in ("thead", "tbody", "tfoot") else [])]
+                    cells = [[(" ".join(" ".join(self.texts(d)).split()), P._span(d[1].get("colspan"), 1000), P._span(d[1].get("rowspan"), 65534)) for d in r[2] if not isinstance(d, str) and d[0] in ("td", "th")] for r in rows]
+                    caption = next((" ".join("".join(self.texts(k)).split()) for k in kids if k[0] == "caption"), "")
+                    if any(cells):
+                        tables[0] += 1
+                        block = P.pipe_block(P.grid(cells), f"T{tables[0]}", caption)
+                        out.append(f"\n\n{block}\n\n" if block else "")
+                else:
+                    out.extend(["\n"] if c[0] in P.BLOCKS else [])
+                    visit(c)
+
+        visit(node)
+        import re
+
+        return re.sub("\n{3,}", "\n\n", "\n".join(" ".join(x.split()) for x in "".join(out).split("\n"))).strip()
+
+    def extract(self, profile):
+        nodes = list(self.nodes())
+        named = {t: next((" ".join("".join(self.texts(n)).split()) for n in nodes if n[0] == t), None) for t in ("h1", "title")}
+        found = next((n for s in profile.containers for n in nodes if P._matches(s, n[0], n[1])), None)
+        whole = len("".join(self.cleaned(self.root, profile.noise).split()))
+        return named["h1"] or named["title"], None if found is None else self.cleaned(found, profile.noise), whole, "no container" if found is None else None
+
+
+def test_one_pass_reads_what_a_tree_gives():
+    import random
+
+    rng, profile = random.Random(7), P.Profile(containers=("article.a", "#x", "main", "table", "body"))
+    tags = ["p", "div", "table", "tr", "td", "th", "tbody", "article", "main", "body", "script", "nav", "h1", "title", "caption", "br", "span", "b"]
+    for _ in range(1500):
+        parts = []
+        for _ in range(rng.randrange(1, 50)):
+            tag, r = rng.choice(tags), rng.random()
+            if rng.random() < 0.15:
+                parts.append("<table><tr><td>a b<b>c</b>")
+            parts.append(f"<{tag}{rng.choice(['', ' class=ad', ' class="a b"', ' colspan=2', ' rowspan=3', ' id=x'])}>" if r < 0.45 else f"</{tag}>" if r < 0.7 else f"<{tag}/>" if r < 0.73 else rng.choice(["text ", "more\n", " ", "a b", "&amp;"]))
+        html = "".join(parts)
+        assert P.extract(html, profile) == Tree(html).extract(profile), html
+
+
+def test_a_deeply_nested_page_gives_its_text():
+    deep = 100_000
+    for html in ("<div>" * deep + "deep" + "</div>" * deep, "<div>" * deep + "deep" + "</p>" * deep, "<table><tr><td>" * (deep // 3) + "deep"):
+        title, text, size, error = P.extract(f"<title>t</title><body>{html}", P.Profile())
+        assert "deep" in text and title == "t" and error is None and size >= 4
 
 
 def test_overlap_in_columns_equals_the_plain_function(spark):
