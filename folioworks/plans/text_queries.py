@@ -176,12 +176,41 @@ def _(t: Texts) -> DataFrame:
     return S.compact_table(S.table_blocks(t.tables.select("doc_id", "text")), max_rows=4)
 
 
-@query("split_table_aware")
+def packed_sql(parts: str, glue: str, limit: str) -> str:
+    """Runs of non-empty parts, as long as they fit into limit: a fold with the runs so far and the open one."""
+    fold = f"""list_reduce(list_transform(list_filter({parts}, lambda v: v <> ''), lambda v: {{'done': CAST([] AS VARCHAR[]), 'run': v}}),
+  lambda a, b: CASE WHEN length(a.run) + length({glue}) + length(b.run) > {limit} THEN {{'done': list_append(a.done, a.run), 'run': b.run}} ELSE {{'done': a.done, 'run': concat(a.run, {glue}, b.run)}} END)"""
+    return f"list_transform([{fold}], lambda z: CASE WHEN z IS NULL THEN CAST([] AS VARCHAR[]) ELSE list_append(z.done, z.run) END)[1]"
+
+
+def split_sql(name: str, source: str, key: str, limit: int, overlap: int) -> str:
+    """CTEs that end in name (key, index, total, text): the texts of source cut level by level, at ever finer separators, and
+    the overlaps put before the pieces."""
+    out, before = [f"{name}_0 AS (SELECT {key}, [coalesce(text, '')] AS l, coalesce(text, '') AS whole FROM {source})"], f"{name}_0"
+    for k, glue in enumerate(("concat(chr(10), chr(10))", "chr(10)", "'. '", "'; '", "', '", "' '")):
+        cut = packed_sql(f"string_split(t, {glue})", glue, str(limit))
+        out.append(f"{name}_{k + 1} AS (SELECT {key}, whole, flatten(list_transform(l, lambda t: CASE WHEN length(t) <= {limit} OR NOT contains(t, {glue}) THEN [t] ELSE {cut} END)) AS l FROM {before})")
+        before = f"{name}_{k + 1}"
+    widths = f"list_transform(range(0, CAST(length(t) AS BIGINT), {limit}), lambda i: substr(t, i + 1, {limit}))"
+    out.append(f"{name}_7 AS (SELECT {key}, whole, CASE WHEN length(whole) <= {limit} THEN [whole] ELSE flatten(list_transform(l, lambda t: CASE WHEN length(t) <= {limit} THEN [t] ELSE {widths} END)) END AS l FROM {before})")
+    tail = f"CASE WHEN contains(right(l[i - 1], {overlap}), ' ') THEN substr(right(l[i - 1], {overlap}), instr(right(l[i - 1], {overlap}), ' ') + 1) ELSE right(l[i - 1], {overlap}) END"
+    piece = f"CASE WHEN i = 1 OR {overlap} = 0 OR {tail} = '' THEN l[i] ELSE concat({tail}, ' ', l[i]) END"
+    out.append(f"{name} AS (SELECT {key}, CAST(i - 1 AS INTEGER) AS index, CAST(len(l) AS INTEGER) AS total, {piece} AS text FROM (SELECT *, unnest(range(1, CAST(len(l) + 1 AS BIGINT))) AS i FROM {name}_7))")
+    return ", " + ",\n".join(out)
+
+
+@query("split_table_aware", f"""
+, tg AS (SELECT l_orderkey AS doc_id, list(concat('| ', l_linenumber, ' | ', l_partkey, ' | ', CAST(l_quantity AS INTEGER), ' | ', l_returnflag, ' |') ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rows FROM lineitem GROUP BY 1),
+tf AS (SELECT doc_id, block, {packed_sql('rows', 'chr(10)', '160 - 86')} AS runs FROM tg JOIN blocks USING (doc_id)),
+th AS (SELECT doc_id, list_concat(list_concat([concat('Order ', doc_id)], CASE WHEN length(block) <= 160 THEN [block] ELSE
+  list_transform(runs, lambda r: concat('⟦TABLE id=T1⟧', chr(10), '| line | part | quantity | flag |', chr(10), '| --- | --- | --- | --- |', chr(10), r, chr(10), '⟦/TABLE⟧')) END), ['end']) AS parts FROM tf),
+tp AS (SELECT doc_id, {packed_sql('parts', 'concat(chr(10), chr(10))', '160')} AS l FROM th)
+SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS index, CAST(len(l) AS INTEGER) AS total, unnest(l) AS text FROM tp""")
 def _(t: Texts) -> DataFrame:
     return C.split_text(t.tables.select("doc_id", "text"), 160, 0)
 
 
-@query("split_text")
+@query("split_text", split_sql("cut", "documents", "doc_id", 800, 120) + "SELECT * FROM cut")
 def _(t: Texts) -> DataFrame:
     return C.split_text(t.documents.select("doc_id", "text"), table_aware=False)
 
@@ -337,6 +366,16 @@ def _(t: Texts) -> DataFrame:
     return t.chunks
 
 
+@query("chunks_of_documents", split_sql("cut", "documents", "doc_id", 800, 120) + """
+, s AS (SELECT doc_id, text, lang, length(text) AS n, concat(doc_id, '__h1_1__ord_1__') AS head FROM documents),
+e AS (SELECT doc_id, concat(head, CASE WHEN n <= 800 THEN '0' ELSE 'parent' END) AS chunk_id, CAST(NULL AS VARCHAR) AS parent_chunk_id, CASE WHEN n <= 800 THEN 'leaf' ELSE 'split_parent' END AS chunk_type, 0 AS chunk_index, 1 AS chunk_total, text FROM s
+  UNION ALL SELECT doc_id, concat(head, index), concat(head, 'parent'), 'split_child', index, total, cut.text FROM s JOIN cut USING (doc_id) WHERE n > 800)
+SELECT chunk_id, doc_id, parent_chunk_id, chunk_type, chunk_type <> 'split_parent' AS is_indexed, chunk_index, chunk_total, e.text, CAST(length(e.text) AS INTEGER) AS char_count, lang AS cluster, concat('2023-11-0', 1 + doc_id % 9) AS as_of_date, doc_id % 4 = 0 AS is_internal
+FROM e JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)""")
+def _(t: Texts) -> DataFrame:
+    return t.chunks.select("chunk_id", "doc_id", "parent_chunk_id", "chunk_type", "is_indexed", "chunk_index", "chunk_total", "text", "char_count", "cluster", "as_of_date", "is_internal")
+
+
 @query("chunk_parents", """
 , s AS (SELECT doc_id, text, lang, length(text) AS n FROM documents WHERE NOT regexp_matches(text, '(^|\n)#{1,4}\\s+.*\\S'))
 SELECT concat(doc_id, '__h1_1__ord_1__', CASE WHEN n <= 800 THEN '0' ELSE 'parent' END) AS chunk_id, doc_id, CASE WHEN n <= 800 THEN 'leaf' ELSE 'split_parent' END AS chunk_type, n <= 800 AS is_indexed, CAST(n AS INTEGER) AS char_count, lang AS cluster,
