@@ -28,12 +28,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/folioworks/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting to delete the shuffle files of a query as it ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends here, and a lost executor costs
-    nothing that was written before."""
+    nothing that was written before. What was shuffled for it is deleted once the table is written."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+    path, before = scratch_path(spark, name), spark.conf.get(FREE)
+    spark.conf.set(FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table
