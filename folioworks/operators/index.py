@@ -48,14 +48,46 @@ def tokenize(text: Column) -> Column:
     return F.when(text.rlike(r"[0-9/\p{Nd}]"), F.flatten(parts)).otherwise(raw)
 
 
-def lemmatized(tokens: DataFrame, lemmas: DataFrame | None) -> DataFrame:
-    """tokens (term, ...) with each term that the dictionary (form, lemma) has replaced by its lemma."""
+def lemmatized(tokens: DataFrame, lemmas: DataFrame | None, endings: DataFrame | None = None) -> DataFrame:
+    """tokens (term, ...) with each term that the dictionary (form, lemma) has replaced by its lemma, and, with endings, each
+    other term by what suffix_lemmas makes of it."""
     if lemmas is None:
         return tokens
-    x = tokens.join(lemmas.select(F.col("form").alias("term"), "lemma"), "term", "left")
+    known = lemmas.select(F.col("form").alias("term"), "lemma")
+    x = tokens.join(known, "term", "left")
+    if endings is not None:
+        guessed = suffix_lemmas(tokens.select("term").distinct().join(known, "term", "left_anti"), endings)
+        x = x.join(guessed.withColumnRenamed("lemma", "_guess"), "term", "left").withColumn("lemma", F.coalesce("lemma", "_guess")).drop("_guess")
     return x.withColumn("term", F.coalesce("lemma", "term")).drop("lemma")
 
 
+#: Letters of the longest ending, and of the shortest stem that an ending leaves.
+LONGEST_ENDING, LEAST_STEM = 5, 2
+
+
+def learn_endings(lemmas: DataFrame, longest: int = LONGEST_ENDING) -> DataFrame:
+    """lemmas (form, lemma) -> ending, cut, added: for each ending of the forms what, most often, is cut off behind and put
+    there instead; of two as frequent, what cuts less, then the first by letters. It is a trie of endings laid out as a table: the node of an
+    ending is its row, and the longest one that a word has is found by a join with the word's own endings."""
+    shorter = F.least(F.length("form"), F.length("lemma"))
+    shared = F.array_max(F.transform(F.sequence(F.lit(0), shorter), lambda i: F.when(F.substring("form", F.lit(1), i) == F.substring("lemma", F.lit(1), i), i).otherwise(0)))
+    x = lemmas.where("form <> '' AND lemma IS NOT NULL").select("form", (F.length("form") - shared).alias("cut"), F.substring("lemma", shared + 1, F.length("lemma")).alias("added"))
+    lengths = F.sequence(F.greatest("cut", F.lit(1)), F.greatest(F.least(F.length("form"), F.lit(longest)), F.greatest("cut", F.lit(1))))
+    x = x.select("cut", "added", F.explode(F.transform(lengths, lambda k: F.right("form", k))).alias("ending")).where(F.length("ending") <= longest)
+    counted = x.groupBy("ending", "cut", "added").agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("ending").agg(F.min(F.struct(-F.col("n"), "cut", "added")).alias("b"))
+    return best.select("ending", "b.cut", "b.added")
+
+
+def suffix_lemmas(terms: DataFrame, endings: DataFrame, longest: int = LONGEST_ENDING) -> DataFrame:
+    """terms (term, each once) -> term, lemma: by the rule of the longest ending known; terms without one, and those of which
+    it would leave less than LEAST_STEM letters, are left out."""
+    x = terms.select("term", F.explode(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(longest)))).alias("k")).withColumn("ending", F.right("term", F.col("k")))
+    x = x.join(endings, "ending").groupBy("term").agg(F.max(F.struct("k", "cut", "added")).alias("r"))
+    stem = F.length("term") - F.col("r.cut")
+    return x.where(stem >= LEAST_STEM).select("term", F.concat(F.substring("term", F.lit(1), stem), "r.added").alias("lemma"))
+
+
 class Index(NamedTuple):
     """The tables of a lexical index: postings (cluster, term, chunk_id, tf), terms (cluster, term, df, idf), lengths
     (cluster, chunk_id, len), stats (cluster, n, avg_len)."""

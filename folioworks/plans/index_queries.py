@@ -119,6 +119,23 @@ def _(x: Data) -> DataFrame:
     return x.chunk_rows.select("chunk_id", F.array_join(I.tokenize(F.col("text")), " ").alias("tokens"))
 
 
+@query("tokenize_lemmas", """
+, lw AS (SELECT chunk_id, unnest(t) AS term FROM tok WHERE t IS NOT NULL), lv AS (SELECT DISTINCT term FROM lw),
+ld AS (SELECT term AS form, regexp_replace(term, '(ing|tion|en|ment|ly)$', 'e') AS lemma FROM lv WHERE length(term) % 3 > 0),
+lc AS (SELECT form, lemma, list_max(list_transform(range(0, least(length(form), length(lemma)) + 1), lambda i: CASE WHEN left(form, i) = left(lemma, i) THEN i ELSE 0 END)) AS p FROM ld),
+le AS (SELECT right(form, k) AS ending, length(form) - p AS cut, substr(lemma, p + 1) AS added, count(*) AS n FROM (SELECT *, unnest(range(1, 6)) AS k FROM lc) WHERE k >= length(form) - p AND k <= length(form) GROUP BY ALL),
+lr AS (SELECT ending, cut, added FROM (SELECT *, row_number() OVER (PARTITION BY ending ORDER BY n DESC, cut, added) AS r FROM le) WHERE r = 1),
+lg AS (SELECT term, cut, added FROM (SELECT term, cut, added, row_number() OVER (PARTITION BY term ORDER BY k DESC) AS r FROM (SELECT term, unnest(range(1, 6)) AS k FROM lv WHERE length(term) % 3 = 0) JOIN lr ON ending = right(term, k) AND k <= length(term)) WHERE r = 1),
+ll AS (SELECT lv.term, coalesce(ld.lemma, CASE WHEN length(lv.term) - lg.cut >= 2 THEN concat(left(lv.term, length(lv.term) - lg.cut), lg.added) END, lv.term) AS lemma FROM lv LEFT JOIN ld ON ld.form = lv.term LEFT JOIN lg ON lg.term = lv.term)
+SELECT chunk_id, lemma AS term, count(*) AS tf FROM lw JOIN ll USING (term) GROUP BY ALL""")
+def _(x: Data) -> DataFrame:
+    """A dictionary of two thirds of the documents' words; the others get their lemma by the longest ending."""
+    tokens = x.chunk_rows.select("chunk_id", F.explode(I.tokenize(F.col("text"))).alias("term"))
+    forms = cut(tokens.select(F.col("term").alias("form")).distinct(), "forms").where("length(form) % 3 > 0")
+    lemmas = forms.withColumn("lemma", F.regexp_replace("form", "(ing|tion|en|ment|ly)$", "e"))
+    return I.lemmatized(tokens, lemmas, I.learn_endings(lemmas)).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 @query("bm25_index", "SELECT cluster, term, df, round(idf, 9) AS idf FROM terms")
 def _(x: Data) -> DataFrame:
     return built(x)[1].withColumn("idf", F.round("idf", 9))
