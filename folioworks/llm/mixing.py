@@ -3,7 +3,7 @@
 1. Targets: sources in code-point order (null last) have weights; each gets its weight's part of all words, but no
    more than max_repeat times its own; what is above goes to the others by weight (water filling, in closed form by a
    running sum over the sources ordered by capacity / weight).
-2. The words are dealt in blocks of block_words: the Sainte-Lague rule gives each source the number of its quotients
+2. The words are dealt in blocks of block_words (of fewer to a source whose target is but a few of these): the Sainte-Lague rule gives each source the number of its quotients
    target / (j - 1/2) among the highest, then each source's blocks go to its cells by the same rule. What a cell's
    quota has above max_repeat times its words goes, word by word, to the source's cells with room, in proportion to it.
 3. In a cell, documents stand in a seeded order and their words form one line, cut into blocks. A quota is taken as
@@ -16,8 +16,9 @@ for some cell_blocks blocks of its own words, so a rare source has few cells, an
 The tables of sources and of shards (sources x max_shards rows at most) are all that meets in few tasks.
 
 Defined cases: null text has size 0 and nothing is taken; null source is a source, the last; repeated rows are rows of
-their own (ties in the seeded order have equal id and size, so whichever comes first the result is the same set);
-an empty table gives an empty result; further columns pass through, and clashing names are replaced by the results'.
+their own (ties in the seeded order go by size, then by the text's hash); a table or a source of a few words is mixed to within
+a word or two; an empty table gives an empty result; further columns pass through, whatever their names, and those of the
+results' names are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 
 from folioworks.llm.shared import cut, word_count
 
+#: A source whose target is below so many blocks gets blocks of that part of its target, of a word at least.
+FEW_BLOCKS = 16
 #: Multipliers of the seeded permutations: primes above 2^31, so prime to any smaller number of blocks.
 PRIMES = (2654435761, 2246822519, 3266489917, 4294967291)
 
@@ -114,26 +117,35 @@ def mix_sources(
 ) -> DataFrame:
     """docs (doc_id, source, text or size, ...) -> all its rows and columns plus size, source_size, target, passes
     (times the whole document is taken), pieces (array of (start, len): word ranges taken once more) and taken."""
+    # the caller's columns travel in one, so that none of them meets a name of the work here
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "passes", "pieces", "taken")]
-    sized = docs.select(*kept, (word_count(F.col("text")) if size is None else size).cast("long").alias("size"))
+    words = (word_count(F.col("text")) if size is None else size).cast("long")
+    tie = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+    sized = docs.select(F.struct(*kept).alias("_row"), "doc_id", "source", words.alias("size"), tie.alias("_tie"))
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
     order = F.xxhash64(F.lit(seed), "doc_id")
     shards = max(1, min(max_shards, docs.count() // docs_per_shard))
-    base = sized.withColumn("_key", key).withColumn("_shard", F.pmod(order, F.lit(shards)))
+    base = sized.select("_row", "doc_id", "_tie", "size", key.alias("_key"), F.pmod(order, F.lit(shards)).alias("_shard"))
 
     parts = cut(base.groupBy("_key", "_shard").agg(F.sum("size").alias("_part")), "cells")
     sources = source_targets(parts.groupBy("_key").agg(F.sum("_part").alias("source_size")), weights, share, max_repeat)
-    total = F.sum("target").over(Window.partitionBy(F.lit(0)))
+    # a source whose target is a few blocks is dealt in smaller ones of its own, the others compete for equal blocks
+    few = F.col("target") < FEW_BLOCKS * block_words
+    own = F.when(few, F.greatest(F.lit(1), F.floor(F.col("target") / FEW_BLOCKS))).otherwise(F.lit(block_words)).cast("long")
+    sources = sources.withColumn("_block", own).withColumn("_share", F.when(few, 0.0).otherwise(F.col("target")))
+    total = F.sum("_share").over(Window.partitionBy(F.lit(0)))
     sources = sources.withColumn("_blocks", F.round(total / block_words).cast("long"))
-    sources = apportion(sources, [], "target", "_blocks", ["_key"], "_quota").drop("_blocks")
+    sources = apportion(sources, [], "_share", "_blocks", ["_key"], "_quota").drop("_blocks")
+    sources = sources.withColumn("_quota", F.when(few, F.round(F.col("target") / F.col("_block"))).otherwise(F.col("_quota")).cast("long")).drop("_share")
 
-    own_cells = F.least(F.lit(shards), F.greatest(F.lit(1), F.floor(F.col("source_size") / (block_words * cell_blocks))))
+    block = F.col("_block")
+    own_cells = F.least(F.lit(shards), F.greatest(F.lit(1), F.floor(F.col("source_size") / (block * cell_blocks))))
     parts = parts.join(sources, "_key").withColumn("_cell", F.floor(F.col("_shard") * own_cells / shards))
-    cells = parts.groupBy("_key", "_cell", "source_size", "target", "_quota").agg(F.sum("_part").alias("_words"))
+    cells = parts.groupBy("_key", "_cell", "source_size", "target", "_quota", "_block").agg(F.sum("_part").alias("_words"))
     cells = apportion(cells, ["_key"], "_words", "_quota", ["_cell"], "_cell_quota")
-    cells = redeal(cells, F.col("_cell_quota") * block_words, F.col("_words") * max_repeat)
+    cells = redeal(cells, F.col("_cell_quota") * block, F.col("_words") * max_repeat)
     want = F.col("_want")
-    n_blocks = F.ceil(F.col("_words") / block_words)
+    n_blocks = F.ceil(F.col("_words") / block)
     pick = F.xxhash64(F.lit(seed + 1), "_key", "_cell")
     cells = (
         cells.withColumn("passes", F.when(F.col("_words") > 0, F.floor(want / F.col("_words"))).otherwise(F.lit(0)))
@@ -142,15 +154,15 @@ def mix_sources(
         .withColumn("_a", F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(pick, F.lit(len(PRIMES))) + 1).cast("int")))
         .withColumn("_c", F.pmod(F.shiftright(pick, 8), F.col("_nb")))
         .withColumn("_tail", F.pmod(F.col("_a") * (F.col("_nb") - 1) + F.col("_c"), F.col("_nb")))
-        .withColumn("_short", F.col("_nb") * block_words - F.col("_words"))
-        .select("_key", "_cell", "source_size", "target", "passes", "_rest", "_nb", "_a", "_c", "_tail", "_short")
+        .withColumn("_short", F.col("_nb") * block - F.col("_words"))
+        .select("_key", "_cell", "source_size", "target", "passes", "_rest", "_nb", "_a", "_c", "_tail", "_short", "_block")
     )
     # a cell's line is those of its shards, one after the other
     along = Window.partitionBy("_key", "_cell").orderBy("_shard").rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.select("_key", "_cell", "_shard", (F.sum("_part").over(along) - F.col("_part")).alias("_before"))
     cells = parts.join(cells, ["_key", "_cell"]).drop("_cell")
 
-    line = Window.partitionBy("_key", "_shard").orderBy(order, "doc_id", "size")
+    line = Window.partitionBy("_key", "_shard").orderBy(order, "doc_id", "size", "_tie")
     placed = base.withColumn("_upto", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     x = placed.join(cells, ["_key", "_shard"]).withColumn("_end", F.col("_before") + F.col("_upto"))
     x = x.withColumn("_start", F.col("_end") - F.col("size"))
@@ -158,38 +170,39 @@ def mix_sources(
     def piece(i: Column) -> Column:
         """What of block i is taken once more, within this document: (start in the document, words)."""
         place = F.pmod(F.col("_a") * i + F.col("_c"), F.col("_nb"))
-        earlier = place * block_words - F.when(place > F.col("_tail"), F.col("_short")).otherwise(F.lit(0))
-        got = F.greatest(F.lit(0), F.least(F.col("_rest") - earlier, F.lit(block_words)))
-        start = F.greatest(i * block_words, F.col("_start"))
-        end = F.least(i * block_words + got, F.col("_end"))
+        earlier = place * block - F.when(place > F.col("_tail"), F.col("_short")).otherwise(F.lit(0))
+        got = F.greatest(F.lit(0), F.least(F.col("_rest") - earlier, F.lit(block)))
+        start = F.greatest(i * block, F.col("_start"))
+        end = F.least(i * block + got, F.col("_end"))
         return F.struct((start - F.col("_start")).cast("long").alias("start"), F.greatest(end - start, F.lit(0)).cast("long").alias("len"))
 
-    first, last = F.floor(F.col("_start") / block_words), F.floor((F.col("_end") - 1) / block_words)
+    first, last = F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block)
     pieces = F.filter(F.transform(F.sequence(first, last), piece), lambda p: p["len"] > 0)
     none = F.array().cast("array<struct<start:bigint,len:bigint>>")
     x = x.withColumn("pieces", F.when((F.col("size") > 0) & (F.col("_rest") > 0), pieces).otherwise(none))
     extra = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["len"])
     x = x.withColumn("passes", F.col("passes").cast("long"))
     x = x.withColumn("taken", F.col("passes") * F.col("size") + extra)
-    return x.select(*kept, "size", "source_size", "target", "passes", "pieces", "taken")
+    return x.select(*(F.col("_row").getField(c).alias(c) for c in kept), "size", "source_size", "target", "passes", "pieces", "taken")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: each document once for each pass, and once more with the text of its
     pieces where some of its blocks were drawn. n_chars, where there is such a column, follows the text. Documents
     without words carry nothing to mix and go."""
-    columns = docs.columns
-    x = mix_sources(docs, **options).where("taken > 0")
+    columns, row = docs.columns, F.struct(*docs.columns).alias("row")
+    x = mix_sources(docs.select("doc_id", "source", "text", row), **options).where("taken > 0")
     n = F.col("passes") + F.when(F.size("pieces") > 0, 1).otherwise(0)
-    x = x.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))))
+    x = x.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))))
     units = F.regexp_extract_all("text", F.lit(WORD_AND_SPACE), F.lit(0))
     # a lambda's argument is worked out once, where an expression inside it would be again for each piece
     taken = F.transform(F.array(units), lambda u: F.flatten(F.transform("pieces", lambda p: F.slice(u, (p["start"] + 1).cast("int"), p["len"].cast("int")))))
     cut_text = F.array_join(F.get(taken, F.lit(0)), "")
-    x = x.withColumn("text", F.when(F.col("_copy") <= F.col("passes"), F.col("text")).otherwise(cut_text))
+    x = x.withColumn("text", F.when(F.col("copy") <= F.col("passes"), F.col("text")).otherwise(cut_text))
+    new = {"text": F.col("text")}
     if "n_chars" in columns:
-        x = x.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return x.select(*columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return x.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in columns))
 
 
 #: A word with the white space after it.

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.llm.components import components
-from folioworks.llm.shared import cut, drop, hashed_texts, mix, small_batches
+from folioworks.llm.shared import cut, drop, free_name, hashed_texts, mix, small_batches
 
 TABLE_BITS = 24
 PICK_BITS = 26
@@ -218,7 +218,7 @@ def _only(rows: DataFrame, key: str, marks: Broadcast, marked: bool = True) -> D
             at = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)
             yield batch.select(range(len(names))).filter(pa.array(_marked(marks.value, at) == marked))
 
-    return rows.withColumn("_bucket", _bucket(F.col(key).cast("long"))).mapInArrow(run, rows.schema)
+    return rows.withColumn(free_name(names, "_bucket"), _bucket(F.col(key).cast("long"))).mapInArrow(run, rows.schema)
 
 
 def _postings(heads: DataFrame, docs: Broadcast, tokens: Broadcast) -> DataFrame:

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioworks.sources.scratch import cut, drop, open_file, scratch_path, shared_root, small_batches, write_file
+from folioworks.sources.scratch import cut, delete, drop, open_file, scratch_path, shared_root, small_batches, write_file
 
-__all__ = ["cut", "drop", "hash_words", "hashed_texts", "mix", "open_file", "scratch_path", "shared_root", "slices", "small_batches", "string_buffers", "word_count", "word_spans", "write_file"]
+__all__ = ["cut", "delete", "drop", "free_name", "hash_words", "hashed_texts", "mix", "open_file", "scratch_path", "shared_root", "slices", "small_batches", "string_buffers", "word_count", "word_spans", "write_file"]
 
 
 
@@ -30,6 +30,14 @@ _give_memory_back()
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, or one like it that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
