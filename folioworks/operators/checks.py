@@ -149,7 +149,7 @@ def reference_context(refs: DataFrame, sections: DataFrame, each: int = 20_000,
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         left, out, notes, missing = budget, [], [], []
-        for r in part.sort_values("pos").itertuples():
+        for r in part.sort_values(["pos", "ref_doc", "section_id"], kind="stable").itertuples():
             name = f"{r.ref_doc} {r.section_id}"
             if not isinstance(r.text, str):
                 missing.append(name)

@@ -103,18 +103,59 @@ def build_chunks(sections: DataFrame, catalog: DataFrame, run_date: Column, over
     big = big.select("*", F.posexplode_outer("_p").alias("chunk_index", "_t")).withColumn("text", F.col("_t")).withColumn("chunk_type", F.lit("split_child")).drop("_p", "_t")
     big = big.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("path"), F.col("order"), F.col("chunk_index"))).withColumn("parent_chunk_id", chunk_id(F.col("doc_id"), F.col("path"), F.col("order"), F.lit("parent")))
 
-    every = whole.unionByName(big.select(*whole.columns)).join(catalog.select("doc_id", "source_type", "doc_type", "doc_subtype", "cluster", "approval_date"), "doc_id", "left")
+    every = whole.unionByName(big.select(*whole.columns)).join(catalog.select("doc_id", *CATALOG), "doc_id", "left")
     ids = table_ids(F.col("text"))
     said = F.array_join(F.filter(F.transform(ids, lambda i: F.try_element_at("summaries", i)), lambda s: s.isNotNull()), "\n")
-    source = F.coalesce("source_type", F.lit("real"))
-    return every.select(
+    return _described(every, run_date, F.coalesce(said, F.lit("")))
+
+
+CATALOG = ("source_type", "doc_type", "doc_subtype", "cluster", "approval_date")
+
+
+def _described(chunks: DataFrame, run_date: Column, said: Column) -> DataFrame:
+    ids, source = table_ids(F.col("text")), F.coalesce("source_type", F.lit("real"))
+    return chunks.select(
         "chunk_id", "doc_id", "section_id", "parent_chunk_id", "chunk_type", (F.col("chunk_type") != "split_parent").alias("is_indexed"), "parent_section_id", "path", "level", F.col("order").alias("order_in_doc"),
         "chunk_index", "chunk_total", source.alias("source_type"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("doc_type", "doc_subtype", "cluster")], (source == "synthetic").alias("is_internal"),
-        as_of_date(F.col("approval_date"), run_date).alias("as_of_date"), "text", F.length("text").alias("char_count"), (F.size(ids) > 0).alias("contains_table"), ids.alias("table_ids"),
-        F.coalesce(said, F.lit("")).alias("table_summary"),
+        as_of_date(F.col("approval_date"), run_date).alias("as_of_date"), "text", F.length("text").alias("char_count"), (F.size(ids) > 0).alias("contains_table"), ids.alias("table_ids"), said.alias("table_summary"),
     )
 
 
+def chunk_texts(docs: DataFrame, catalog: DataFrame, run_date: Column, overrides: DataFrame | None = None) -> DataFrame:
+    """docs (doc_id, text: Markdown) x catalog -> the chunks that build_chunks makes of their sections (without table
+    summaries). Outline, tree, contexts and pieces are matters of one text, so they are worked out where its row lies: texts are read
+    once, and meet the catalog in one join, before there are chunks."""
+    own = {c: F.lit(v) for c, v in (("child_max", CHILD), ("overlap", OVERLAP), ("parent_max", PARENT))}
+    known = catalog.select("doc_id", *CATALOG)
+    if overrides is None:
+        known = known.withColumns(own)
+    else:
+        known = known.join(overrides.select("doc_id", *own), "doc_id", "left").withColumns({c: F.coalesce(c, v) for c, v in own.items()})
+    x = docs.select("doc_id", "text").join(known, "doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    carried = [c for c in x.columns if c not in ("doc_id", "text", "child_max", "overlap", "parent_max")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = []
+            for r in part.itertuples(index=False):
+                sections = splitting.outline(r.text or "")
+                held = tuple(getattr(r, c) for c in carried)
+                for c in splitting.chunks(sections, int(r.child_max), int(r.overlap), int(r.parent_max)):
+                    s = sections[c.section]
+                    above = sections[c.context] if c.context >= 0 else None
+                    suffix = {"leaf": "0", "split_parent": "parent"}.get(c.kind, str(c.index))
+                    rows.append((r.doc_id, *held, s.path[-1], s.path[-2] if len(s.path) > 1 else None, list(s.path), s.level, s.order, c.kind, suffix, c.index, c.total, c.text, list(above.path) if above else None, above.order if above else None))
+            yield pd.DataFrame(rows, columns=names)
+
+    names = ["doc_id", *carried, "section_id", "parent_section_id", "path", "level", "order", "chunk_type", "suffix", "chunk_index", "chunk_total", "text", "context_path", "context_order"]
+    kinds = [kind, *(x.schema[c].dataType.simpleString() for c in carried), "string", "string", "array<string>", "int", "int", "string", "string", "int", "int", "string", "array<string>", "int"]
+    made = x.mapInPandas(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+    named = made.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("path"), F.col("order"), F.col("suffix")))
+    context = F.when(F.col("context_path").isNotNull(), chunk_id(F.col("doc_id"), F.col("context_path"), F.col("context_order"), F.lit("parent")))
+    return _described(named.withColumn("parent_chunk_id", context), run_date, F.lit(""))
+
+
 def indexable_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.where("is_indexed")
 

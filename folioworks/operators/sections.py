@@ -106,7 +106,7 @@ def mask_tables(docs: DataFrame) -> DataFrame:
 
 def dedupe_sections(sections: DataFrame, priority: Sequence[Column], key: Sequence[str] = ("doc_id", "section_id")) -> DataFrame:
     """One row for each key: the highest priority, the first of equals; it takes the place of the first. The choice is
-    made on narrow rows, and texts follow by (doc_id, pos)."""
+    made on narrow rows, and the texts of all candidates meet it by the key."""
     narrow = sections.select(*key, "pos", F.struct(*[p.alias(f"p{i}") for i, p in enumerate(priority)], (-F.col("pos")).alias("first")).alias("_p"))
     best = narrow.groupBy(*key).agg(F.max_by("pos", "_p").alias("_from"), F.min("pos").alias("_to"))
     x = sections.join(best, list(key)).where("pos = _from")
@@ -139,6 +139,7 @@ def point_priority() -> list[Column]:
 def chapter_priority() -> list[Column]:
     """Of chapters and appendices with one number: a heading that names that number, then any heading, then a point of
     that chapter at the start, then no note of another edition, then children (999 at most), then length (250,000)."""
+    # The six ranks in their order, the patterns of headings, and the bounds 999 and 250,000.
     chapter, appendix = F.col("section_id").startswith("гл."), F.col("section_id").startswith("Приложение")
     number = F.regexp_extract("section_id", r"(\d*)$", 1)
     low = F.lower(F.regexp_replace("text", r"(?U)^\s+", ""))
@@ -192,6 +193,16 @@ def split_by_pattern(docs: DataFrame, patterns: Sequence[str], prefix: str = "ф
     )
 
 
+def split_forms(docs: DataFrame, patterns: Sequence[str], prefix: str = "форма ") -> DataFrame:
+    """Sections by split_by_pattern; documents in which no pattern matches any line are split by chapters instead."""
+    lines = F.split("text", "\n")
+    held = F.exists(lines, lambda line: F.array_contains(F.array(*[F.regexp_extract(line, p, 1) != "" for p in patterns]), True))
+    marked = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held"))
+    forms = split_by_pattern(marked.where("held").drop("held"), patterns, prefix).withColumn("parent_section_id", F.lit(None).cast("string"))
+    columns = ["doc_id", "pos", "section_id", "parent_section_id", "title", "text"]
+    return forms.select(*columns).unionByName(split_chapters(marked.where("NOT held").drop("held")).select(*columns))
+
+
 def route_parser(docs: DataFrame, catalog: DataFrame, by_id: dict[str, str], by_subtype: dict[str, str]) -> DataFrame:
     """doc_id -> parser: that of the id, else of the catalog's subtype, else null with status no_parser."""
     pick = lambda names, c: F.coalesce(*[F.when(c == k, F.lit(v)) for k, v in names.items()], F.lit(None).cast("string"))

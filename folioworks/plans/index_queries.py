@@ -472,7 +472,27 @@ def _(x: Data) -> DataFrame:
     return K.normalize_questions(K.parse_llm_array(_replies(x)))
 
 
-@query("reference_context")
+# the fold of the operator: what is left of the budget runs down from text to text
+_SPACES = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+
+
+def _clipped(text: str, limit: str) -> str:
+    head = f"CAST(floor(CAST({limit} - 5 AS DOUBLE) * CAST(0.7 AS DOUBLE)) AS BIGINT)"
+    return f"CASE WHEN length({text}) <= {limit} THEN {text} WHEN {limit} <= 205 THEN left({text}, {limit}) ELSE concat(rtrim(left({text}, {head}), {_SPACES}), chr(10), '...', chr(10), ltrim(right({text}, {limit} - 5 - {head}), {_SPACES})) END"
+
+
+REFERENCES = f"""
+, rr AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_partkey AS ref_doc, concat(l_partkey, ' s') AS name, concat('**', l_partkey, ', s** — ', source, chr(10)) AS head, trim(text, {_SPACES}) AS t FROM lineitem LEFT JOIN documents ON doc_id = l_partkey),
+rc AS (SELECT doc_id, pos, ref_doc, name, head, length(t) > 20000 AS cut, CASE WHEN t IS NOT NULL THEN {_clipped('t', '20000')} END AS t FROM rr),
+re AS (SELECT doc_id, list({{'room': CAST(90000 AS BIGINT), 'said': CAST([] AS VARCHAR[]), 'notes': CAST([] AS VARCHAR[]), 'missing': CAST([] AS VARCHAR[]), 'name': name, 'head': head, 'cut': cut, 't': t}} ORDER BY pos, ref_doc) AS l FROM rc GROUP BY 1),
+rf AS (SELECT doc_id, list_reduce(list_concat([{{'room': CAST(90000 AS BIGINT), 'said': CAST([] AS VARCHAR[]), 'notes': CAST([] AS VARCHAR[]), 'missing': CAST([] AS VARCHAR[]), 'name': CAST('' AS VARCHAR), 'head': CAST('' AS VARCHAR), 'cut': false, 't': CAST('' AS VARCHAR)}}], l), lambda a, b: CASE
+  WHEN b.t IS NULL THEN {{'room': a.room, 'said': a.said, 'notes': a.notes, 'missing': list_append(a.missing, b.name), 'name': '', 'head': '', 'cut': false, 't': ''}}
+  WHEN length(b.t) > a.room AND a.room <= 0 THEN {{'room': a.room, 'said': a.said, 'notes': list_append(a.notes, concat(b.name, ': skipped')), 'missing': a.missing, 'name': '', 'head': '', 'cut': false, 't': ''}}
+  ELSE {{'room': a.room - length({_clipped('b.t', 'a.room')}), 'said': list_append(a.said, concat(b.head, {_clipped('b.t', 'a.room')})), 'notes': CASE WHEN b.cut OR length(b.t) > a.room THEN list_append(a.notes, concat(b.name, ': shortened')) ELSE a.notes END, 'missing': a.missing, 'name': '', 'head': '', 'cut': false, 't': ''}} END) AS r FROM re)
+SELECT doc_id, CASE WHEN len(r.missing) = 0 THEN array_to_string(r.said, concat(chr(10), chr(10))) END AS context, array_to_string(r.notes, '; ') AS notes, array_to_string(r.missing, '; ') AS missing FROM rf"""
+
+
+@query("reference_context", REFERENCES)
 def _(x: Data) -> DataFrame:
     refs = x.read("lineitem").selectExpr("l_orderkey AS doc_id", "l_linenumber AS pos", "l_partkey AS ref_doc", "'s' AS section_id", "'' AS note")
     sections = x.documents.selectExpr("doc_id", "'s' AS section_id", "source AS title", "text")
@@ -589,12 +609,12 @@ def _by_conversation(x: Data, item: str) -> DataFrame:
     return x.read("conversations").groupBy("conv_id").agg(F.transform(listed, lambda r: r["i"]).alias("items"))
 
 
-@query("read_sections", "SELECT CAST(conv_id AS VARCHAR) AS doc_id, concat('s', turn) AS section_id, role AS title, text, CASE WHEN turn % 2 = 0 THEN 'T1' END AS table_id FROM conversations")
+@query("read_sections", "SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, concat('s', turn) AS section_id, role AS title, text, CASE WHEN turn % 2 = 0 THEN 'T1' END AS table_id FROM conversations")
 def _(x: Data) -> DataFrame:
     section = "struct(concat('s', turn) AS k, named_struct('title', role, 'text', text, 'metadata', named_struct('tables', CASE WHEN turn % 2 = 0 THEN array(named_struct('table_id', 'T1', 'row_count', turn)) END)) AS v)"
     bodies = _by_conversation(x, section).select(F.col("conv_id").alias("file"), F.to_json(F.map_from_entries(F.transform("items", lambda i: F.struct(i["k"], i["v"])))).alias("body"))
     rows = files.read_sections(x.spark, _json_files(x, "sections", bodies))
-    return rows.select("doc_id", "section_id", "title", "text", F.get("tables", F.lit(0))["table_id"].alias("table_id"))
+    return rows.select("doc_id", "pos", "section_id", "title", "text", F.get("tables", F.lit(0))["table_id"].alias("table_id"))
 
 
 @query("read_section_tree", """SELECT CAST(conv_id AS VARCHAR) AS doc_id, 'h1_1' AS section_id, CAST(NULL AS VARCHAR) AS parent_section_id, 1 AS level, 0 AS "order", 'whole' AS title, CAST(NULL AS VARCHAR) AS text, 'h1_1' AS path FROM conversations GROUP BY 1
@@ -660,6 +680,16 @@ def _(x: Data) -> DataFrame:
     return x.spark.read.parquet(path).select("chunk_id", "cluster", "text")
 
 
+@query("write_chunk_totals", "SELECT lang AS cluster, source AS doc_id, count(*) AS chunk_count, count_if(doc_id % 3 > 0) AS indexed_count FROM documents GROUP BY 1, 2")
+def _(x: Data) -> DataFrame:
+    """Chunks written in two runs, the second for one cluster again; totals follow."""
+    path, totals = scratch_path(x.spark, "corpus"), scratch_path(x.spark, "corpus-totals")
+    chunks = x.documents.selectExpr("doc_id AS chunk_id", "source AS doc_id", "doc_id % 3 > 0 AS is_indexed", "text", "lang AS cluster")
+    files.write_chunks(chunks.withColumn("is_indexed", F.col("is_indexed") & (F.col("cluster") != "de")), path, totals)
+    files.write_chunks(chunks.where("cluster = 'de'"), path, totals)
+    return x.spark.read.schema("doc_id string, chunk_count long, indexed_count long, cluster string").parquet(totals)
+
+
 @query("write_report", "SELECT lang, count(*) AS documents FROM documents GROUP BY 1")
 def _(x: Data) -> DataFrame:
     path = scratch_path(x.spark, "report")

@@ -89,8 +89,7 @@ class Texts:
 
     @property
     def chunks(self) -> DataFrame:
-        tree = S.section_rollup(S.section_tree(S.md_headings(self.documents.select("doc_id", "text"))))
-        return C.build_chunks(tree, self.catalog, F.lit("2024-01-01"))
+        return C.chunk_texts(self.documents.select("doc_id", "text"), self.catalog, F.lit("2024-01-01"))
 
 
 BIND = """
@@ -220,12 +219,14 @@ def _(t: Texts) -> DataFrame:
     return S.split_articles(t.laws)
 
 
-@query("split_chapters", """
+CHAPTERS = """
 , p AS (SELECT o_custkey AS doc_id, n, m, concat('п.', n, '.', m) AS section_id, concat('гл.', n) AS parent_section_id, concat(n, '.', m, '. деталь ', l_partkey, ' количество ', CAST(l_quantity AS INTEGER)) AS text FROM o JOIN li ON l_orderkey = o_orderkey),
 c AS (SELECT o_custkey AS doc_id, o.n, 0 AS m, concat('гл.', o.n) AS section_id, CAST(NULL AS VARCHAR) AS parent_section_id, concat('Заказ ', o_orderkey) AS title,
   concat_ws(chr(10), concat('Глава ', o.n, '. Заказ ', o_orderkey), (SELECT string_agg(text, chr(10) ORDER BY m) FROM p WHERE p.doc_id = o_custkey AND p.n = o.n)) AS text FROM o),
-u AS (SELECT * FROM c UNION ALL SELECT doc_id, n, m, section_id, parent_section_id, '', text FROM p)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, m) - 1 AS INTEGER) AS pos, section_id, parent_section_id, title, text FROM u""")
+u AS (SELECT * FROM c UNION ALL SELECT doc_id, n, m, section_id, parent_section_id, '', text FROM p)"""
+
+
+@query("split_chapters", CHAPTERS + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, m) - 1 AS INTEGER) AS pos, section_id, parent_section_id, title, text FROM u")
 def _(t: Texts) -> DataFrame:
     return S.split_chapters(t.regulations)
 
@@ -267,6 +268,15 @@ def _(t: Texts) -> DataFrame:
     return S.split_by_pattern(forms, PATTERNS)
 
 
+@query("split_forms", CHAPTERS + """
+SELECT o_custkey AS doc_id, CAST(n AS INTEGER) AS pos, concat('форма 0409', 100 + n) AS section_id, CAST(NULL AS VARCHAR) AS parent_section_id, concat('0409', 100 + n) AS title, concat('заказ ', o_orderkey) AS text FROM o WHERE o_custkey % 2 = 0
+UNION ALL SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, m) - 1 AS INTEGER), section_id, parent_section_id, title, text FROM u WHERE doc_id % 2 = 1""")
+def _(t: Texts) -> DataFrame:
+    """Forms of every other customer, and the regulations of the rest, which hold no form and are split by chapters."""
+    forms = t._joined(t.orders.where("o_custkey % 2 = 0"), "o_custkey", "n", "concat('Форма 0409', 100 + n, '\nзаказ ', o_orderkey)")
+    return S.split_forms(forms.unionByName(t.regulations.where("doc_id % 2 = 1")), PATTERNS).withColumn("pos", F.col("pos").cast("int"))
+
+
 @query("route_parser", """
 SELECT doc_id, CASE WHEN doc_id = 7 THEN 'special' WHEN source = 'src1' THEN 'law' WHEN source = 'src2' THEN 'regulation' END AS parser, CASE WHEN doc_id = 7 OR source IN ('src1', 'src2') THEN 'ok' ELSE 'no_parser' END AS status FROM documents""")
 def _(t: Texts) -> DataFrame:
