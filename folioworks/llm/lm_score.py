@@ -11,15 +11,17 @@ How it runs:
    below is a customer come or gone above within the bucket. Only the number of customers and tables of each context is
    global: a distributed table, to which each bucket sends its contexts' numbers and from which it gets the sums back.
    A bucket reads its chunks' rows one after another and adds them up as it goes.
-3. Gibbs (restaurants.py): in a sweep customers of every dish rise and sit down again, one at a time given all others
-   of the dish: at a new table with weight (theta + d T) P(parent), at an old one of s customers with weight s - d. One
-   rule says how many of a dish's customers move in a sweep, sqrt(c), drawn anew each time. Dishes move side by side;
-   customers of the root follow after each sweep and then move likewise, and P(parent) stands still in between. T of
-   other buckets is taken to move in proportion to the own bucket's. After burn_in sweeps every sweep is a sample; its
-   tables are written to a file for each bucket, and its totals are exchanged.
+3. Gibbs (restaurants.py): in a sweep each dish's whole seating is drawn anew given all others, from its conditional
+   distribution: all its customers rise and sit down again, at a new table with weight (theta + d T) P(parent), at an old one
+   of s customers with weight s - d. Dishes are drawn side by side, one random half of them given the other; the tables are the
+   root's customers, whose seatings are drawn next, and P(parent) stands still in between. T of other buckets is taken to move in
+   proportion to the own bucket's. After burn_in sweeps every sweep is a sample; its tables are written to a file for each
+   bucket, and its totals are exchanged.
 4. For every pair of every chunk the bucket answers with the predictive probability, averaged over the samples; a
-   document's score is the sum of log10 over its tokens (kept to 1 / 4000 for each). Chunks and answers meet by chunk
-   number.
+   document's score is the sum of log10 over its tokens. Chunks and answers meet by chunk number.
+
+Chunks' rows are shuffled to their buckets once; a bucket keeps them in a file in the shared folder, which the later
+jobs read.
 
 Frequent words are counts, pre-aggregated in each chunk; a bucket's memory follows its distinct pairs.
 
@@ -30,25 +32,22 @@ further columns are ignored; a text of any length is part of one chunk.
 
 from __future__ import annotations
 
-import gc
 import io
-import time
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.llm.restaurants import Seating, start_tables
-from folioworks.llm.shared import cut, drop, hash_words, mix, open_file, scratch_path, slices, small_batches, string_buffers, word_spans, write_file
+from folioworks.llm.restaurants import draw_tables
+from folioworks.llm.shared import cut, delete, drop, hash_words, mix, open_file, scratch_path, slices, small_batches, string_buffers, word_spans, write_file
 
 CHUNK_BYTES = 8_000_000
 #: Pairs of a bucket that are added up at a time.
 TOGETHER = 1_000_000
-LOG_SCALE = 4000
 END = np.uint64(0x5DEECE66D1234567)
 
 
@@ -238,39 +237,26 @@ class Bucket:
         (d1, d0), (theta1, theta0) = model["d"], model["theta"]
         n_words = len(self.words)
         begun = np.maximum(self.context_sums(np.ones(len(self.key), np.int64)), 1)
-        own = begun.copy()
-        pairs = np.bincount(self.word, minlength=n_words)
-        root = Seating(pairs, np.minimum(pairs, 1), d0)
-        base = lambda: (theta0 + d0 * sums[1] * root.tables.sum() / max(n_words, 1)) / (sums[2] + 1)
-        flat = lambda at: np.full(len(at), base())
-
-        def parent() -> np.ndarray:
-            grown = root.customers.sum() / max(pairs.sum(), 1)
-            return (root.customers - d0 * root.tables + base()) / (theta0 + sums[0] * grown)
-
-        # only dishes of two customers or more can change; they stand in falling order
-        many = np.flatnonzero(self.customers > 1)
-        many = many[np.argsort(-self.customers[many], kind="stable")]
-        word, context, p = self.word[many], self.at[many], parent()
-        share = t2[context] / begun[context]
-        fresh = lambda at: (theta1 + d1 * own[context[at]] * share[at]) * p[word[at]]
+        own, share = begun.copy(), t2 / begun
         tables = np.ones(len(self.key), np.int64)
-        leaves = Seating(self.customers[many], start_tables(rng, self.customers[many], fresh(np.arange(len(many))), d1), d1)
-        np.add.at(own, context, leaves.tables - 1)
-        above = pairs + np.bincount(word, leaves.tables - 1, minlength=n_words).astype(np.int64)
-        root = Seating(above, start_tables(rng, above, np.full(n_words, base()), d0), d0)
+        above = np.bincount(self.word, minlength=n_words).astype(np.int64)
+        pairs, root = max(above.sum(), 1), np.minimum(above, 1)
+        new_word = lambda: (theta0 + d0 * sums[1] * root.sum() / max(n_words, 1)) / (sums[2] + 1)
+        parent = lambda: (above - d0 * root + new_word()) / (theta0 + sums[0] * above.sum() / pairs)
+        many = np.flatnonzero(self.customers > 1)  # only dishes of two customers or more can change
         for i in range(model["burn_in"] + model["samples"]):
-            leaves.sweep(rng, fresh, lambda at, change: np.add.at(own, context[at], change))
-            now = pairs + np.bincount(word, leaves.tables - 1, minlength=n_words).astype(np.int64)
-            root = root.followed(rng, now - root.customers, flat)
-            order = np.argsort(-root.customers, kind="stable")
-            falling = root.taken(order)
-            falling.sweep(rng, flat, lambda at, change: None)
-            root = falling.taken(np.argsort(order, kind="stable"))
             p = parent()
+            second = rng.random(len(many)) < 0.5
+            for half in (many[second], many[~second]):  # one half of the dishes given the other
+                word, context = self.word[half], self.at[half]
+                fresh = (theta1 + d1 * np.maximum(own[context] * share[context] - tables[half], 0)) * p[word]
+                now = draw_tables(rng, self.customers[half], fresh, d1 * p[word], d1)
+                np.add.at(own, context, now - tables[half])
+                tables[half] = now
+            above = np.bincount(self.word, tables, minlength=n_words).astype(np.int64)
+            root = draw_tables(rng, above, np.full(n_words, new_word()), np.full(n_words, d0 / (sums[2] + 1)), d0)
             if i >= model["burn_in"]:
-                tables[many] = leaves.tables
-                yield {"tables": tables, "root_customers": root.customers, "root_tables": root.tables}
+                yield {"tables": tables, "root_customers": above, "root_tables": root}
 
 
 def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -288,6 +274,18 @@ TOTALS = "bucket int, sample int, sums array<long>, shard int, names binary, dat
 _TOTALS = pa.schema([("bucket", pa.int32()), ("sample", pa.int32()), ("sums", pa.list_(pa.int64())), ("shard", pa.int32()), ("names", pa.binary()), ("data", pa.binary())])
 
 
+#: What a chunk has of its documents, and what of it a bucket keeps.
+OWNER = "chunk long, pairs binary, ids array<long>, lengths array<int>, entries array<int>, deltas binary, times binary, held_out array<boolean>"
+_OWNER = pa.schema([("chunk", pa.int64()), ("pairs", pa.binary()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("entries", pa.list_(pa.int32())), ("deltas", pa.binary()), ("times", pa.binary()), ("held_out", pa.list_(pa.bool_()))])
+_HELD = ["bucket", "chunk", "words", "held", "names", "contexts", "counts"]
+_BOTH = pa.schema([*_TOTALS, *_OWNER])
+
+
+def _beside(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch of one of the two kinds of rows with the other's columns, null."""
+    return pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) if f.name in batch.schema.names else pa.nulls(batch.num_rows, f.type) for f in _BOTH], schema=_BOTH)
+
+
 def _row(*values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _TOTALS, strict=True)], schema=_TOTALS)
 
@@ -355,6 +353,19 @@ def _get_file(folder: str, number: int) -> list[bytes]:
         return pa.ipc.open_stream(source).read_all().column("data").to_pylist()
 
 
+def _put_batches(folder: str, number: int, batches: list[pa.RecordBatch]) -> None:
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, batches[0].schema) as out:
+        for batch in batches:
+            out.write_batch(batch)
+    write_file(folder, f"{number}.arrow", [sink.getvalue()])
+
+
+def _get_batches(folder: str, number: int) -> Iterator[pa.RecordBatch]:
+    with open_file(f"{folder}/{number}.arrow") as source:
+        yield from pa.ipc.open_stream(source)
+
+
 def _told(folder: str, number: int, names: np.ndarray, shards: int, of: int) -> list[np.ndarray]:
     """The sums over all buckets, `of` numbers for each of the bucket's contexts."""
     order, edges = _by_shard(names, shards)
@@ -382,42 +393,50 @@ def predictive(bucket: Bucket, words: np.ndarray, contexts: np.ndarray, c2: np.n
     return p / len(samples)
 
 
-def _free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that have ended; it does when the driver has collected the plans."""
-    for _ in range(2):  # plans refer to one another by weak references, which a first collection only clears
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def score(docs: DataFrame, held_out: Column, *, burn_in: int = 2, samples: int = 3, strength: float = 1.0, docs_per_bucket: int = 2048, seed: int = 23) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, burn_in: int = 4, samples: int = 3, strength: float = 1.0, docs_per_bucket: int = 2048, seed: int = 23) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. The model and
     the counts are learnt from the rows where held_out does not hold."""
     spark = docs.sparkSession
     small_batches(spark)
     buckets = int(min(max(8, -(-docs.count() // docs_per_bucket)), 1 << 16))
     shards = min(max(8, buckets // 4), 1024)
-    made = cut(chunks(docs, held_out, buckets), "chunks")
-    owners = made.where("bucket < 0").select("chunk", "pairs", "ids", "lengths", "entries", "deltas", "times", "held_out")
-    by_bucket = made.where("bucket >= 0").select("bucket", "chunk", "words", "held", "names", "contexts", "counts").groupBy("bucket")
+    # a bucket's rows meet; rows with a chunk's documents pass by them, each by itself
+    made = chunks(docs, held_out, buckets)
+    by_bucket = made.groupBy(F.when(F.col("bucket") < 0, -1 - F.col("chunk")).otherwise(F.col("bucket").cast("long")).alias("key"))
+    held_rows = scratch_path(spark, "bucket-rows")
 
     def first_totals(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, bucket = key[0].as_py(), Bucket(_messages(batches))
+        number, kept = key[0].as_py(), list(batches)  # compressed rows, read twice
+        if number < 0:
+            for batch in kept:
+                yield _beside(batch.select(_OWNER.names))
+            return
+        _put_batches(held_rows, number, [batch.select(_HELD) for batch in kept])
+        bucket = Bucket(_messages(_get_batches(held_rows, number)))
         c2, t2, sums = bucket.first_totals()
-        yield _row(number, 0, sums.tolist(), None, None, None)
-        yield from _shares(number, bucket.names, shards, [c2, t2])
+        for row in (_row(number, 0, sums.tolist(), None, None, None), *_shares(number, bucket.names, shards, [c2, t2])):
+            yield _beside(row)
+
+    totals = cut(by_bucket.applyInArrow(first_totals, f"{TOTALS}, {OWNER}"), "totals")
+    owners = totals.where("chunk is not null").select(*_OWNER.names)
+    numbers = cut(totals.where("sample = 0").select("bucket"), "buckets").repartitionByRange(buckets, "bucket")
+
+    def each_bucket(work: Callable[[int], Iterator[pa.RecordBatch]], kinds: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number in batch.column(0).to_pylist():
+                    yield from work(number)
+
+        return numbers.mapInArrow(run, kinds)
 
-    totals = cut(by_bucket.applyInArrow(first_totals, TOTALS), "totals")
     start, first = _summed(totals).get(0, np.zeros(8, np.int64)), _exchanged(totals, "starts")
-    drop(totals)
-    _free_shuffles(spark)
     one1, two1, one0, two0 = start[4:].astype(float)
     discounts = [float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a + b else 0.5 for a, b in ((one1, two1), (one0, two0))]
     model = {"d": discounts, "theta": [strength] * 2, "burn_in": burn_in, "samples": samples, "seed": seed}
     states = scratch_path(spark, "seats")
 
-    def sampled_totals(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, bucket = key[0].as_py(), Bucket(_messages(batches))
+    def sampled_totals(number: int) -> Iterator[pa.RecordBatch]:
+        bucket = Bucket(_messages(_get_batches(held_rows, number)))
         _, t2 = _told(first, number, bucket.names, shards, 2)
         tables, blobs = [], []
         rng = np.random.Generator(np.random.PCG64([model["seed"], number]))
@@ -428,35 +447,34 @@ def score(docs: DataFrame, held_out: Column, *, burn_in: int = 2, samples: int =
         _put_file(states, number, blobs)
         yield from _shares(number, bucket.names, shards, tables)
 
-    rows = cut(by_bucket.applyInArrow(sampled_totals, TOTALS), "totals")
+    rows = cut(each_bucket(sampled_totals, TOTALS), "totals")
     sampled, then = _summed(rows), _exchanged(rows, "samples")
     drop(rows)
-    _free_shuffles(spark)
     sums = [sampled.get(s, np.zeros(3, np.int64)) for s in range(samples)]
 
-    def answers(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, kept = key[0].as_py(), list(batches)  # compressed rows, read twice
-        bucket = Bucket(_messages(kept))
+    def answers(number: int) -> Iterator[pa.RecordBatch]:
+        bucket = Bucket(_messages(_get_batches(held_rows, number)))
         c2, _ = _told(first, number, bucket.names, shards, 2)
         t2 = _told(then, number, bucket.names, shards, samples)
         blobs = [unpacked(x).astype(np.int64) for x in _get_file(states, number)]
         held = [dict(zip(("tables", "root_customers", "root_tables"), blobs[3 * s : 3 * s + 3], strict=True)) for s in range(samples)]
-        for m in _messages(kept):
+        for m in _messages(_get_batches(held_rows, number)):
             words, contexts, _ = bucket.request(m)
             p = predictive(bucket, words, contexts, c2, t2, held, sums, model)
             distinct = _find(bucket.words, unpacked_sorted(m["words"]))
             counts = np.where(distinct >= 0, bucket.count[distinct], 0) if len(bucket.words) else np.zeros(len(distinct), np.int64)
-            logs = packed(np.rint(-np.log10(p) * LOG_SCALE), "<u2")
+            logs = packed(np.log10(p).astype("<f4").view("<u4"))
             yield pa.RecordBatch.from_arrays([pa.array([m["chunk"]], pa.int64()), pa.array([number], pa.int32()), pa.array([packed(counts, "<u8")], pa.binary()), pa.array([logs], pa.binary())], names=["chunk", "bucket", "known", "logs"])
 
-    answered = cut(by_bucket.applyInArrow(answers, "chunk long, bucket int, known binary, logs binary"), "answers")
-    _free_shuffles(spark)
+    answered = cut(each_bucket(answers, "chunk long, bucket int, known binary, logs binary"), "answers")
+    for folder in (held_rows, states, first, then):
+        delete(spark, folder)
     train_tokens, vocabulary = int(start[3]), int(start[2])
 
     def finish(of: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         got = got.sort_values("bucket")
         known = np.concatenate([unpacked(x, "<u8") for x in got["known"]]).astype(np.int64)
-        logs = np.concatenate([unpacked(x, "<u2") for x in got["logs"]]) / -LOG_SCALE
+        logs = np.concatenate([unpacked(x).view("<f4") for x in got["logs"]]).astype(float)
         parts = []
         for row in of.itertuples():
             counts = np.repeat(known, unpacked(row.pairs).astype(np.int64))

@@ -1,133 +1,83 @@
-"""Tables of many dishes of Chinese restaurants, moved customer by customer, all dishes side by side in numpy.
+"""Seatings of Chinese restaurants, resampled dish by dish: a Gibbs step draws all tables of a dish anew, given everything else.
 
-A dish's tables stand one after another in an array of sizes, with free places behind them. Dishes are kept in falling
-order of customers, so those that still move in a later step of a sweep are a prefix.
+With weight a for the first table, a + b for the second, a + 2 b for the third and so on, c customers of a dish sit at t tables
+with probability in proportion to a (a + b) ... (a + (t - 1) b) S(c, t). S(c, t) are generalised Stirling numbers: the weight
+of all seatings of c customers at t tables, where a table of s customers has weight (1 - d) (2 - d) ... (s - 1 - d). Scores need
+the number of tables only, so the sizes are summed out and never drawn.
+
+Up to EXACT customers t is drawn from these weights themselves. Beyond, the mean and the variance of t are worked out from the
+generating function exp(a / d (1 - (1 - x)^d)), whose n-th coefficient is the sum of a^t S(n, t) / n!, and t is drawn about them:
+from the function's behaviour at x = 1, a series in z = a / d n^-d, for z up to 1; from its saddle point beyond.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from functools import lru_cache
 
 import numpy as np
 
-
-def moves(customers: np.ndarray) -> np.ndarray:
-    """Customers that a sweep moves of each dish: sqrt(c), rounded up, drawn anew each time; the one rule for all counts."""
-    return np.ceil(np.sqrt(customers)).astype(np.int64)
-
-
-def start_tables(rng: np.random.Generator, customers: np.ndarray, fresh: np.ndarray, d: float) -> np.ndarray:
-    """Tables to start from: customers sit down one after another at a new table with weight fresh, at an old one with
-    weight seated - d tables; the customers between two new tables are drawn at once."""
-    tables, seated = np.minimum(customers, 1), np.ones(len(customers))
-    left = np.flatnonzero(customers > 1)
-    while len(left):
-        held = seated[left] - d * tables[left]
-        wait = held * np.expm1(np.minimum(-np.log1p(-rng.random(len(left))) / np.maximum(fresh[left], 1e-12), 60.0))
-        seated[left] += np.floor(np.minimum(wait, 1e15)) + 1
-        left = left[seated[left] <= customers[left]]
-        tables[left] += 1
+#: Customers of a dish up to which weights are worked out one by one; weights held at a time.
+EXACT, TOGETHER = 1024, 1 << 21
+
+
+@lru_cache(maxsize=4)
+def log_ways(d: float, most: int) -> np.ndarray:
+    """Logarithms of S(c, t) for c and t up to most, by S(c + 1, t) = S(c, t - 1) + (c - d t) S(c, t)."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    if most:
+        out[1, 1] = 0
+    t = np.arange(1, most + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(1, most):
+            stay = out[c, 1:] + np.log(np.maximum(c - d * t, 0))
+            out[c + 1, 1:] = np.logaddexp(out[c, :-1], stay)
+    return out
+
+
+def moments(customers: np.ndarray, a: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the number of tables of many customers, new tables having weight a each."""
+    n, large = customers.astype(float), a / d
+    z = large * n**-d
+    j = np.arange(1, 41)
+    size = np.array([math.exp(math.lgamma(d * k + 1) - math.lgamma(k + 1)) for k in j])
+    terms = -size * np.sin(math.pi * d * j) / math.pi * (-np.minimum(z, 1.0)[:, None]) ** j
+    whole, once, twice = terms.sum(1), (terms * j).sum(1), (terms * j * j).sum(1)
+    safe = np.where(whole == 0, 1.0, whole)
+    share = np.where(whole == 0, 1.0, once / safe)
+    mean, variance = large + share, large + np.where(whole == 0, 1.0, twice / safe) - share**2
+    # saddle point: u = 1 - x with a (1 - u) u^(d - 1) = n
+    low, high = np.full(len(n), -700.0), np.zeros(len(n))
+    for _ in range(60):
+        middle = (low + high) / 2
+        over = np.log(a) + np.log1p(-np.exp(np.minimum(middle, -1e-300))) + (d - 1) * middle > np.log(n)
+        low, high = np.where(over, middle, low), np.where(over, high, middle)
+    u = np.exp(middle)
+    saddle = large * (1 - u**d)
+    spread = saddle - n * n / (n + a * (1 - d) * (1 - u) ** 2 * u ** (d - 2))
+    far = z > 1
+    return np.where(far, saddle, mean), np.maximum(np.where(far, spread, variance), 0)
+
+
+def draw_tables(rng: np.random.Generator, customers: np.ndarray, a: np.ndarray, b: np.ndarray, d: float, exact: int = EXACT) -> np.ndarray:
+    """Numbers of tables of dishes, each given its customers and the weights a, a + b, a + 2 b, ... of its new tables."""
+    tables = np.minimum(customers, 1).astype(np.int64)
+    order = np.argsort(customers, kind="stable")
+    first = np.searchsorted(customers[order], np.arange(exact + 2))
+    ways = log_ways(d, int(min(exact, customers.max(initial=0))))
+    for c in (np.flatnonzero(np.diff(first)[2:]) + 2).tolist():
+        steps, width = np.arange(c), max(1, TOGETHER // c)
+        for k in range(first[c], first[c + 1], width):
+            at = order[k : min(k + width, first[c + 1])]
+            weight = np.cumsum(np.log(a[at, None] + b[at, None] * steps), axis=1) + ways[c, 1 : c + 1]
+            run = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            tables[at] = 1 + (run < (rng.random(len(at)) * run[:, -1])[:, None]).sum(axis=1)
+    at = order[first[exact + 1] :]
+    if len(at):
+        weight = a[at]
+        for _ in range(3):  # the mean weight of the tables that there will be
+            mean, variance = moments(customers[at], weight, d)
+            weight = a[at] + b[at] * (np.maximum(mean, 1) - 1) / 2
+        more = np.where(mean < 50, rng.poisson(np.clip(mean - 1, 0, 50)), np.rint(mean - 1 + np.sqrt(variance) * rng.standard_normal(len(at))))
+        tables[at] = np.clip(1 + more, 1, customers[at])
     return tables
-
-
-class Seating:
-    """Customers and tables of some dishes."""
-
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, d: float):
-        self.customers, self.tables, self.d = customers.astype(np.int64), tables.astype(np.int64), d
-        self._lay(np.zeros(0, np.int64), None)
-
-    def _lay(self, sizes: np.ndarray, owner: np.ndarray | None, room: np.ndarray | int = 0) -> None:
-        """Lay the tables out anew, without empty ones, with room for more behind each dish's."""
-        n = len(self.customers)
-        self._first = np.append(0, np.cumsum(self.tables + room))
-        flat = np.zeros(int(self._first[-1]), np.int64)
-        if owner is None:  # all that is known is the tables' number: one large table, the others for one customer
-            some = np.flatnonzero(self.tables)
-            owner = np.repeat(np.arange(n), self.tables)
-            sizes = np.ones(len(owner), np.int64)
-            sizes[(np.cumsum(self.tables) - self.tables)[some]] = (self.customers - self.tables + 1)[some]
-        place = np.arange(len(owner)) - np.searchsorted(owner, owner) + self._first[owner]
-        flat[place] = sizes
-        self.sizes, self._used = flat, self.tables.copy()
-
-    def _make_room(self, room: np.ndarray) -> None:
-        at = np.flatnonzero(self.sizes)
-        self._lay(self.sizes[at], np.searchsorted(self._first, at, "right") - 1, room)
-
-    def taken(self, order: np.ndarray) -> Seating:
-        """The same dishes in another order."""
-        out = Seating.__new__(Seating)
-        out.customers, out.tables, out.d = self.customers[order], self.tables[order], self.d
-        at = np.flatnonzero(self.sizes)
-        place = np.argsort(order, kind="stable")  # where a dish goes
-        owner = place[np.searchsorted(self._first, at, "right") - 1]
-        by = np.argsort(owner, kind="stable")
-        out._lay(self.sizes[at][by], owner[by])
-        return out
-
-    def _drawn(self, at: np.ndarray, run: np.ndarray, draw: np.ndarray) -> np.ndarray:
-        """The tables of the customers of these numbers within their dishes; run: sums of sizes before each place."""
-        return np.searchsorted(run, run[self._first[at]] + draw, "right") - 1
-
-    def _sit(self, rng: np.random.Generator, at: np.ndarray, run: np.ndarray, fresh: np.ndarray, without: np.ndarray | None) -> np.ndarray:
-        """Seat one more customer of each dish; run holds the sums of sizes before, in which the customer of number without
-        has risen since. Returns where a new table was opened."""
-        held = self.customers[at]
-        new = rng.random(len(at)) * (fresh + held - self.d * self.tables[at]) < fresh
-        new |= held == 0
-        opened = at[new]
-        self.sizes[self._first[opened] + self._used[opened]] = 1
-        self._used[opened] += 1
-        self.tables[opened] += 1
-        left = np.flatnonzero(~new)
-        while len(left):  # an old table of size s has weight s - d: a customer's table, kept with probability 1 - d / s
-            draw = np.minimum((rng.random(len(left)) * held[left]).astype(np.int64), held[left] - 1)
-            if without is not None:
-                draw += draw >= without[left]
-            table = self._drawn(at[left], run, draw)
-            kept = rng.random(len(left)) * self.sizes[table] >= self.d
-            self.sizes[table[kept]] += 1
-            left = left[~kept]
-        self.customers[at] += 1
-        return new
-
-    def _rise(self, rng: np.random.Generator, at: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Let one customer of each dish rise: (its number in the dish, whether its table was left empty)."""
-        draw = np.minimum((rng.random(len(at)) * self.customers[at]).astype(np.int64), self.customers[at] - 1)
-        table = self._drawn(at, run, draw)
-        self.sizes[table] -= 1
-        empty = self.sizes[table] == 0
-        self.tables[at] -= empty
-        self.customers[at] -= 1
-        return draw, empty
-
-    def sweep(self, rng: np.random.Generator, fresh: Callable[[np.ndarray], np.ndarray], tell: Callable[[np.ndarray, np.ndarray], None]) -> None:
-        """Move customers of every dish: one rises and sits down again, given all others, moves(c) times. Dishes must stand
-        in falling order of customers. fresh(at) is the weight of a new table as things stand, and tell(at, change) hears
-        how the numbers of tables change."""
-        times = moves(self.customers)
-        self._make_room(times)
-        for step in range(int(times.max(initial=0))):
-            n = int(np.searchsorted(-times, -step, "left"))  # dishes with more moves than step
-            at = np.arange(n)
-            run = np.append(0, np.cumsum(self.sizes[: self._first[n]]))
-            draw, empty = self._rise(rng, at, run)
-            tell(at, -empty.astype(np.int64))
-            new = self._sit(rng, at, run, fresh(at), draw)
-            tell(at, new.astype(np.int64))
-
-    def followed(self, rng: np.random.Generator, change: np.ndarray, fresh: Callable[[np.ndarray], np.ndarray]) -> Seating:
-        """Customers come and go: as many of each dish as change says. Returns the dishes in their order again."""
-        order = np.argsort(-np.abs(change), kind="stable")  # those with most to do first, so that all who act are a prefix
-        out, change = self.taken(order), change[order]
-        out._make_room(np.maximum(change, 0))
-        for step in range(int(np.abs(change[:1]).sum())):
-            n = int(np.searchsorted(-np.abs(change), -step, "left"))
-            run = np.append(0, np.cumsum(out.sizes[: out._first[n]]))
-            at = np.arange(n)
-            if (gone := at[change[:n] < 0]).size:
-                out._rise(rng, gone, run)
-            if (come := at[change[:n] > 0]).size:
-                out._sit(rng, come, run, fresh(come), None)
-        return out.taken(np.argsort(order, kind="stable"))

@@ -110,6 +110,43 @@ def test_mix_odd_rows(docs, empty):
     assert taken == got["taken"].sum()
 
 
+def test_a_table_of_a_few_words_is_mixed(spark):
+    few = spark.createDataFrame([(1, "a b c d e", "x"), (2, "f g h i j k", "y"), (3, "l m n o", None)], "doc_id long, text string, source string")
+    got = {r["source"]: (r["taken"], r["target"]) for r in mixing.mix_sources(few).collect()}
+    assert all(abs(taken - target) <= 1 for taken, target in got.values()) and abs(sum(t for t, _ in got.values()) - 15) <= 1
+    rng = random.Random(12)
+    rows = [(i, words(rng, 50), "big") for i in range(300)] + [(1000 + i, words(rng, 2), f"tiny{i}") for i in range(7)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    tiny = got[got["source"] != "big"]
+    assert (abs(tiny["taken"] - tiny["target"]) <= 1).all() and (tiny["taken"] > 0).all() and (tiny["taken"] <= 3 * tiny["size"]).all()
+    assert abs(got["taken"].sum() - got["size"].sum()) <= 64
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["_bucket", "_key", "_shard", "_end", "_copy", "_number", "_row", "row", "copy", "_tie", "_block", "_cell", "_upto", "_word"]
+    rng = random.Random(13)
+    texts = [words(rng, 90) for _ in range(6)]
+    rows = [(i, t, "en", ["a", "b"][i % 2], len(t), *(f"{n}-{i}" for n in names)) for i, t in enumerate([*texts, texts[0], texts[1] + " more"])]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'{n} string' for n in names)}")
+    mixed = mixing.mix_sources(docs)
+    assert [r[n] for r in mixed.collect() for n in names] == [f"{n}-{r['doc_id']}" for r in mixed.collect() for n in names]
+    stages = [quality_rules.keep_good, lambda d: neardup.drop_near_duplicates(d, k=5, percent=80), pii.redact, mixing.mixed_documents]
+    for stage in stages:
+        got = stage(docs)
+        assert got.columns == docs.columns
+        assert all(r[n] == f"{n}-{r['doc_id']}" for r in got.collect() for n in names)
+    assert {r["doc_id"] for r in stages[1](docs).collect()} == {0, 1, 2, 3, 4, 5}
+    for made in (packing.pack(docs), token_files.read_token_files(token_files.write_token_files(docs, tokenizer_path())), quality_rules.judge(docs), pii.find(docs), lm_score.score(docs, F.lit(False))):
+        assert {r["doc_id"] for r in made.collect()} == set(range(8))
+    labelled = quality_model.fit(docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality"), "quality", F.lit(True))
+    assert quality_model.score(docs, labelled, F.lit(False)).count() == 8
+    assert neardup.similar_components(docs, k=3, percent=90).count() == 8
+
+
+def tokenizer_path():
+    return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+
+
 # ---- packing -------------------------------------------------------------------------------------------------
 
 
@@ -491,30 +528,49 @@ def test_probabilities_of_a_context_sum_to_one():
         assert ((h["root_tables"] >= 1) & (h["root_tables"] <= h["root_customers"])).all()
 
 
-@pytest.mark.parametrize(("customers", "fresh", "d"), [(2, 0.5, 0.6), (5, 0.7, 0.3), (11, 3.0, 0.5)])
-def test_moves_keep_to_the_distribution_of_tables(customers, fresh, d):
-    """With a constant weight a of new tables, t tables have probability in proportion to a^t S(c, t), generalised Stirling
-    numbers worked out by their recursion."""
-    ways = np.zeros((customers + 1, customers + 2))
-    ways[1, 1] = 1
-    for k in range(1, customers):
-        for t in range(1, k + 1):
-            ways[k + 1, t] += ways[k, t] * (k - d * t)
-            ways[k + 1, t + 1] += ways[k, t]
-    want = ways[customers, 1 : customers + 1] * fresh ** np.arange(1, customers + 1)
-    n, rng = 20_000, np.random.default_rng(2)
-    seats = restaurants.Seating(np.full(n, customers), np.ones(n, np.int64), d)
-    for _ in range(25):
-        seats.sweep(rng, lambda at: np.full(len(at), fresh), lambda at, change: None)
-    got = np.bincount(seats.tables, minlength=customers + 1)[1:] / n
-    assert np.abs(got - want / want.sum()).max() < 0.015 and (seats.customers == customers).all()
-    owner = np.searchsorted(seats._first, np.flatnonzero(seats.sizes), "right") - 1
-    assert (np.bincount(owner, seats.sizes[seats.sizes > 0], n) == customers).all() and (np.bincount(owner, minlength=n) == seats.tables).all()
-    change = rng.integers(-1, 4, n)
-    seats = seats.followed(rng, change, lambda at: np.full(len(at), fresh))
-    assert (seats.customers == customers + change).all() and (seats.tables <= seats.customers).all()
-    other = seats.taken(np.arange(n)[::-1])
-    assert (other.customers == seats.customers[::-1]).all() and other.sizes.sum() == seats.sizes.sum()
+def ways_of(customers, a, b, d, most):
+    """Probabilities of 1, 2, ... tables: weights of new tables times generalised Stirling numbers by their recursion, in
+    logarithms; tables above most are left out."""
+    t = np.arange(1, most + 1)
+    with np.errstate(divide="ignore"):
+        weight = np.log(a + b * (t - 1))  # of table t as it is opened
+        now = np.where(t == 1, weight[0], -np.inf)
+        for c in range(1, customers):
+            now = np.logaddexp(now + np.log(np.maximum(c - d * t, 0)), np.append(-np.inf, now[:-1]) + weight)
+    p = np.exp(now - now.max())
+    return p / p.sum()
+
+
+@pytest.mark.parametrize(("customers", "a", "b", "d"), [(2, 0.5, 0, 0.6), (5, 0.7, 0, 0.3), (11, 3.0, 0.4, 0.5), (40, 0.01, 0.2, 0.9), (700, 20.0, 0.0, 0.6)])
+def test_seatings_are_drawn_from_their_distribution(customers, a, b, d):
+    n, rng = 20_000 if customers < 100 else 4000, np.random.default_rng(2)
+    got = np.bincount(restaurants.draw_tables(rng, np.full(n, customers), np.full(n, a), np.full(n, b), d), minlength=customers + 1)[1:] / n
+    want = ways_of(customers, a, b, d, customers)
+    assert np.abs(got - want).max() < 0.015 and abs((got - want) @ np.arange(1, customers + 1)) < 0.1
+
+
+@pytest.mark.parametrize("customers", [100, 1000, 10_000])
+@pytest.mark.parametrize(("a", "d"), [(0.02, 0.7), (0.5, 0.7), (2.0, 0.7), (5.0, 0.7), (40.0, 0.7), (300.0, 0.7), (3000.0, 0.7), (3.0, 0.3), (50.0, 0.3), (5.0, 0.95), (400.0, 0.95)])
+def test_mean_tables_of_few_and_many_customers(customers, a, d):
+    n, rng = 1500, np.random.default_rng(3)
+    got = restaurants.draw_tables(rng, np.full(n, customers), np.full(n, a), np.zeros(n), d)
+    p = ways_of(customers, a, 0.0, d, min(customers, 1000 if a < 100 else 8000))
+    t = np.arange(1, len(p) + 1)
+    mean = p @ t
+    assert abs(got.mean() / mean - 1) < 0.05 and abs(got.std() - math.sqrt(p @ (t - mean) ** 2)) < 0.3 + 0.1 * got.std()
+
+
+def test_approximate_seatings_agree_with_exact_ones():
+    rng, n = np.random.default_rng(5), 4000
+    for a, b, d in ((0.5, 0.02, 0.7), (30.0, 0.0, 0.5), (900.0, 0.5, 0.8)):
+        exact, near = (restaurants.draw_tables(rng, np.full(n, 900), np.full(n, a), np.full(n, b), d, exact=e) for e in (1024, 100))
+        assert abs(exact.mean() / near.mean() - 1) < 0.05
+
+
+def test_very_small_probabilities_survive(spark):
+    values = np.array([1e-17, 1e-18, 1e-40, 0.5])
+    sent = lm_score.unpacked(lm_score.packed(np.log10(values).astype("<f4").view("<u4"))).view("<f4")
+    assert np.allclose(sent, np.log10(values), rtol=1e-7)
 
 
 def plain_sampler(pairs, rounds, burn_in, d, seed):
@@ -577,7 +633,7 @@ def test_predictions_agree_with_a_plain_sampler():
     d = (0.7, 0.5)
     want = plain_sampler(pairs, 600, 50, d, 4)
     bucket = lm_score.Bucket([message_of(np.array([w for w, _ in pairs], np.uint64), np.array([u for _, u in pairs], np.uint64))])
-    held, totals, t2, model = sampled(bucket, 800, d)
+    held, totals, t2, model = sampled(bucket, 800, d, burn_in=8)
     words_, contexts = (np.array(x, np.uint64) for x in zip(*want, strict=True))
     got = lm_score.predictive(bucket, words_, contexts, bucket.context_sums(bucket.customers), t2, held, totals, model)
     assert max(abs(g - want[k]) for g, k in zip(got, want, strict=True)) < 0.02
