@@ -503,6 +503,24 @@ def message_of(words_, contexts, counts=None):
     return {"words": lm_score.packed_sorted(c["words"]), "held": lm_score.packed(c["held"]), "names": lm_score.packed_sorted(names), "contexts": lm_score.packed(place), "counts": lm_score.packed(c["counts"])}
 
 
+def test_a_bucket_is_kept_whole():
+    rng = np.random.default_rng(4)
+    messages = [message_of(rng.integers(1, 90, 700).astype(np.uint64), rng.integers(0, 40, 700).astype(np.uint64)) | {"chunk": 7 + i} for i in range(3)]
+    unseen = message_of(np.arange(80, 120, dtype=np.uint64), np.arange(30, 70, dtype=np.uint64)) | {"chunk": 5}
+    unseen["counts"] = lm_score.packed(np.zeros(40, np.int64))
+    bucket = lm_score.Bucket([*messages, unseen])
+    blobs = bucket.packed([*messages, unseen])
+    again = lm_score.Bucket.unpacked(blobs)
+    assert (again.key == bucket.key).all() and (again.customers == bucket.customers).all() and (again.names == bucket.names).all() and len(again.words) == len(bucket.words)
+    for m, (chunk, known, word, at, pair) in zip([*messages, unseen], again.asked(blobs), strict=True):
+        words_, contexts, _ = bucket.request(m)
+        assert chunk == m["chunk"] and (word == words_).all() and (at == contexts).all()
+        assert (pair == lm_score._find(bucket.key, words_ << 32 | contexts)).all() and (pair[word < 0] == -1).all()
+        distinct = lm_score._find(bucket.words, lm_score.unpacked_sorted(m["words"]))
+        assert lm_score.unpacked(known, "<u8").tolist() == [int(bucket.count[d]) if d >= 0 else 0 for d in distinct]
+    assert (pair == -1).any() and (word == -1).any()
+
+
 def sampled(bucket, samples, d=(0.7, 0.5), burn_in=20, seed=1):
     _, t2, sums = bucket.first_totals()
     model = {"d": list(d), "theta": [1.0, 1.0], "burn_in": burn_in, "samples": samples, "seed": seed}
@@ -520,7 +538,7 @@ def test_probabilities_of_a_context_sum_to_one():
     c2 = bucket.context_sums(bucket.customers)
     asked = np.append(bucket.words, np.uint64(999))  # and the unknown word
     for context in bucket.names:
-        p = lm_score.predictive(bucket, asked, np.full(len(asked), context), c2, t2, held, totals, model)
+        p = lm_score.Predictive(bucket, c2, t2, held, totals, model).named(asked, np.full(len(asked), context))
         assert math.isclose(p.sum(), 1, rel_tol=1e-9) and (p > 0).all()
     for h in held:
         assert (h["tables"] >= 1).all() and (h["tables"] <= bucket.customers).all()
@@ -635,7 +653,7 @@ def test_predictions_agree_with_a_plain_sampler():
     bucket = lm_score.Bucket([message_of(np.array([w for w, _ in pairs], np.uint64), np.array([u for _, u in pairs], np.uint64))])
     held, totals, t2, model = sampled(bucket, 800, d, burn_in=8)
     words_, contexts = (np.array(x, np.uint64) for x in zip(*want, strict=True))
-    got = lm_score.predictive(bucket, words_, contexts, bucket.context_sums(bucket.customers), t2, held, totals, model)
+    got = lm_score.Predictive(bucket, bucket.context_sums(bucket.customers), t2, held, totals, model).named(words_, contexts)
     assert max(abs(g - want[k]) for g, k in zip(got, want, strict=True)) < 0.02
 
 

@@ -10,7 +10,7 @@ import pytest
 from folioworks import registry
 
 DIR = "/root/testdata/sf0.001"
-SOME = ("chat_overview", "error_sessions", "retrieve_overview", "history_window", "section_rollup", "resolve_aliases", "split_chapters", "bm25_query_all", "hybrid_retrieve", "case_metrics", "check_order", "normalize_questions", "stream_timeline")
+SOME = ("chat_overview", "error_sessions", "retrieve_overview", "history_window", "section_rollup", "resolve_aliases", "split_chapters", "bm25_query_all", "hybrid_retrieve", "case_metrics", "check_order", "normalize_questions", "stream_timeline", "hourly_states", "read_telemetry_parts", "tokenize_lemmas", "html_to_text_of_turns", "split_text", "split_table_aware", "chunks_of_documents", "split_forms", "reference_context", "session_table", "indexed_knn", "bm25_top_everywhere", "resolve_aliases_in_turn")
 
 
 def plain(v):
