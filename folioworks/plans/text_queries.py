@@ -371,21 +371,25 @@ def _(t: Texts) -> DataFrame:
     return S.range_sections(t.sections.select("doc_id").distinct().withColumn("wanted_id", F.lit("п.2-4")), t.sections)
 
 
-@query("build_chunks")
-def _(t: Texts) -> DataFrame:
-    return t.chunks
+CHUNKS = split_sql("cut", "documents", "doc_id", 800, 120) + """
+, s AS (SELECT doc_id, text, length(text) AS n, concat(doc_id, '__h1_1__ord_1__') AS head FROM documents),
+e AS (SELECT doc_id, concat(head, CASE WHEN n <= 800 THEN '0' ELSE 'parent' END) AS chunk_id, CAST(NULL AS VARCHAR) AS parent_chunk_id, CASE WHEN n <= 800 THEN 'leaf' ELSE 'split_parent' END AS chunk_type, 0 AS chunk_index, 1 AS chunk_total, text FROM s
+  UNION ALL SELECT doc_id, concat(head, index), concat(head, 'parent'), 'split_child', index, total, cut.text FROM s JOIN cut USING (doc_id) WHERE n > 800),
+c AS (SELECT chunk_id, doc_id, parent_chunk_id, chunk_type, chunk_type <> 'split_parent' AS is_indexed, chunk_index, chunk_total, e.text, CAST(length(e.text) AS INTEGER) AS char_count, lang AS cluster, source, concat('2023-11-0', 1 + doc_id % 9) AS as_of_date, doc_id % 4 = 0 AS internal
+  FROM e JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id))"""
 
 
-@query("chunks_of_documents", split_sql("cut", "documents", "doc_id", 800, 120) + """
-, s AS (SELECT doc_id, text, lang, length(text) AS n, concat(doc_id, '__h1_1__ord_1__') AS head FROM documents),
-e AS (SELECT doc_id, concat(head, CASE WHEN n <= 800 THEN '0' ELSE 'parent' END) AS chunk_id, CAST(NULL AS VARCHAR) AS parent_chunk_id, CASE WHEN n <= 800 THEN 'leaf' ELSE 'split_parent' END AS chunk_type, 0 AS chunk_index, 1 AS chunk_total, text FROM s
-  UNION ALL SELECT doc_id, concat(head, index), concat(head, 'parent'), 'split_child', index, total, cut.text FROM s JOIN cut USING (doc_id) WHERE n > 800)
-SELECT chunk_id, doc_id, parent_chunk_id, chunk_type, chunk_type <> 'split_parent' AS is_indexed, chunk_index, chunk_total, e.text, CAST(length(e.text) AS INTEGER) AS char_count, lang AS cluster, concat('2023-11-0', 1 + doc_id % 9) AS as_of_date, doc_id % 4 = 0 AS is_internal
-FROM e JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)""")
+@query("chunks_of_documents", CHUNKS + " SELECT chunk_id, doc_id, parent_chunk_id, chunk_type, is_indexed, chunk_index, chunk_total, text, char_count, cluster, as_of_date, internal AS is_internal FROM c")
 def _(t: Texts) -> DataFrame:
     return t.chunks.select("chunk_id", "doc_id", "parent_chunk_id", "chunk_type", "is_indexed", "chunk_index", "chunk_total", "text", "char_count", "cluster", "as_of_date", "is_internal")
 
 
+@query("build_chunks", CHUNKS + """ SELECT chunk_id, doc_id, 'h1_1' AS section_id, parent_chunk_id, chunk_type, is_indexed, CAST(NULL AS VARCHAR) AS parent_section_id, 'h1_1' AS path, 1 AS level, 1 AS order_in_doc, chunk_index, chunk_total, CASE WHEN internal THEN 'synthetic' ELSE 'real' END AS source_type,
+'law' AS doc_type, source AS doc_subtype, cluster, internal AS is_internal, as_of_date, text, char_count, false AS contains_table, '' AS table_ids, '' AS table_summary FROM c""")
+def _(t: Texts) -> DataFrame:
+    return t.chunks.withColumns({c: F.array_join(c, "/") for c in ("path", "table_ids")})
+
+
 @query("chunk_parents", """
 , s AS (SELECT doc_id, text, lang, length(text) AS n FROM documents WHERE NOT regexp_matches(text, '(^|\n)#{1,4}\\s+.*\\S'))
 SELECT concat(doc_id, '__h1_1__ord_1__', CASE WHEN n <= 800 THEN '0' ELSE 'parent' END) AS chunk_id, doc_id, CASE WHEN n <= 800 THEN 'leaf' ELSE 'split_parent' END AS chunk_type, n <= 800 AS is_indexed, CAST(n AS INTEGER) AS char_count, lang AS cluster,
@@ -396,22 +400,23 @@ def _(t: Texts) -> DataFrame:
     return x.select("chunk_id", "doc_id", "chunk_type", "is_indexed", "char_count", "cluster", "as_of_date", "is_internal")
 
 
-@query("chunk_totals")
+@query("chunk_totals", CHUNKS + " SELECT doc_id, count(*) AS chunk_count, count_if(is_indexed) AS indexed_count FROM c GROUP BY 1")
 def _(t: Texts) -> DataFrame:
     return C.chunk_totals(t.chunks)
 
 
-@query("chunk_metadata")
+@query("chunk_metadata", CHUNKS + """ SELECT chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, 'h1_1' AS section_id, coalesce(parent_chunk_id, '') AS parent_chunk_id, chunk_type, '' AS parent_section_id, CASE WHEN internal THEN 'synthetic' ELSE 'real' END AS source_type, 'law' AS doc_type,
+source AS doc_subtype, cluster, as_of_date, 1 AS level, chunk_index, chunk_total, false AS contains_table, '' AS table_ids FROM c""")
 def _(t: Texts) -> DataFrame:
     return C.chunk_metadata(t.chunks)
 
 
-@query("indexable_chunks")
+@query("indexable_chunks", CHUNKS + " SELECT chunk_id, doc_id, chunk_index, chunk_total FROM c WHERE is_indexed")
 def _(t: Texts) -> DataFrame:
     return C.indexable_chunks(t.chunks).select("chunk_id", "doc_id", "chunk_index", "chunk_total")
 
 
-@query("parent_context")
+@query("parent_context", CHUNKS + " SELECT c.chunk_id, c.doc_id, CAST(length(coalesce(p.text, c.text)) AS INTEGER) AS context_chars FROM c LEFT JOIN c p ON p.chunk_id = c.parent_chunk_id WHERE c.is_indexed")
 def _(t: Texts) -> DataFrame:
     chunks = t.chunks
     hits = C.indexable_chunks(chunks).select("chunk_id", "doc_id")
