@@ -16,7 +16,7 @@ from folioworks.operators import retrieval as R
 from folioworks.operators import vector_index as V
 from folioworks.plans.text_queries import Texts
 from folioworks.sources import files
-from folioworks.sources.scratch import cut, scratch_path, write_file
+from folioworks.sources.scratch import cut, scratch_path, stored, write_file
 from folioworks.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,7 +103,9 @@ def query(name: str, sql: str | None = None):
 
 
 def built(x: Data) -> I.Index:
-    return I.bm25_index(x.chunk_rows)
+    """The documents' index, which all queries of a session share as long as the documents' files are the same."""
+    path = stored(x.spark, "bm25", f"{x.dir}/documents.parquet", lambda path: I.write_index(x.chunk_rows, path))
+    return I.read_index(x.spark, path, ", ".join(f"{c} {x.chunk_rows.schema[c].dataType.simpleString()}" for c in ("cluster", "chunk_id")))
 
 
 def hybrid(x: Data, top_k: int = 5) -> tuple[DataFrame, DataFrame]:

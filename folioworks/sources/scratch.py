@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +59,23 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, name: str, source: str, build: Callable[[str], object]) -> str:
+    """The folder that build wrote something into that follows from the files of a table, source: built once in a session for
+    the files as they are (names, sizes and times of change), and anew once they are others."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
+    key = (spark.sparkContext.applicationId, shared_root(spark), name, files)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        build(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 #: Bytes of rows that Python workers are handed at a time.
 BATCH_BYTES = 4_000_000
 

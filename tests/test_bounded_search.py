@@ -183,3 +183,17 @@ def test_tfidf_by_hand(spark):
     assert [sum(1 for v in got[k] if v) for k in (2, 3, 4, 5)] == [2, 0, 0, 1] and max(got[5]) == pytest.approx(1)
     held = [{i for i, v in enumerate(got[k]) if v} for k in (1, 2, 5)]
     assert held[2] == held[0] & held[1]
+
+
+def test_a_stored_index_follows_its_table(spark, tmp_path):
+    from folioworks.plans.index_queries import Data, built
+
+    def put(n):
+        rows = [(i, f"word{i} common", "en", "web") for i in range(n)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+
+    put(5)
+    one, again = built(Data(spark, str(tmp_path))), built(Data(spark, str(tmp_path)))
+    assert one.stats.first()["n"] == 5 and one.postings.inputFiles() == again.postings.inputFiles()
+    put(8)
+    assert built(Data(spark, str(tmp_path))).stats.first()["n"] == 8
