@@ -200,7 +200,7 @@ def split_sql(name: str, source: str, key: str, limit: int, overlap: int) -> str
 
 @query("split_table_aware", f"""
 , tg AS (SELECT l_orderkey AS doc_id, list(concat('| ', l_linenumber, ' | ', l_partkey, ' | ', CAST(l_quantity AS INTEGER), ' | ', l_returnflag, ' |') ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rows FROM lineitem GROUP BY 1),
-tf AS (SELECT doc_id, block, {packed_sql('rows', 'chr(10)', '160 - 86')} AS runs FROM tg JOIN blocks USING (doc_id)),
+tf AS (SELECT doc_id, block, {packed_sql('rows', 'chr(10)', '160 - 83')} AS runs FROM tg JOIN blocks USING (doc_id)),
 th AS (SELECT doc_id, list_concat(list_concat([concat('Order ', doc_id)], CASE WHEN length(block) <= 160 THEN [block] ELSE
   list_transform(runs, lambda r: concat('⟦TABLE id=T1⟧', chr(10), '| line | part | quantity | flag |', chr(10), '| --- | --- | --- | --- |', chr(10), r, chr(10), '⟦/TABLE⟧')) END), ['end']) AS parts FROM tf),
 tp AS (SELECT doc_id, {packed_sql('parts', 'concat(chr(10), chr(10))', '160')} AS l FROM th)
