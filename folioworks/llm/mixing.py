@@ -190,7 +190,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: each document once for each pass, and once more with the text of its
     pieces where some of its blocks were drawn. n_chars, where there is such a column, follows the text. Documents
     without words carry nothing to mix and go."""
-    columns, row = docs.columns, F.struct(*docs.columns).alias("row")
+    columns, row = docs.columns, F.struct(*(c for c in docs.columns if c != "text")).alias("row")
     x = mix_sources(docs.select("doc_id", "source", "text", row), **options).where("taken > 0")
     n = F.col("passes") + F.when(F.size("pieces") > 0, 1).otherwise(0)
     x = x.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), n.cast("long"))))
@@ -199,10 +199,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     taken = F.transform(F.array(units), lambda u: F.flatten(F.transform("pieces", lambda p: F.slice(u, (p["start"] + 1).cast("int"), p["len"].cast("int")))))
     cut_text = F.array_join(F.get(taken, F.lit(0)), "")
     x = x.withColumn("text", F.when(F.col("copy") <= F.col("passes"), F.col("text")).otherwise(cut_text))
-    new = {"text": F.col("text")}
+    new = {"text": F.col("text")}  # the text travels once, beside the other columns
     if "n_chars" in columns:
         new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return x.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in columns))
+    return x.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in columns))
 
 
 #: A word with the white space after it.
