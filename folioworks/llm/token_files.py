@@ -240,7 +240,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 0, shard
     small_batches(spark)
     folder = scratch_path(spark, "tokens")
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    x = x.repartitionByRange(partitions or max(1, x.rdd.getNumPartitions()), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ("doc_id", F.xxhash64("text"), F.monotonically_increasing_id())  # rows of one id, and copies of one row, spread over ranges
+    x = x.repartitionByRange(partitions or max(1, x.rdd.getNumPartitions()), *order).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
