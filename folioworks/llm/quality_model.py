@@ -187,12 +187,14 @@ def _featured(docs: DataFrame, more: str) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, *, max_rows: int = 20_000, seed: int = 13, **options) -> Forest:
     """Fit on docs (doc_id, text) joined with labels (doc_id, label), on at most max_rows labelled ids out of those
-    where learn_from, a condition on doc_id, holds."""
+    where learn_from, a condition on doc_id, holds; of rows that repeat an id, the mean."""
     small_batches(docs.sparkSession)
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(learn_from)
     marked = marked.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("_y"))
     sample = marked.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_rows)
-    rows = _featured(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "_y").toPandas()  # max_rows rows
+    rows = _featured(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "_y")
+    # an id's rows count as one, their mean, so that max_rows rows at most come to the driver
+    rows = rows.groupBy("doc_id").agg(F.first("_y").alias("_y"), *(F.avg(c).alias(c) for c in FEATURES)).toPandas()
     rows = rows.sort_values(["doc_id", *FEATURES]).to_numpy(np.float64)
     return fit_forest(rows[:, 2:], rows[:, 1], **options)
 
