@@ -20,8 +20,8 @@ How it runs:
 4. For every pair of every chunk the bucket answers with the predictive probability, averaged over the samples; a
    document's score is the sum of log10 over its tokens. Chunks and answers meet by chunk number.
 
-Chunks' rows are shuffled to their buckets once; a bucket keeps them in a file in the shared folder, which the later
-jobs read.
+Chunks' rows are shuffled to their buckets once; a bucket keeps its dishes, and the pairs that each chunk asks for as numbers
+among them, in a file in the shared folder, which the later jobs read.
 
 Frequent words are counts, pre-aggregated in each chunk; a bucket's memory follows its distinct pairs.
 
@@ -181,44 +181,83 @@ def chunks(docs: DataFrame, held_out: Column, buckets: int) -> DataFrame:
 
 
 class Bucket:
-    """The dishes of one bucket: distinct pairs with training counts, their words and contexts. names are those of all
-    contexts that are asked for, seen in training or not."""
-
-    def __init__(self, messages: Iterable[dict]):
-        self.key, self.customers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self._of = np.zeros((2, 0), np.uint64)  # word and context of each pair
-        self.names = np.zeros(0, np.uint64)
-        held: list[np.ndarray] = []
+    """The dishes of one bucket: distinct pairs with training counts, in the order of their words and contexts; key holds both as
+    numbers among words and names. words are those of training, names all contexts that are asked for, seen in training or not."""
+
+    def __init__(self, messages: Callable[[], Iterable[dict]] | Iterable[dict]):
+        again = messages if callable(messages) else (lambda held=list(messages): held)
+        words: list[np.ndarray] = []
         names: list[np.ndarray] = []
-        for m in messages:
-            words, contexts, counts = self.request(m)
-            seen = counts > 0
-            held.append(np.stack([words[seen], contexts[seen], counts[seen].astype(np.uint64)]))
+        for m in again():
+            own, held, counts = unpacked_sorted(m["words"]), unpacked(m["held"]).astype(np.int64), unpacked(m["counts"])
+            words.append(own[np.add.reduceat(counts > 0, np.cumsum(held) - held) > 0] if len(own) else own)
             names.append(unpacked_sorted(m["names"]))
-            if sum(x.shape[1] for x in held) > TOGETHER:
-                self._add(held, names)
-        self._add(held, names)
-        self.words, word = np.unique(self._of[0], return_inverse=True)
-        self.word, self.at = word.astype(np.int32), np.searchsorted(self.names, self._of[1]).astype(np.int32)
-        del self._of
+            for held_ in (words, names):
+                if len(held_) > 1 and sum(map(len, held_)) > TOGETHER:
+                    held_[:] = [np.unique(np.concatenate(held_))]
+        self.words, self.names = (np.unique(np.concatenate([np.zeros(0, np.uint64), *x])) for x in (words, names))
+        self.key, self.customers = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new: list[tuple[np.ndarray, np.ndarray]] = []
+        for m in again():
+            word, at, counts = self.request(m)
+            seen = np.flatnonzero(counts)
+            new.append((word[seen] << 32 | at[seen], counts[seen]))
+            if sum(len(x) for x, _ in new) > TOGETHER:
+                self._add(new)
+        self._add(new)
+        self._split()
+
+    def _split(self) -> None:
+        self.word, self.at = (self.key >> 32).astype(np.int32), (self.key & 0xFFFFFFFF).astype(np.int32)
         self.count = np.bincount(self.word, self.customers, minlength=len(self.words)).astype(np.int64)
 
-    def _add(self, held: list[np.ndarray], names: list[np.ndarray]) -> None:
-        new = np.concatenate(held, axis=1) if held else np.zeros((3, 0), np.uint64)
-        keys = np.concatenate([self.key, pair_keys(new[0], new[1])])
-        counts = np.concatenate([self.customers, new[2].astype(np.int64)])
-        self.key, at, pair = np.unique(keys, return_index=True, return_inverse=True)
-        self.customers = np.bincount(pair, counts, minlength=len(self.key)).astype(np.int64)
-        self._of = np.concatenate([self._of, new[:2]], axis=1)[:, at]
-        self.names = np.unique(np.concatenate([self.names, *names]))
-        held.clear()
-        names.clear()
-
-    @staticmethod
-    def request(message: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(words, contexts, counts) of the pairs of one chunk's row for this bucket."""
-        words = np.repeat(unpacked_sorted(message["words"]), unpacked(message["held"]).astype(np.int64))
-        return words, unpacked_sorted(message["names"])[unpacked(message["contexts"]).astype(np.int64)], unpacked(message["counts"]).astype(np.int64)
+    def _add(self, new: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        keys, counts = (np.concatenate([x, *(n[i] for n in new)]) for i, x in enumerate((self.key, self.customers)))
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.key, self.customers = keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+        new.clear()
+
+    def request(self, message: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words, -1 for one not seen in training, contexts, counts) of the pairs of one chunk's row for this bucket."""
+        words = np.repeat(_find(self.words, unpacked_sorted(message["words"])), unpacked(message["held"]).astype(np.int64))
+        names = np.searchsorted(self.names, unpacked_sorted(message["names"]))
+        return words, names[unpacked(message["contexts"]).astype(np.int64)], unpacked(message["counts"]).astype(np.int64)
+
+    def packed(self, messages: Iterable[dict]) -> list[bytes]:
+        """The dishes and the pairs that each chunk asks for, as the numbers that they have here."""
+        blobs, chunks = [], []
+        for m in messages:
+            word, at, _ = self.request(m)
+            pair = np.where(word >= 0, _find(self.key, word << 32 | at), -1)
+            seen, distinct = pair >= 0, _find(self.words, unpacked_sorted(m["words"]))
+            known = np.where(distinct >= 0, self.count[distinct], 0) if len(self.words) else np.zeros(len(distinct), np.int64)
+            chunks.append(m["chunk"])
+            blobs += [packed(known, "<u8"), packed(np.array([len(word)])), packed(np.packbits(seen), "<u1"), packed(np.diff(pair[seen], prepend=0)), packed(word[~seen] + 1), packed(at[~seen])]
+        core = [packed(np.array([len(self.words)])), packed(np.diff(self.word, prepend=0)), packed(self.at), packed(self.customers, "<u8"), packed_sorted(self.names), packed(np.array(chunks, np.int64), "<u8")]
+        return core + blobs
+
+    @classmethod
+    def unpacked(cls, blobs: list[bytes]) -> Bucket:
+        out = cls.__new__(cls)
+        out.words, out.names = np.arange(int(unpacked(blobs[0])[0])), unpacked_sorted(blobs[4])
+        out.key = np.cumsum(unpacked(blobs[1]).astype(np.int64)) << 32 | unpacked(blobs[2]).astype(np.int64)
+        out.customers = unpacked(blobs[3], "<u8").astype(np.int64)
+        out._split()
+        return out
+
+    def asked(self, blobs: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+        """(chunk, its words' training counts as they were packed, words, contexts and pairs, -1 for those not seen)."""
+        for k, chunk in enumerate(unpacked(blobs[5], "<u8").astype(np.int64).tolist()):
+            known, size, seen, ids, word, at = blobs[6 + 6 * k : 12 + 6 * k]
+            n = int(unpacked(size)[0])
+            mask = np.unpackbits(unpacked(seen, "<u1"), count=n).astype(bool)
+            pair, words, contexts = np.full(n, -1), np.empty(n, np.int64), np.empty(n, np.int64)
+            own = np.cumsum(unpacked(ids).astype(np.int64))
+            pair[mask], words[mask], contexts[mask] = own, self.word[own], self.at[own]
+            words[~mask], contexts[~mask] = unpacked(word).astype(np.int64) - 1, unpacked(at).astype(np.int64)
+            yield chunk, known, words, contexts, pair
 
     def first_totals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Customers and tables of each context, with one table for each dish; and sums: customers and tables of the root,
@@ -277,7 +316,6 @@ _TOTALS = pa.schema([("bucket", pa.int32()), ("sample", pa.int32()), ("sums", pa
 #: What a chunk has of its documents, and what of it a bucket keeps.
 OWNER = "chunk long, pairs binary, ids array<long>, lengths array<int>, entries array<int>, deltas binary, times binary, held_out array<boolean>"
 _OWNER = pa.schema([("chunk", pa.int64()), ("pairs", pa.binary()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("entries", pa.list_(pa.int32())), ("deltas", pa.binary()), ("times", pa.binary()), ("held_out", pa.list_(pa.bool_()))])
-_HELD = ["bucket", "chunk", "words", "held", "names", "contexts", "counts"]
 _BOTH = pa.schema([*_TOTALS, *_OWNER])
 
 
@@ -353,19 +391,6 @@ def _get_file(folder: str, number: int) -> list[bytes]:
         return pa.ipc.open_stream(source).read_all().column("data").to_pylist()
 
 
-def _put_batches(folder: str, number: int, batches: list[pa.RecordBatch]) -> None:
-    sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, batches[0].schema) as out:
-        for batch in batches:
-            out.write_batch(batch)
-    write_file(folder, f"{number}.arrow", [sink.getvalue()])
-
-
-def _get_batches(folder: str, number: int) -> Iterator[pa.RecordBatch]:
-    with open_file(f"{folder}/{number}.arrow") as source:
-        yield from pa.ipc.open_stream(source)
-
-
 def _told(folder: str, number: int, names: np.ndarray, shards: int, of: int) -> list[np.ndarray]:
     """The sums over all buckets, `of` numbers for each of the bucket's contexts."""
     order, edges = _by_shard(names, shards)
@@ -380,17 +405,30 @@ def _messages(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
-def predictive(bucket: Bucket, words: np.ndarray, contexts: np.ndarray, c2: np.ndarray, t2: list[np.ndarray], samples: list[dict], sums: list[np.ndarray], model: dict) -> np.ndarray:
-    """P(word | context) of some pairs, averaged over the samples."""
-    (d1, d0), (theta1, theta0) = model["d"], model["theta"]
-    word, pair = _find(bucket.words, words), _find(bucket.key, pair_keys(words, contexts))
-    at, p = np.searchsorted(bucket.names, contexts), np.zeros(len(words))
-    for s, held, total in zip(t2, samples, sums, strict=True):
-        base = (theta0 + d0 * total[1]) / (total[2] + 1)
-        above = np.where(word >= 0, held["root_customers"][word] - d0 * held["root_tables"][word], 0.0) if len(bucket.words) else 0.0
-        own = np.where(pair >= 0, bucket.customers[pair] - d1 * held["tables"][pair], 0.0) if len(bucket.key) else 0.0
-        p += (own + (theta1 + d1 * s[at]) * (above + base) / (theta0 + total[0])) / (theta1 + c2[at])
-    return p / len(samples)
+class Predictive:
+    """P(word | context), averaged over the samples."""
+
+    def __init__(self, bucket: Bucket, c2: np.ndarray, t2: list[np.ndarray], samples: list[dict], sums: list[np.ndarray], model: dict):
+        (d1, d0), (theta1, theta0) = model["d"], model["theta"]
+        n = len(samples)
+        self.bucket, self.rest = bucket, []
+        # the last place of each, which -1 finds, is that of a pair or word not seen
+        self.own = np.append(sum(bucket.customers - d1 * held["tables"] for held in samples) / n, 0.0)
+        self.each = 1 / (theta1 + c2)
+        for tables, held, total in zip(t2, samples, sums, strict=True):
+            base = (theta0 + d0 * total[1]) / (total[2] + 1)
+            above = np.append(held["root_customers"] - d0 * held["root_tables"], 0.0) + base
+            self.rest.append(((theta1 + d1 * tables) / ((theta0 + total[0]) * n), above))
+
+    def of(self, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        p = self.own[pair]
+        for weight, above in self.rest:
+            p += weight[context] * above[word]
+        return p * self.each[context]
+
+    def named(self, words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        word, context = _find(self.bucket.words, words), np.searchsorted(self.bucket.names, contexts)
+        return self.of(word, context, np.where(word >= 0, _find(self.bucket.key, word << 32 | context), -1))
 
 
 def score(docs: DataFrame, held_out: Column, *, burn_in: int = 4, samples: int = 3, strength: float = 1.0, docs_per_bucket: int = 2048, seed: int = 23) -> DataFrame:
@@ -411,8 +449,8 @@ def score(docs: DataFrame, held_out: Column, *, burn_in: int = 4, samples: int =
             for batch in kept:
                 yield _beside(batch.select(_OWNER.names))
             return
-        _put_batches(held_rows, number, [batch.select(_HELD) for batch in kept])
-        bucket = Bucket(_messages(_get_batches(held_rows, number)))
+        bucket = Bucket(lambda: _messages(kept))
+        _put_file(held_rows, number, bucket.packed(_messages(kept)))
         c2, t2, sums = bucket.first_totals()
         for row in (_row(number, 0, sums.tolist(), None, None, None), *_shares(number, bucket.names, shards, [c2, t2])):
             yield _beside(row)
@@ -436,7 +474,7 @@ def score(docs: DataFrame, held_out: Column, *, burn_in: int = 4, samples: int =
     states = scratch_path(spark, "seats")
 
     def sampled_totals(number: int) -> Iterator[pa.RecordBatch]:
-        bucket = Bucket(_messages(_get_batches(held_rows, number)))
+        bucket = Bucket.unpacked(_get_file(held_rows, number))
         _, t2 = _told(first, number, bucket.names, shards, 2)
         tables, blobs = [], []
         rng = np.random.Generator(np.random.PCG64([model["seed"], number]))
@@ -453,18 +491,16 @@ def score(docs: DataFrame, held_out: Column, *, burn_in: int = 4, samples: int =
     sums = [sampled.get(s, np.zeros(3, np.int64)) for s in range(samples)]
 
     def answers(number: int) -> Iterator[pa.RecordBatch]:
-        bucket = Bucket(_messages(_get_batches(held_rows, number)))
+        rows = _get_file(held_rows, number)
+        bucket = Bucket.unpacked(rows)
         c2, _ = _told(first, number, bucket.names, shards, 2)
         t2 = _told(then, number, bucket.names, shards, samples)
         blobs = [unpacked(x).astype(np.int64) for x in _get_file(states, number)]
         held = [dict(zip(("tables", "root_customers", "root_tables"), blobs[3 * s : 3 * s + 3], strict=True)) for s in range(samples)]
-        for m in _messages(_get_batches(held_rows, number)):
-            words, contexts, _ = bucket.request(m)
-            p = predictive(bucket, words, contexts, c2, t2, held, sums, model)
-            distinct = _find(bucket.words, unpacked_sorted(m["words"]))
-            counts = np.where(distinct >= 0, bucket.count[distinct], 0) if len(bucket.words) else np.zeros(len(distinct), np.int64)
-            logs = packed(np.log10(p).astype("<f4").view("<u4"))
-            yield pa.RecordBatch.from_arrays([pa.array([m["chunk"]], pa.int64()), pa.array([number], pa.int32()), pa.array([packed(counts, "<u8")], pa.binary()), pa.array([logs], pa.binary())], names=["chunk", "bucket", "known", "logs"])
+        p = Predictive(bucket, c2, t2, held, sums, model)
+        for chunk, known, *pairs in bucket.asked(rows):
+            logs = packed(np.log10(p.of(*pairs)).astype("<f4").view("<u4"))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([number], pa.int32()), pa.array([known], pa.binary()), pa.array([logs], pa.binary())], names=["chunk", "bucket", "known", "logs"])
 
     answered = cut(each_bucket(answers, "chunk long, bucket int, known binary, logs binary"), "answers")
     for folder in (held_rows, states, first, then):

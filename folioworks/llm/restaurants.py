@@ -65,7 +65,9 @@ def draw_tables(rng: np.random.Generator, customers: np.ndarray, a: np.ndarray,
     order = np.argsort(customers, kind="stable")
     first = np.searchsorted(customers[order], np.arange(exact + 2))
     ways = log_ways(d, int(min(exact, customers.max(initial=0))))
-    for c in (np.flatnonzero(np.diff(first)[2:]) + 2).tolist():
+    two = order[first[2] : first[3]] if exact >= 2 else order[:0]  # the most frequent case
+    tables[two] += rng.random(len(two)) * (1 - d + a[two] + b[two]) >= 1 - d
+    for c in (np.flatnonzero(np.diff(first)[3:]) + 3).tolist():
         steps, width = np.arange(c), max(1, TOGETHER // c)
         for k in range(first[c], first[c + 1], width):
             at = order[k : min(k + width, first[c + 1])]

@@ -696,6 +696,30 @@ def test_a_text_that_occurs_twice_scores_higher(spark):
 # ---- token files ---------------------------------------------------------------------------------------------
 
 
+def test_rows_of_one_id_spread_over_token_files(spark):
+    rng = random.Random(21)
+    rows = [(7, words(rng, 20)) for _ in range(200)] + [(7, "the same text")] * 200 + [(None, words(rng, 9)) for _ in range(100)] + [(i, words(rng, 9)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    manifest = token_files.write_token_files(docs, tokenizer_path(), partitions=6)
+    sizes = [r["docs"] for r in manifest.collect()]
+    assert len(sizes) >= 5 and max(sizes) < 250 and sum(sizes) == len(rows)
+    got = token_files.read_token_files(manifest).orderBy("start").collect()
+    assert [r["start"] for r in got] == np.append(0, np.cumsum([r["n_tokens"] for r in got])[:-1]).tolist()
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and Counter(ids) == Counter(r[0] for r in rows)
+
+
+def test_rows_that_repeat_a_labelled_id_count_as_one(spark):
+    rng = random.Random(22)
+    base = [(i, words(rng, 30 if i % 2 else 5)) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    one = quality_model.fit(spark.createDataFrame(base, "doc_id long, text string"), labels, "quality", F.lit(True))
+    many = quality_model.fit(spark.createDataFrame(base + [base[3]] * 500, "doc_id long, text string").repartition(5), labels, "quality", F.lit(True))
+    some = spark.createDataFrame(base, "doc_id long, text string")
+    scores = [[round(r["score"], 9) for r in quality_model.score(some, f, F.lit(False)).orderBy("doc_id").collect()] for f in (one, many)]
+    assert scores[0] == scores[1]
+
+
 def test_wavelet_file():
     rng = np.random.default_rng(1)
     for n in (0, 1, 7, 40_000, 70_001):
