@@ -42,6 +42,8 @@ MOST, MOST_LINKS = 1 << 19, 1 << 22
 CHUNK_BYTES = 1 << 25
 #: Units that are learnt at a time; bytes of texts that are cut at a time.
 _LESSON, _GROUP = 1 << 14, 1 << 20
+#: Units of a chunk that are worked on at a time.
+_SOME = 1 << 17
 
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
@@ -184,28 +186,48 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+def _sums_at(values: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of runs of values[at], counts[i] of them each, of which some are taken out at a time."""
+    ends, sums = np.append(0, np.cumsum(counts)), np.zeros(len(counts), np.int64)
+    for i, j in slices(ends, _SOME):
+        sums[i:j] = _sums(values[at[ends[i] : ends[j]]], counts[i:j])
+    return sums
+
+
 def _chunk(own: Aligner, texts: list[bytes], keys: list[str], copies: np.ndarray) -> tuple[pa.Table, pa.Table, np.ndarray, np.ndarray]:
     """The chunk's texts and units as tables, its pairs (ascending), and their links times the texts' multiplicities."""
     if own.size > own.most or own.used > own.most_links:
         own.forget()
     numbers, counts = own.units(texts)
-    spelled = _sums((own.number[numbers, 0] < 0).astype(np.int64), counts) == 0
-    numbers, counts = numbers[np.repeat(spelled, counts)], np.where(spelled, counts, 0)
-    measures = [_sums(own.number[numbers, m].astype(np.int64), counts) for m in range(4)]
-    digests, at = [], 0
-    listed = numbers.tolist()
-    for n in counts.tolist():
-        digests.append(hashlib.sha256(b"".join([own.groups[u] for u in listed[at : at + n]])[:-1]).hexdigest() if n else "")
-        at += n
-    del listed
-    used, local = np.unique(numbers, return_inverse=True)
+    number = own.number[: own.size]
+    spelled = _sums_at((number[:, 0] < 0).astype(np.int64), numbers, counts) == 0
+    if not spelled.all():
+        numbers, counts = numbers[np.repeat(spelled, counts)], np.where(spelled, counts, 0)
+    measures = [_sums_at(number[:, m].astype(np.int64), numbers, counts) for m in range(4)]
+    digests, weight, ends = [], np.zeros(own.size), np.append(0, np.cumsum(counts))
+    for i, j in slices(ends, _SOME):  # a chunk's units as Python's numbers, or as 64 bits, would take many times its texts
+        weight += np.bincount(numbers[ends[i] : ends[j]], np.repeat(copies[i:j], counts[i:j]), own.size)
+        for a, b in zip(ends[i:j].tolist(), ends[i + 1 : j + 1].tolist(), strict=True):
+            digests.append(hashlib.sha256(b"".join([own.groups[u] for u in numbers[a:b].tolist()])[:-1]).hexdigest() if a < b else "")
+    used = np.flatnonzero(weight)
+    weight, place = weight[used], np.zeros(own.size, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    local = np.empty(len(numbers), np.int32)
+    for k in range(0, len(numbers), _SOME):
+        local[k : k + _SOME] = place[numbers[k : k + _SOME]]
+    del numbers
     n_links = own.number[used, 3].astype(np.int64)
-    pairs, of_link = np.unique(own.links[_ranges(own.first[used], n_links)], return_inverse=True)
-    weight = np.bincount(local, np.repeat(copies, counts), len(used))
-    weight = np.bincount(of_link, np.repeat(weight, n_links), len(pairs)).astype(np.int64)
-    lists = lambda flat, sizes: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat.astype(np.int32)))
+    ends = np.append(0, np.cumsum(n_links))
+    links = lambda i, j: own.links[_ranges(own.first[used[i:j]], n_links[i:j])]
+    some = list(slices(ends, _SOME))
+    pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(links(i, j)) for i, j in some)]))
+    of_link, of_pair = np.empty(ends[-1], np.int32), np.zeros(len(pairs))
+    for i, j in some:
+        of_link[ends[i] : ends[j]] = at = np.searchsorted(pairs, links(i, j))
+        of_pair += np.bincount(at, np.repeat(weight[i:j], n_links[i:j]), len(pairs))
+    lists = lambda flat, sizes: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat.astype(np.int32, copy=False)))
     table = pa.Table.from_arrays([pa.array(keys, pa.string()), *(pa.array(m) for m in measures), pa.array(digests, pa.string()), lists(local, counts)], schema=_TEXTS)
-    return table, pa.Table.from_arrays([lists(of_link, n_links)], schema=_UNITS), pairs, weight
+    return table, pa.Table.from_arrays([lists(of_link, n_links)], schema=_UNITS), pairs, of_pair.astype(np.int64)
 
 
 def _packed(table: pa.Table) -> bytes:
@@ -277,7 +299,7 @@ def align(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, chunk_bytes: int
         lengths, of_text = np.diff(words.offsets.to_numpy()), words.values.to_numpy()
         out = texts.drop_columns(["units"]).to_pandas()
         for name, value in (("n_best", part["best"].to_numpy().astype(np.int64)), ("count_sum", part["count"].to_numpy())):
-            out[name] = _sums(_sums(value[at], sizes)[of_text], lengths)
+            out[name] = _sums_at(_sums_at(value, at, sizes), of_text, lengths)
         return out[["key", *MEASURES, "groups_sha256"]]
 
     back = pairs.join(counts, ["a", "b"]).select("chunk", "uri", "k", "count", "best")

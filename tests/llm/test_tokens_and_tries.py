@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -100,6 +101,18 @@ def test_an_aligner_that_forgets_gives_the_same(docs):
     assert (one[2] == again[2]).all() and (one[3] == again[3]).all()
 
 
+def test_a_chunk_takes_a_few_bytes_for_each_of_its_units():
+    own = alignment.Aligner(*PATHS)
+    words = [f"w{k}" for k in range(1000)]
+    some = [" ".join(words[k % 1000] for k in range(i, i + 20_000)).encode() for i in range(50)]
+    own.units(some)
+    tracemalloc.start()
+    alignment._chunk(own, some, [""] * len(some), np.ones(len(some)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 * 50 * 20_000
+
+
 def test_alignment_of_nothing(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert alignment.align(none, *PATHS)[0].collect() == []
