@@ -41,12 +41,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.llm.components import components
-from folioworks.llm.shared import cut, drop, free_name, hashed_texts, mix, small_batches
+from folioworks.llm.shared import cut, delete, drop, free_name, hashed_texts, mix, open_file, scratch_path, small_batches, write_file
 
 TABLE_BITS = 24
 PICK_BITS = 26
@@ -55,26 +54,54 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 LONG_LIST = 64
 
 
-def _by_slice(rows: DataFrame, bits: int, fold, as_bits: bool = False) -> np.ndarray:
+#: Tables that a Python worker has read and may need again, the last ones used.
+_HELD: dict[str, np.ndarray] = {}
+_MOST_HELD = 3
+
+
+class _Table:
+    """A table of bytes of a fixed size in files of the shared folder, one for each slice that has any. Tasks read it there;
+    the driver only holds the files' names."""
+
+    def __init__(self, folder: str, size: int, files: list[tuple[int, str]]):
+        self.folder, self.size, self.files = folder, size, files
+
+    @property
+    def value(self) -> np.ndarray:
+        table = _HELD.pop(self.folder, None)
+        if table is None:
+            while len(_HELD) >= _MOST_HELD:
+                del _HELD[next(iter(_HELD))]
+            table = np.zeros(SLICES * self.size, np.uint8)
+            for s, uri in self.files:
+                with open_file(uri) as stream:
+                    table[s * self.size : (s + 1) * self.size] = np.frombuffer(stream.read(), np.uint8)
+        _HELD[self.folder] = table
+        return table
+
+
+#: Slices of a table.
+SLICES = 64
+
+
+def _by_slice(rows: DataFrame, bits: int, fold, as_bits: bool = False) -> _Table:
     """rows (bucket below 2^bits, n), one for each bucket at most -> fold(n) of every bucket as bytes, 0 where there
-    is none, or as single bits. The table has a fixed size: it is put together by slices and only then goes through
-    the driver."""
-    width = 1 << (bits - 6)
-    size = width // 8 if as_bits else width
+    is none, or as single bits."""
+    folder = scratch_path(rows.sparkSession, "table")
+    width = (1 << bits) // SLICES
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         dense = np.zeros(width, np.uint8)
         dense[part["bucket"].to_numpy() % width] = fold(part["n"].to_numpy())
-        data = np.packbits(dense) if as_bits else dense
-        return pd.DataFrame({"slice": [int(part["bucket"].iloc[0]) // width], "data": [data.tobytes()]})
+        s = int(part["bucket"].iloc[0]) // width
+        uri, _ = write_file(folder, f"{s:02d}", [(np.packbits(dense) if as_bits else dense).tobytes()])
+        return pd.DataFrame({"slice": [s], "uri": [uri]})
 
-    table = np.zeros(64 * size, np.uint8)
-    for s, data in rows.groupBy(F.floor(F.col("bucket") / width)).applyInPandas(one, "slice long, data binary").toLocalIterator():
-        table[s * size : (s + 1) * size] = np.frombuffer(data, np.uint8)
-    return table
+    files = rows.groupBy(F.floor(F.col("bucket") / width)).applyInPandas(one, "slice long, uri string").collect()
+    return _Table(folder, width // 8 if as_bits else width, [(r["slice"], r["uri"]) for r in files])
 
 
-def word_levels(docs: DataFrame) -> np.ndarray:
+def word_levels(docs: DataFrame) -> _Table:
     """For each bucket of words, the bit length of its document frequency over all documents (255 at most)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,10 +166,9 @@ def parity(own: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, levels: _Table, k: int, percent: int) -> DataFrame:
     """doc_id, size and two hashes of the set, and the postings of its prefix under each order (first: 64-bit tokens in
     that order; others: 32 bits of them)."""
-    levels = docs.sparkSession.sparkContext.broadcast(word_levels(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
@@ -198,17 +224,17 @@ def _bucket(key: str | Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(1 << PICK_BITS)).cast("int")
 
 
-def _marks(keys: DataFrame) -> Broadcast:
+def _marks(keys: DataFrame) -> _Table:
     """A bit table of fixed size with the buckets of some keys (one column), for all tasks."""
     rows = keys.select(_bucket(keys.columns[0]).alias("bucket")).distinct().withColumn("n", F.lit(1))
-    return keys.sparkSession.sparkContext.broadcast(_by_slice(rows, PICK_BITS, lambda n: n.astype(np.uint8), as_bits=True))
+    return _by_slice(rows, PICK_BITS, lambda n: n.astype(np.uint8), as_bits=True)
 
 
 def _marked(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def _only(rows: DataFrame, key: str, marks: Broadcast, marked: bool = True) -> DataFrame:
+def _only(rows: DataFrame, key: str, marks: _Table, marked: bool = True) -> DataFrame:
     """The rows whose key's bucket is marked: all of those with a key that was marked, and few others (or, with marked
     False, all other rows). It is for joins with few keys, whose wide side then is not shuffled whole."""
     names = rows.columns
@@ -221,7 +247,7 @@ def _only(rows: DataFrame, key: str, marks: Broadcast, marked: bool = True) -> D
     return rows.withColumn(free_name(names, "_bucket"), _bucket(F.col(key).cast("long"))).mapInArrow(run, rows.schema)
 
 
-def _postings(heads: DataFrame, docs: Broadcast, tokens: Broadcast) -> DataFrame:
+def _postings(heads: DataFrame, docs: _Table, tokens: _Table) -> DataFrame:
     """doc_id, n, pos, token of the prefixes (first order) of marked documents: their marked tokens, in the order of the
     prefix. (Spark's hash of a token is worked out here, where the prefixes are taken apart.)"""
 
@@ -252,7 +278,7 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, marks: Broadcast, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def verified(pairs: DataFrame, docs: DataFrame, marks: _Table, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(the pairs (x, y) whose whole sets are similar enough, the written table of sets that they are found by)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,14 +330,15 @@ def _checked(pairs: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percen
     found, whole = verified(candidates, docs, marks, k, percent)
     links = cut(found, "links")
     drop(pairs, some, candidates, whole)
-    marks.destroy()
+    delete(docs.sparkSession, marks.folder)
     return links
 
 
 def similar_components(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, one row for each row."""
     small_batches(docs.sparkSession)
-    heads = cut(prefixes(docs, k, percent), "prefixes")
+    levels = word_levels(docs)
+    heads = cut(prefixes(docs, levels, k, percent), "prefixes")
     solid = heads.where("n > 0 and doc_id is not null")
     classes = cut(solid.groupBy("n", "sig1", "sig2").agg(F.min("doc_id").alias("rep")), "classes")
     members = solid.select("doc_id", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"]).select("doc_id", "rep")
@@ -361,8 +388,8 @@ def similar_components(docs: DataFrame, *, k: int = 5, percent: int = 80) -> Dat
     result = heads.select("doc_id", "n").join(owner, "doc_id", "left")
     result = cut(result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_c", "doc_id").alias("component_id")), "similar")
     drop(heads, classes, lists, posting, stars, links, found, tagged, more)
-    reps.destroy()
-    shared_tokens.destroy()
+    for table in (levels, reps, shared_tokens):
+        delete(docs.sparkSession, table.folder)
     return result
 
 

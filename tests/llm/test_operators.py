@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -340,6 +341,15 @@ def test_a_batch_of_fewer_words_than_a_shingle(spark):
     assert neardup.drop_near_duplicates(docs, k=5, percent=80).count() == 1
 
 
+def test_tables_of_near_duplicates_stay_out_of_the_driver(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "a b d")], "doc_id long, text string")
+    levels, marks = neardup.word_levels(docs), neardup._marks(docs.select("doc_id"))
+    assert all(len(pickle.dumps(table)) < 100_000 for table in (levels, marks))  # what is sent to tasks
+    assert sorted(levels.value[levels.value > 0].tolist()) == [1, 1, 2, 2]
+    at = np.array([r[0] for r in docs.select(neardup._bucket("doc_id")).collect()])
+    assert neardup._marked(marks.value, at).all() and np.unpackbits(marks.value).sum() == 3
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(links).collect()}
