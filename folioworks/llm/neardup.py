@@ -34,7 +34,7 @@ ignored by join and kept by drop_near_duplicates.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -234,9 +234,11 @@ def _marked(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def _only(rows: DataFrame, key: str, marks: _Table, marked: bool = True) -> DataFrame:
+def _only(rows: DataFrame, key: str, marks: _Table, marked: bool = True, then: Callable | None = None, schema: str | None = None) -> DataFrame:
     """The rows whose key's bucket is marked: all of those with a key that was marked, and few others (or, with marked
-    False, all other rows). It is for joins with few keys, whose wide side then is not shuffled whole."""
+    False, all other rows). It is for joins with few keys, whose wide side then is not shuffled whole. What the function
+    then makes of their batches, by its schema, it makes in the same worker: two functions in turn would keep two workers
+    for each task, which live on with all that they have loaded."""
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +246,10 @@ def _only(rows: DataFrame, key: str, marks: _Table, marked: bool = True) -> Data
             at = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64)
             yield batch.select(range(len(names))).filter(pa.array(_marked(marks.value, at) == marked))
 
-    return rows.withColumn(free_name(names, "_bucket"), _bucket(F.col(key).cast("long"))).mapInArrow(run, rows.schema)
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return then(batch for batch in run(batches) if batch.num_rows)
+
+    return rows.withColumn(free_name(names, "_bucket"), _bucket(F.col(key).cast("long"))).mapInArrow(made if then else run, schema or rows.schema)
 
 
 def _postings(heads: DataFrame, docs: _Table, tokens: _Table) -> DataFrame:
@@ -296,7 +301,7 @@ def verified(pairs: DataFrame, docs: DataFrame, marks: _Table, k: int, percent:
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary())], names=["id", "s"])
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    whole = cut(_only(texts, "doc_id", marks).mapInArrow(sets, "id long, s binary"), "sets")
+    whole = cut(_only(texts, "doc_id", marks, then=sets, schema="id long, s binary"), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -382,8 +382,11 @@ def varied(rows: Sequence[tuple[Sequence[str], Sequence[str]]], times: int = 4,
 
 
 def labelled_table(spark: SparkSession) -> DataFrame:
-    """The small labelled table used where the caller has none: (words, tags)."""
-    return spark.createDataFrame(labelled_rows(), "words array<string>, tags array<string>")
+    """The small labelled table used where the caller has none: (words, tags). It goes to the JVM as an Arrow table; rows
+    handed over as Python objects would be turned by Python workers of another kind, which stay beside those of the search."""
+    words, tags = zip(*labelled_rows(), strict=True)
+    kind = pa.list_(pa.string())
+    return spark.createDataFrame(pa.table({"words": pa.array(words, kind), "tags": pa.array(tags, kind)}))
 
 
 _TRIM = " \t\n\r\x0b\x0c.,;:!?\"'"

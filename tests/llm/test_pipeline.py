@@ -3,7 +3,8 @@
 from collections import Counter
 
 import corpus_pipeline
-from folioworks.llm import pii, quality_rules
+from folioworks.llm import components, mixing, neardup, packing, pii, quality_rules
+from folioworks.sources import scratch
 from tests.llm.test_operators import SCHEMA, brute_components, copies, odd_rows, plain_spans
 
 
@@ -57,3 +58,44 @@ def test_an_empty_table_goes_through(spark, tmp_path):
 def test_run_reads_documents(spark, tmp_path):
     spark.createDataFrame(odd_rows(), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def python_in_a_stage(plan):
+    """The most Python functions that one task works at a time: those in turn without an exchange between them."""
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.inputPlan())
+        below = [walk(node.children().apply(i)) for i in range(node.children().size())]
+        most.append(sum(below) if name != "UnionExec" else max(below))
+        own = most[-1] + any(x in name for x in ("InArrow", "InPandas", "EvalPython"))
+        most.append(own)
+        return 0 if "Exchange" in name else own
+
+    most = [0]
+    walk(plan)
+    return max(most)
+
+
+def test_a_task_takes_one_python_worker(spark, tmp_path, monkeypatch):
+    rows = odd_rows() + [(1000 + i, t, "en", ["a", "b"][i % 2], len(t), 1, "", i, "", "") for i, t in copies(4)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    most, cut = {}, scratch.cut
+
+    def seen(df, name):
+        most[name] = max(most.get(name, 0), python_in_a_stage(df._jdf.queryExecution().executedPlan()))
+        return cut(df, name)
+
+    for module in (components, corpus_pipeline, mixing, neardup, packing):
+        monkeypatch.setattr(module, "cut", seen)
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    most["result"] = python_in_a_stage(result._jdf.queryExecution().executedPlan())
+    assert {"prefixes", "sets", "stage"} <= set(most) and most["sets"] == 1
+    assert {name: n for name, n in most.items() if n > 1} == {}
+
+
+def test_the_labelled_table_needs_no_python_workers(spark):
+    table = pii.labelled_table(spark)
+    assert [(r["words"], r["tags"]) for r in table.collect()] == pii.labelled_rows()
+    assert "LocalTableScan" in table._jdf.queryExecution().executedPlan().toString()
