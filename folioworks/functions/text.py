@@ -79,8 +79,10 @@ def format_table(rows: Column, table_id: Column, caption: Column | None = None)
 def overlapped(parts: Column, overlap: int) -> Column:
     """An array of pieces, each after the end of the one before it: its last overlap characters, from the first space on."""
     tail = lambda before: F.regexp_replace(F.right(before, F.lit(overlap)), r"(?s)^[^ ]* (.*)$", "$1")
-    joined = lambda part, i: F.when(i == 0, part).otherwise(F.concat(tail(F.get(parts, i - 1)), F.when(tail(F.get(parts, i - 1)) == "", "").otherwise(" "), part))
-    return F.transform(parts, joined) if overlap > 0 else parts
+    joined = lambda x, i: F.when(i == 0, x["part"]).otherwise(F.concat(tail(x["before"]), F.when(tail(x["before"]) == "", "").otherwise(" "), x["part"]))
+    # pieces meet the ones before them as two arrays: what stands in a lambda is worked out anew for each piece
+    pairs = F.zip_with(parts, F.concat(F.array(F.lit(None).cast("string")), parts), lambda part, before: F.struct(part.alias("part"), before.alias("before")))
+    return F.transform(F.slice(pairs, F.lit(1), F.size(parts)), joined) if overlap > 0 else parts
 
 
 def clip_document(text: Column, limit: int = 90_000) -> Column:
