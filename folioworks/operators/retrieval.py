@@ -22,6 +22,17 @@ def rrf(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
     return x.withColumn("rank", F.row_number().over(order)).drop("_seen")
 
 
+#: So many ids go to the tasks that read texts.
+FEW_IDS = 100_000
+
+
+def attached(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those rows (chunk_id, text, ...) that ids (chunk_id) name. Where they are few, texts are read past them, so no other
+    text moves."""
+    ids = cut(ids.distinct(), "ids")
+    return rows.join(F.broadcast(ids), "chunk_id", "left_semi") if ids.count() <= FEW_IDS else rows
+
+
 def hybrid_retrieve(queries: DataFrame, index: Index, vectors: DataFrame, chunks: DataFrame, top_k: int = 5, candidates: int = CANDIDATES, k: int = RRF_K, cluster: str | None = None) -> tuple[DataFrame, DataFrame]:
     """queries (query_id, text, embedding) -> (hits, facts).
 
@@ -45,7 +56,8 @@ def hybrid_retrieve(queries: DataFrame, index: Index, vectors: DataFrame, chunks
     rows = chunks.select("chunk_id", "doc_id", "text", "cluster", F.col("section_id").alias("section_title"), F.col("doc_id").alias("doc_title"))
     spare = near.where(F.col("rank") <= top_k).select("query_id", "chunk_id", (1.0 / (k + F.col("rank"))).alias("score"), "rank", F.lit("semantic_fallback").alias("source"))
     wanted = fused.select("query_id", "chunk_id", "score", "rank", F.lit("hybrid_rrf").alias("source")).unionByName(spare)
-    found = wanted.join(rows, "chunk_id")  # the only scan of texts: fused and spare rows together
+    wanted = cut(wanted, "wanted")
+    found = wanted.join(attached(wanted.select("chunk_id"), rows), "chunk_id")  # the only scan of texts: fused and spare rows together
     of_query = Window.partitionBy("query_id")
     found = found.withColumn("_fused", F.max(F.col("source") == "hybrid_rrf").over(of_query)).where(F.col("_fused") == (F.col("source") == "hybrid_rrf"))
     hits = found.withColumn("rank", F.row_number().over(of_query.orderBy("rank")))
